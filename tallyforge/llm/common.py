@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,7 +52,7 @@ class Stored:
         where.getFileSystem(conf).delete(where, True)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
     """mapInArrow with state per task: `make` runs once in each task and returns the function for its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +84,3 @@ def tokenizer_path(name: str, path: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def cores_hint(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def plain_name(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))

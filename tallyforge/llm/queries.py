@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, mixing, sharding, tokencount, urlfilter, warc
+from . import bpe, hamming, langid, matroska, mixing, ngramjoin, sharding, tokencount, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
-        warc.op1_warc_zstd, bpe.op2_byte_bpe, matroska.op4_matroska, mixing.op6_source_mix,
-        urlfilter.op7_url_cascade, sharding.op8_jump_hash, tokencount.op9_token_counts,
+        warc.op1_warc_zstd, bpe.op2_byte_bpe, ngramjoin.op3_partenum_join, matroska.op4_matroska, hamming.op5_multi_index_hamming, mixing.op6_source_mix,
+        urlfilter.op7_url_cascade, sharding.op8_jump_hash, tokencount.op9_token_counts, langid.op10_language_id,
     )
 }
 
-ORACLE_SQL = {"op1_warc_zstd": warc.OP1_SQL, "op7_url_cascade": urlfilter.OP7_SQL}
+ORACLE_SQL = {"op1_warc_zstd": warc.OP1_SQL, "op5_multi_index_hamming": hamming.OP5_SQL, "op7_url_cascade": urlfilter.OP7_SQL}
