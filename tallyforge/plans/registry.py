@@ -1,4 +1,4 @@
-"""Operator id -> query and SQL."""
+"""Operator id -> query and the SQL that states the same result for DuckDB."""
 
 from __future__ import annotations
 
@@ -6,5 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tallyforge.sources.adapters import with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its operator id; `sql` may use the views of sources.adapters by name."""
+
+    def keep(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = with_views(sql)
+        return f
+
+    return keep
