@@ -42,7 +42,7 @@ def phi(x: str) -> Column:
 
 def compress_sql(m: str, c: float) -> str:
     """c * tanh(m / c); the margin itself where c is infinite."""
-    return f"({m})" if c == float("inf") else f"({c!r} * tanh(({m}) / {c!r}))"
+    return f"({m})" if c == float("inf") else f"({c!r} * tanh(cast({m} as double) / {c!r}))"
 
 
 def compress(m: str, c: float = 32.0) -> Column:
