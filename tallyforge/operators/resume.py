@@ -175,12 +175,12 @@ def odds(s: DataFrame, by: list[str]) -> DataFrame:
 def odds_sql(rows: str, by: str) -> str:
     """CTEs ending in `odds`, over rows (by, game_id, p, won, lost)."""
     return f"""recursive pr as materialized ({rows}),
-    o as materialized (select {by}, game_id, p, row_number() over (partition by {by} order by game_id) k from pr),
+    o as materialized (select {by}, game_id, p, row_number() over (partition by {by} order by game_id) step_no from pr),
     st as (select {by}, cast(sum(won) as bigint) wins, sum(lost) losses, count(*) n, sum(p) expected from pr group by {by}),
-    conv as (select {by}, 0::bigint k, [1.0::double] acc from st
-      union all select {by}, o.k, list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0) * (1 - p) + case when i > 1 then coalesce(acc[i - 1], 0) else 0 end * p) from conv c join o using ({by}) where o.k = c.k + 1),
+    conv as (select {by}, 0::bigint step_no, [1.0::double] acc from st
+      union all select {by}, o.step_no, list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0) * (1 - p) + case when i > 1 then coalesce(acc[i - 1], 0) else 0 end * p) from conv c join o using ({by}) where o.step_no = c.step_no + 1),
     odds as (select {by}, cast(wins as int) wins, cast(losses as int) losses, cast(n as int) n, expected, acc pmf, list_sum(acc[wins + 1:]) tail, list_sum(acc[wins + 1:]) - 0.5 * acc[wins + 1] mid, {log_key_sql('list_sum(acc[wins + 1:])')} as key
-      from conv join st using ({by}) where k = n)"""
+      from conv join st using ({by}) where step_no = n)"""
 
 
 SEASON_ODDS = "with " + odds_sql(f"select season, team, game_id, {WIN_P} p, won, lost from ({WITH_Z})", "season, team") + " "
