@@ -20,6 +20,8 @@ from .common import map_arrow, table
 FEATURES = 8192
 #: Training reads so many labelled documents of a language at most, those of least hash, and whole texts.
 SAMPLE_A_LANGUAGE = 600
+#: Most languages that are told apart; labels past it are noise, not languages.
+MOST_LANGUAGES = 1000
 #: Languages with fewer than this aren't learned.
 LEAST_A_LANGUAGE = 2
 #: Families of languages by ISO 639-1 code.  Others form a family of their own each.
@@ -163,14 +165,18 @@ def fold(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, str] = FAMILIES) -> Model:
     """A model from labelled rows outside of the held-out fold: SAMPLE_A_LANGUAGE of each language at most, of least hash.
 
-    The hash is of the text, so equal texts can't crowd the sample out: each counts once.  The rows that each task
-    keeps are cut to the bound before they are shuffled.  Documents without letters teach nothing.
+    The hash is of the text, so equal texts can't crowd the sample out: each counts once.  A language's share of all
+    hashes that goes on to the exact cut follows from its count, so no task gets more than some thousands of rows,
+    copies of one text aside.  Documents without letters teach nothing.
     """
     rows = docs.where((fold(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # Hashes lie evenly, so a cut that leaves a few times the bound of each language holds its least ones.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    part = F.least(F.lit(1.0), (4.0 * SAMPLE_A_LANGUAGE + 200) / F.col("all"))
+    near = rows.join(F.broadcast(counts.limit(MOST_LANGUAGES)), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= part).select("lang", "text", "h")
     order = Window.partitionBy("lang").orderBy("h")
-    picked = rows.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= SAMPLE_A_LANGUAGE)
-    order = Window.partitionBy("lang", "h").orderBy("text")
-    picked = picked.withColumn("n", F.row_number().over(order)).where("n = 1").select("lang", "text", "h")
+    picked = near.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= SAMPLE_A_LANGUAGE)
+    picked = picked.dropDuplicates(["lang", "h"]).select("lang", "text", "h")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
