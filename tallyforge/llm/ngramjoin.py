@@ -5,9 +5,7 @@ elements' domain is cut into n1 groups of n2 parts, they agree on n2 - k2 whole
 most k2 of the differences: every such subset of parts is a signature, and linked sets share one.  Candidates are
 checked on the sets themselves.
 
-Groups are found without listing the pairs of a signature: its members are checked against one of them, the hub,
-and only members that no chain of links has joined so far are compared further.  Signatures whose unlinked
-members stay many are told apart by a second, independent partition.
+Groups are found without listing the pairs of a signature: see Linker.
 """
 
 from __future__ import annotations
@@ -25,11 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import Stored, map_arrow, table
 
-GROWTH = 1.5
-#: Signatures of at most so many unlinked members are compared pair by pair; larger ones by hubs, then by another partition.
-SMALL = 32
-HUB_ROUNDS = 4
-DEPTH = 2
+GROWTH = 1.4
+#: Members and bytes of sets in a block of a family, which two of are one task's work.
+BLOCK_MEMBERS, BLOCK_BYTES = 1024, 16_000_000
 #: Most candidate rows that are sent to all tasks to pick their texts; beyond it the texts are shuffled.
 MOST_SENT = 1_000_000
 SEEDS = 4
@@ -66,7 +62,7 @@ def band(index: int, percent: int) -> Band:
         return Band(index, low, high, 0, 1, 1, 0)
     if most <= 3:
         return Band(index, low, high, most, 1, most + 2, most)
-    return Band(index, low, high, most, most + 1 + -(-most // 6), 1, 0)
+    return Band(index, low, high, most, most // 2 + 3 + most // 10, 3, 1)
 
 
 def bands_of(n: int, percent: int) -> list[Band]:
@@ -87,8 +83,8 @@ def mixed(values: np.ndarray, seed: int) -> np.ndarray:
     return (x ^ x >> np.uint64(29)) * MIX2
 
 
-def band_signatures(elements: np.ndarray, b: Band, seed: int) -> tuple[np.ndarray, bool]:
-    """The signatures of one band, without those of no element; and whether a linked set might share only such ones."""
+def band_signatures(elements: np.ndarray, b: Band, seed: int) -> tuple[np.ndarray, int]:
+    """The signatures of one band, without those of no element; and how many of them a linked set shares at least, under 1 if perhaps none."""
     values = np.sort(mixed(elements, seed))
     cells = b.groups * b.parts
     cell = (values >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)  # rises with the value
@@ -110,27 +106,28 @@ def band_signatures(elements: np.ndarray, b: Band, seed: int) -> tuple[np.ndarra
             joined = (mixed(sums[np.ix_(some, columns)], 9) * weight).sum(1, dtype=np.uint64)
             kept.append(mixed(joined + (some.astype(np.uint64) * np.uint64(comb(b.parts, b.spared)) + np.uint64(j)) * MIX2 + tag, 7))
         found = np.concatenate(kept)
-    bare = int(((sizes == 0).sum(1) >= b.parts - b.spared).sum())
-    return found, bare >= b.lucky
+    return found, b.lucky - int(((sizes == 0).sum(1) >= b.parts - b.spared).sum())
 
 
-def signatures(elements: np.ndarray, percent: int, first_seed: int = 0) -> np.ndarray:
-    """All signatures of a non-empty set of 64-bit elements.
+def signatures(elements: np.ndarray, percent: int, first_seed: int = 0) -> tuple[np.ndarray, int]:
+    """All signatures of a non-empty set of 64-bit elements, and how many of them any linked set shares at least.
 
-    A part without elements says nothing, so it gives none.  Where a set has so many bare parts that a linked set might
-    agree with it on those alone, the same holds for that other set, and both give the signatures of the next seed
-    too; at the last seed bare parts count as well, by the set's own band.
+    A part without elements says nothing, so it gives none.  A linked pair agrees in every lucky group, so it shares a
+    signature for each that isn't bare.  Where a set has so many bare groups that a linked set might agree with it
+    on those alone, the same holds for that other set, and both give the signatures of the next seed too; at the
+    last seed bare groups count as well, by the set's own band.
     """
-    out = []
+    out, need = [], len(elements) + 1
     for b in bands_of(len(elements), percent):
         for seed in range(first_seed, first_seed + SEEDS):
-            found, more = band_signatures(elements, b, seed)
+            found, sure = band_signatures(elements, b, seed)
             out.append(found)
-            if not more:
+            need = min(need, max(sure, 1))
+            if sure > 0:
                 break
         else:
             out.append(np.array([b.index + 1], np.uint64) * MIX)
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out)).view(np.int64), need
 
 
 class Words(dict):
@@ -169,14 +166,14 @@ def fingerprint(elements: np.ndarray) -> int:
 
 
 def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, n, node, sigs): a set's signatures come with its first row of each task only, so copies add few."""
+    """(id, n, node, need, sigs): a set's signatures, and how many of them a linked set shares at least, come with its first row of each task only, so copies add few."""
     kind = dict(docs.dtypes)[id_col]
 
     def make():
         words, seen = Words(), set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, nodes, sigs = [], [], []
+            n, nodes, sigs, needs = [], [], [], []
             for x in batch.column(1):
                 s = shingles(x.as_py(), width, words)
                 n.append(len(s))
@@ -184,19 +181,22 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent
                 nodes.append(node)
                 if node is None or node in seen:
                     sigs.append(None)
+                    needs.append(None)
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                sigs.append(signatures(s, percent))
+                found, need = signatures(s, percent)
+                sigs.append(found)
+                needs.append(need)
             flat = np.concatenate([s for s in sigs if s is not None] or [np.zeros(0, np.int64)])
             offsets = np.concatenate(([0], np.cumsum([0 if s is None else len(s) for s in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], ["id", "n", "node", "sigs"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), lists], ["id", "n", "node", "need", "sigs"])
 
         return each
 
-    return map_arrow(docs.select(id_col, text_col), make, f"id {kind}, n long, node long, sigs array<long>")
+    return map_arrow(docs.select(id_col, text_col), make, f"id {kind}, n long, node long, need int, sigs array<long>")
 
 
 def node_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -220,28 +220,6 @@ def node_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return map_arrow(docs.select(id_col, text_col), make, "node long, items binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are linked."""
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if percent * max(len(s), len(t)) > 100 * min(len(s), len(t)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-        return each
-
-    return map_arrow(with_b.select("a", "b", "items_a", "items_b"), make, "a long, b long")
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
     """(node, label): the least node of each node's component, for nodes with edges.
 
@@ -267,101 +245,116 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
     return current
 
 
-def with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows (sig, node) and each node's label, itself where it has no link yet."""
-    if labels is None:
-        return rows.withColumn("label", F.col("node"))
-    found = labels.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return rows.join(found, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-
-
-def unresolved(rows: DataFrame) -> DataFrame:
-    """Of labelled members, those of signatures with more than one label; with the signature's number of members."""
-    of = Window.partitionBy("sig")
-    more = rows.withColumns({"least": F.min("label").over(of), "greatest": F.max("label").over(of), "members": F.count("*").over(of)})
-    return more.where("least < greatest").select("sig", "node", "label", "members")
-
-
 class Linker:
-    """The state of one join: the sets, the links found and the pairs tested."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
-        self.links: list[Stored] = []
-        self.tested: list[Stored] = []
-        self.labels: Stored | None = None
-
-    def test(self, pairs: DataFrame) -> None:
-        """Checks pairs (a < b) that weren't checked before, and joins labels along the new links."""
-        new = pairs.distinct()
-        for t in self.tested:
-            new = new.join(t.read(), ["a", "b"], "left_anti")
-        tested = Stored(new, "tested")
-        links = Stored(linked(tested.read(), self.sets, self.percent), "links")
-        self.tested.append(tested)
-        self.links.append(links)
-        edges = links.read()
-        if self.labels is not None and edges.isEmpty():
-            return
-        if self.labels is not None:  # the labels so far stand for the earlier links
-            edges = edges.unionByName(self.labels.read().select(F.col("u").alias("a"), F.col("v").alias("b")))
-        before, self.labels = self.labels, components(edges)
-        if before:
-            before.drop()
-
-    def rest(self, rows: DataFrame) -> Stored:
-        return Stored(unresolved(with_labels(rows.select("sig", "node"), self.labels and self.labels.read())), "rest")
-
-    def resolve(self, members: DataFrame, depth: int = 0) -> None:
-        """Links all that shares a signature.  members: distinct (sig, node), each signature with two nodes at least."""
-        hub = F.min("node").over(Window.partitionBy("sig"))
-        self.test(members.select(hub.alias("a"), F.col("node").alias("b")).where("a < b"))
-        rest = self.rest(members)
-        for r in range(HUB_ROUNDS):
-            big = rest.read().where(F.col("members") > SMALL)
-            if big.isEmpty():
-                break
-            dealt = big.withColumn("h", F.xxhash64("node", "sig", F.lit(r)))
-            hub = F.min(F.struct("h", "node", "label")).over(Window.partitionBy("sig"))
-            met = dealt.withColumn("hub", hub).where("hub.label <> label").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
-            self.test(met)
-            rest = self.rest(rest.read())
-        small, big = rest.read().where(F.col("members") <= SMALL), rest.read().where(F.col("members") > SMALL)
-        if not small.isEmpty():
-            self.test(crossing(small))
-        if not big.isEmpty():
-            rest = self.rest(big)
-            big = rest.read()
-            if depth < DEPTH:
-                self.resolve(refined(big, self.sets, self.percent, SEEDS * (depth + 1)), depth + 1)
-            else:
-                self.test(crossing(big))
-
-
-def crossing(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of one signature with different labels."""
-    left = rows.select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = rows.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, "sig").where("a < b and la <> lb").select("a", "b").distinct()
-
-
-def refined(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Members of large signatures, told apart by the signatures of another partition: linked sets share one of those too."""
+    """Finds the links among nodes that share signatures.
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sigs = [], []
-            for node, items in zip(batch.column(0), batch.column(1), strict=True):
-                nodes.append(node.as_py())
-                sigs.append(signatures(np.frombuffer(items.as_py(), np.uint64), percent, seed).tolist())
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "others"])
+    Nodes that share signatures, directly or by others, are a family.  A family is dealt into blocks, and the nodes
+    of a block are compared in one task by a product of incidence matrices, so no pair becomes a row.  A family of
+    one block is done with that.  In larger ones each block also gets the family's hub, the node that shares most
+    signatures, so near copies of one text become one group of linked nodes, the core, which is then left alone:
+    only the rest is compared, block by block, with itself and with the core.
+    """
 
-        return each
+    def __init__(self, members: DataFrame, sets: DataFrame, percent: int):
+        self.members, self.sets, self.percent = members, sets, percent
 
-    again = map_arrow(sets.join(rows.select("node").distinct(), "node").select("node", "items"), make, "node long, others array<long>")
-    new = rows.join(again, "node").select("node", "sig", F.explode("others").alias("other")).select(F.xxhash64("sig", "other").alias("sig"), "node")
-    of = Window.partitionBy("sig")
-    return Stored(new.withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y").select("sig", "node").distinct(), "refined").read()
+    def resolve(self) -> DataFrame | None:
+        """(a, b): links that join all that is joined, not each of them; None where no signature is shared."""
+        if self.members.isEmpty():
+            return None
+        hub = F.min("node").over(Window.partitionBy("sig"))
+        loose = components(self.members.select(hub.alias("a"), F.col("node").alias("b")))
+        named = loose.read().select(F.col("u").alias("node"), F.col("v").alias("family"))
+        named = named.unionByName(named.select(F.col("family").alias("node"), "family").distinct())
+        shares = self.members.groupBy("node").agg(F.count("*").alias("shares"))
+        nodes = named.join(shares, "node").join(self.sets.select("node", F.octet_length("items").alias("bytes")), "node")
+        nodes = Stored(nodes, "families").read()
+        deal = nodes.groupBy("family").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("blocks"), F.max(F.struct("shares", "node")).alias("top"))
+        deal = Stored(deal.select("family", "blocks", F.col("top.node").alias("hub")), "deal").read()
+        dealt = nodes.join(deal, "family").select("family", "node", "blocks", (F.col("node") == F.col("hub")).alias("is_hub"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        home = dealt.withColumn("own", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+        edges = self.compared(home.select("family", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("label")))
+        large = deal.where("blocks > 1").select("family")
+        if large.isEmpty():
+            return edges
+        labels = components(edges).read().select(F.col("u").alias("node"), F.col("v").alias("label"))
+        rest = nodes.join(large, "family", "left_semi").join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"), "bytes")
+        return edges.unionByName(self.compare_blocks(Stored(rest, "large").read()))
+
+    def compared(self, keyed: DataFrame) -> DataFrame:
+        """The links within each (family, i, j)."""
+        percent = self.percent
+        found = keyed.join(self.sets, "node").groupBy("family", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a long, b long")
+        return Stored(found, "links").read()
+
+    def compare_blocks(self, nodes: DataFrame) -> DataFrame:
+        """Links of large families' nodes outside of their cores with all others."""
+        core = nodes.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "label")).alias("top")).select("family", F.col("top.label").alias("core"))
+        parts = nodes.join(core, "family").withColumn("is_core", F.col("label") == F.col("core"))
+        many = parts.groupBy("family", "is_core").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("blocks"))
+        many = many.groupBy("family").agg(F.coalesce(F.max(F.when(F.col("is_core"), F.col("blocks"))), F.lit(0)).alias("core_blocks"), F.coalesce(F.max(F.when(~F.col("is_core"), F.col("blocks"))), F.lit(0)).alias("rest_blocks"))
+        # Blocks of the rest have the numbers from 0; those of the core come behind and meet the rest only.
+        dealt = parts.join(many, "family").where("rest_blocks > 0")
+        own = F.when(F.col("is_core"), F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.greatest("core_blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks"))).cast("int")
+        others = F.when(F.col("is_core"), F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("core_blocks") - 1))
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
+        return self.compared(dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"))
+
+
+def blocks_of(members, size):
+    return F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def block_links(pdf, percent: int):
+    """Edges that join the labels of linked members of two blocks (or of one with itself)."""
+    import pandas as pd
+
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+    nodes, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
+    first = np.flatnonzero(own == pdf["i"].iloc[0])
+    second = np.flatnonzero(own == pdf["j"].iloc[0])
+    names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1  # what only one set holds can't be common
+    column = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(sets)), sizes)
+    keep = shared[inverse]
+    row, column = row[keep], column[inverse[keep]]
+    common = np.zeros((len(first), len(second)), np.float32)
+    at_first, at_second = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_first[first], at_second[second] = np.arange(len(first)), np.arange(len(second))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    step = 2048
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, (lo, lo + step))
+        r, c = row[a:b], column[a:b] - lo
+        x, y = np.zeros((len(first), step), np.float32), np.zeros((len(second), step), np.float32)
+        f, g = at_first[r], at_second[r]
+        x[f[f >= 0], c[f >= 0]] = 1
+        y[g[g >= 0], c[g >= 0]] = 1
+        common += x @ y.T
+    union = sizes[first][:, None] + sizes[second][None, :] - common
+    found = (100 * common >= percent * union) & (label[first][:, None] != label[second][None, :])
+    out = []
+    for p, q in zip(*np.nonzero(found), strict=True):
+        x, y = root(label[first[p]]), root(label[second[q]])
+        if x != y:
+            parent[x] = y
+            a, b = int(nodes[first[p]]), int(nodes[second[q]])
+            out.append((min(a, b), max(a, b)))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -377,20 +370,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     of = Window.partitionBy("sig")
     exploded = signed.read().where("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
     shared = exploded.withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y").select("sig", "node").distinct()
-    members = Stored(shared, "members")
-    rows = Stored(signed.read().select("id", "n", "node"), "rows")
+    sharing = Stored(shared, "sharing")
+    rows = Stored(signed.read().select("id", "n", "node", "need"), "rows")
     signed.drop()
     release(docs.sparkSession)
-    by_node = rows.read().where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    by_node = rows.read().where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.max("need").alias("need"))
+    # A linked pair shares `need` signatures of either; what shares fewer with all others together has no link.
+    enough = sharing.read().groupBy("node").agg(F.count("*").alias("k")).join(by_node, "node").where("k >= need").select("node")
+    left = sharing.read().join(enough, "node", "left_semi").withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y")
+    members = Stored(left.select("sig", "node"), "members")
+    sharing.drop()
     some = by_node.join(members.read().select("node").distinct(), "node").where("least is not null").select(F.col("least").alias(id_col))
     wanted = Stored(some, "wanted").read()
     if wanted.count() <= MOST_SENT:
         wanted = F.broadcast(wanted)
     sets = Stored(node_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), id_col, text_col, width).dropDuplicates(["node"]), "sets")
-    linker = Linker(sets.read(), percent)
-    linker.resolve(members.read())
-    labels = linker.labels.read().select(F.col("u").alias("node"), F.col("v").alias("label"))
-    node_ids = by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
+    edges = Linker(members.read(), sets.read(), percent).resolve()
+    if edges is None:
+        node_ids = by_node.select("node", F.col("node").alias("label"), "least")
+    else:
+        labels = components(edges).read().select(F.col("u").alias("node"), F.col("v").alias("label"))
+        node_ids = by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     component = node_ids.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = Stored(node_ids.join(component, "label").select("node", "component_id"), "components").read()
     out = rows.read().join(of_node, "node", "left")
