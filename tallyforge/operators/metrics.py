@@ -311,6 +311,7 @@ def student_cdf(t: np.ndarray, df: float) -> np.ndarray:
 
     low = x < (a + 1) / (a + b + 2)
     tail = np.where(low, front * fraction(np.where(low, x, 0.5), a, b) / a, 1 - front * fraction(np.where(low, 0.5, 1 - x), b, a) / b)
+    tail = np.where(t == 0, 1.0, tail)
     return np.where(t > 0, 1 - tail / 2, tail / 2)
 
 
