@@ -2,15 +2,18 @@
 
 A code is cut into m segments and indexed by each.  Codes within distance m * (r + 1) - 1 of a query agree with it in
 some segment up to r bits, so probing all segments up to radius r finds them all.  r grows until the kth best
-verified distance of a query is within that bound; only queries that aren't done go on.
+verified distance of a query is within that bound; only queries that aren't done go on.  Blocks of the index meet
+blocks of the queries, so memory is bounded, and what a block returns is k rows a query.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Stored, map_arrow, table
 
 BITS = 64
+#: Entries of an index block and queries of a query block.
+INDEX_BLOCK, QUERY_BLOCK = 65_536, 8192
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -46,38 +51,92 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 
 def segments(rows: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment: about as many bits as the number of codes has, so that a bucket holds few."""
-    m = max(2, min(8, round(BITS / max(8.0, math.log2(max(2, rows))))))
+    """(first bit, bits) of each segment: some bits fewer than the number of codes has, so that probes are as many as what they find."""
+    m = max(2, min(8, round(BITS / max(8.0, math.log2(max(2, rows)) - 3))))
     edge = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def value(code: str, at: int, bits: int):
-    return F.shiftrightunsigned(F.col(code), at).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def probes(queries: DataFrame, cut: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(q, seg, v): all segment values that differ from a query's in exactly `radius` bits."""
-
-    def make():
-        masks = {bits: np.array([sum(1 << i for i in c) for c in combinations(range(bits), radius)], np.uint64) for bits in {b for _, b in cut} if bits >= radius}
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            codes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            q, seg, v = [], [], []
-            for s, (at, bits) in enumerate(cut):
-                if bits in masks:
-                    own = codes >> np.uint64(at) & np.uint64((1 << bits) - 1)
-                    v.append((own[:, None] ^ masks[bits][None, :]).ravel())
-                    q.append(np.repeat(codes, len(masks[bits])))
-                    seg.append(np.full(len(v[-1]), s, np.int32))
-            if not v:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q).view(np.int64)), pa.array(np.concatenate(seg)), pa.array(np.concatenate(v).view(np.int64))], ["q", "seg", "v"])
-
-        return each
-
-    return map_arrow(queries.select("q"), make, "q long, seg int, v long")
+class Index:
+    """Sorted segment values of a block of codes; the place of a code stands for its (code, id) entry."""
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray):
+        self.codes, self.ids = codes, ids
+        self.cut = segments(len(codes))
+        self.order, self.values = [], []
+        for at, bits in self.cut:
+            v = codes >> np.uint64(at) & np.uint64((1 << bits) - 1)
+            order = np.argsort(v, kind="stable")
+            self.order.append(order)
+            self.values.append(v[order])
+
+    def met(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query's place, entry's place) of all that agree in a segment up to exactly `radius` bits; once for each such segment."""
+        rows, entries = [], []
+        for s, (at, bits) in enumerate(self.cut):
+            if bits < radius:
+                continue
+            own = queries >> np.uint64(at) & np.uint64((1 << bits) - 1)
+            probes = (own[:, None] ^ masks(bits, radius)[None, :]).ravel()
+            lo, hi = np.searchsorted(self.values[s], probes, "left"), np.searchsorted(self.values[s], probes, "right")
+            n = hi - lo
+            some = np.flatnonzero(n)
+            n, lo = n[some], lo[some]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            entries.append(self.order[s][np.repeat(lo, n) + step])
+            rows.append(np.repeat(some // len(masks(bits, radius)), n))
+        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(entries or [np.zeros(0, int)])
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, distance): the k least (distance, id) of each query, the radius growing until they are proved."""
+        active = np.arange(len(queries))
+        held = np.zeros((0, 3), np.int64)  # query, distance, entry
+        done = []
+        last = max(b for _, b in self.cut)
+        for radius in range(last + 1):
+            row, entry = self.met(queries[active], radius)
+            q = active[row]
+            distance = np.bitwise_count(queries[q] ^ self.codes[entry]).astype(np.int64)
+            held = np.concatenate([held, np.stack([q, distance, entry], 1)])
+            held = held[np.lexsort((self.ids[held[:, 2]], held[:, 1], held[:, 0]))]
+            if len(held):  # an entry that several segments or rounds found follows itself
+                held = held[np.concatenate(([True], (held[1:, [0, 2]] != held[:-1, [0, 2]]).any(1)))]
+                start = np.searchsorted(held[:, 0], held[:, 0], "left")
+                held = held[np.arange(len(held)) - start < k]
+            count = np.searchsorted(held[:, 0], active, "right") - np.searchsorted(held[:, 0], active, "left")
+            worst = np.full(len(active), BITS + 1)
+            full = count == k
+            worst[full] = held[np.searchsorted(held[:, 0], active[full], "right") - 1, 1]
+            proved = worst <= len(self.cut) * (radius + 1) - 1 if radius < last else np.ones(len(active), bool)
+            done.append(held[np.isin(held[:, 0], active[proved])])
+            held = held[np.isin(held[:, 0], active[~proved])]
+            active = active[~proved]
+            if not len(active):
+                break
+        out = np.concatenate(done)
+        return out[:, 0], self.ids[out[:, 2]], out[:, 1]
+
+
+@lru_cache(maxsize=64)
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All values of so many bits with exactly `radius` of them set."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(bits), radius)], np.uint64)
+
+
+def search_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest entries of a block for each query of a block."""
+    query = pdf["is_query"].to_numpy()
+    codes = pdf["code"].to_numpy(np.int64).view(np.uint64)
+    entries = pdf.loc[~query]
+    if not query.any() or entries.empty:
+        return pd.DataFrame({"q": [], "id": [], "distance": []}).astype("int64")
+    index = Index(codes[~query], entries["id"].to_numpy(np.int64))
+    asked, out = codes[query], []
+    for at in range(0, len(asked), 128):
+        part = asked[at : at + 128]
+        row, found, distance = index.search(part, k)
+        out.append(pd.DataFrame({"q": part[row].view(np.int64), "id": found, "distance": distance}))
+    return pd.concat(out)
 
 
 def best(rows: DataFrame, k: int) -> DataFrame:
@@ -97,33 +156,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, id_col: str = "vec_i
     rows = Stored(sign_codes(vectors, id_col, vec_col).where("id is not null and code is not null"), "codes").read()
     firsts = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k).select("code", "id")
     index = Stored(firsts, "index").read()
-    cut = segments(index.count())
     queries = rows.where(F.col("id") % every == 0)
-    active = Stored(queries.select(F.col("code").alias("q")).distinct(), "queries").read()
-    by_segment = index.withColumn("at", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), value("code", *c).alias("v")) for s, c in enumerate(cut))))).select("code", "id", "at.seg", "at.v")
-    apart = [F.bit_count(value("code", *c).bitwiseXOR(value("q", *c))) for c in cut]
-    done: list[DataFrame] = []
-    found: DataFrame | None = None
-    for radius in range(max(b for _, b in cut) + 1):
-        met = probes(active, cut, radius).join(by_segment, ["seg", "v"])
-        # A code counts in the first segment where it comes closest, and in the round of that radius.
-        nearest = F.least(*apart)
-        first = F.array_position(F.array(*apart), nearest) - 1
-        fresh = met.where((nearest == radius) & (first == F.col("seg"))).select("q", "id", F.bit_count(F.col("code").bitwiseXOR(F.col("q"))).alias("distance"))
-        held = Stored(best(fresh if found is None else fresh.unionByName(found), k), "found").read()
-        sure = len(cut) * (radius + 1) - 1
-        proved = held.where((F.col("rank") == k) & (F.col("distance") <= sure)).select("q")
-        if radius == max(b for _, b in cut):
-            done.append(held)
-            break
-        done.append(held.join(proved, "q", "left_semi"))
-        active = Stored(active.join(proved, "q", "left_anti"), "queries").read()
-        found = held.join(proved, "q", "left_anti").drop("rank")
-        if active.isEmpty():
-            break
-    results = done[0]
-    for d in done[1:]:
-        results = results.unionByName(d)
+    asked = queries.select(F.col("code").alias("q")).distinct()
+    blocks, parts = (max(1, -(-n // size)) for n, size in ((index.count(), INDEX_BLOCK), (asked.count(), QUERY_BLOCK)))
+    hashed = lambda n: F.pmod(F.xxhash64("code", "id"), F.lit(n)).cast("int")
+    every_part, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (parts, blocks))
+    entries = index.select("code", "id", F.lit(False).alias("is_query"), hashed(blocks).alias("block"), every_part.alias("part"))
+    probing = asked.select(F.col("q").alias("code"), F.lit(0).cast("long").alias("id"), F.lit(True).alias("is_query"), F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"), every_block.alias("block"))
+    both = entries.withColumn("id", F.col("id").cast("long")).unionByName(probing)
+    near = both.groupBy("block", "part").applyInPandas(lambda pdf: search_block(pdf, k), "q long, id long, distance long")
+    results = best(near, k)
     joined = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(results, "q")
     return joined.select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("distance").cast("int").alias("distance"))
 
