@@ -167,13 +167,14 @@ class Bpe:
                 offer(before[i])
         return tuple(ranks[piece[start[i] : end[i]]] for i in range(n) if alive[i])
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes the words that the memory lacks."""
-        if new := [w for w in words if w not in self.cache]:
-            if len(self.cache) + len(new) > CACHE_LIMIT:
-                self.cache.clear()
-            for word, ids in zip(new, self.encode_pieces(w.encode() for w in new), strict=True):
-                self.cache[word] = ids
+    def learn(self, words: set[str]) -> None:
+        """Makes sure that the memory holds all these words; a full memory is emptied of others first."""
+        new = [w for w in words if w not in self.cache]
+        if new and len(self.cache) + len(new) > CACHE_LIMIT:
+            self.cache.clear()
+            new = list(words)
+        for word, ids in zip(new, self.encode_pieces(w.encode() for w in new), strict=True):
+            self.cache[word] = ids
 
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
@@ -204,8 +205,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         bpe = load(path, pattern)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            learn_batch(bpe, batch.column(1))
-            ids = [bpe.encode(x.as_py() or "") for x in batch.column(1)]
+            ids = []
+            for texts in blocks(batch.column(1)):
+                bpe.learn(set().union(*map(bpe.split, texts)))
+                ids += map(bpe.encode, texts)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
         return each
@@ -242,12 +245,6 @@ def blocks(column: pa.Array, size: int = 4_000_000) -> Iterator[list[str]]:
         yield held
 
 
-def learn_batch(bpe: Bpe, column: pa.Array) -> None:
-    """Fills the memory with the distinct pre-tokens of many texts at once, so that the matrices are tall."""
-    for texts in blocks(column):
-        bpe.learn(set().union(*map(bpe.split, texts)))
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Encodes and decodes every text and returns (id_col, n_tokens, ids_sha256, decoded_sha256), without moving the ids.
 
@@ -265,11 +262,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 bpe.learn(set().union(*split))
                 cache = bpe.cache
                 for words in split:
-                    try:
-                        ids = [i for w in words for i in cache[w]]
-                    except KeyError:  # the memory was emptied within this block
-                        bpe.learn(set(words))
-                        ids = [i for w in words for i in cache[w]]
+                    ids = [i for w in words for i in cache[w]]
                     n.append(len(ids))
                     a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
