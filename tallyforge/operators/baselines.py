@@ -77,7 +77,7 @@ def colley(games: DataFrame) -> DataFrame:
     return per_season(games, solve)
 
 
-@query("A03_colley", "select season, count(*) teams, round(0.5, 4) mean, true consistent from (select distinct season, team from sides) group by season")
+@query("A03_colley", "select season, count(*) teams, round(0.5, 4) mean, true consistent from (select distinct season, team from sides) group by season", mean="double")
 def colley_rows(spark: SparkSession, d: str) -> DataFrame:
     """Colley's ratings average one half; each must satisfy its own row of the system."""
     g = A.played(spark, d)
@@ -146,7 +146,7 @@ def elo(games: DataFrame) -> DataFrame:
     return games.select("season", "start_date", "game_id", "home_team", "away_team", "home_class", "away_class", "neutral_site", "home_points", "away_points").groupBy("season").applyInPandas(one, RATING)
 
 
-@query("A05_elo", "select season, count(*) teams, round(1500.0, 4) mean from (select distinct season, team from sides) group by season")
+@query("A05_elo", "select season, count(*) teams, round(1500.0, 4) mean from (select distinct season, team from sides) group by season", mean="double")
 def elo_rows(spark: SparkSession, d: str) -> DataFrame:
     """What one side wins the other loses, so a season of one class keeps its mean."""
     return elo(A.played(spark, d)).groupBy("season").agg(F.count("*").alias("teams"), F.round(F.avg("rating"), 4).alias("mean"))
@@ -175,7 +175,7 @@ def random_walker(games: DataFrame) -> DataFrame:
     return per_season(games, solve)
 
 
-@query("A07_random_walker", "select season, count(*) teams, round(1.0, 6) mean, true positive from (select distinct season, team from sides) group by season")
+@query("A07_random_walker", "select season, count(*) teams, round(1.0, 6) mean, true positive from (select distinct season, team from sides) group by season", mean="double")
 def random_walker_rows(spark: SparkSession, d: str) -> DataFrame:
     return random_walker(A.played(spark, d)).groupBy("season").agg(F.count("*").alias("teams"), F.round(F.avg("rating"), 6).alias("mean"), (F.min("rating") > 0).alias("positive"))
 

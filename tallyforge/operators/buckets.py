@@ -89,7 +89,7 @@ def newest_body(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max("b").alias("b")).select("user_id", "event_type", F.col("b.event_id").alias("newest"), "b.value")
 
 
-@query("S13_lock_collisions", "select p_name asset, count(*) n, sum(p_size) bytes from part group by p_name having count(*) > 1")
+@query("S13_lock_collisions", "select p_name asset, count(*) n, sum(p_size) bytes from part group by p_name having count(*) > 1", bytes="bigint")
 def lock_collisions(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").groupBy(F.col("p_name").alias("asset")).agg(F.count("*").alias("n"), F.sum("p_size").alias("bytes")).where("n > 1")
 
@@ -161,7 +161,7 @@ def coach_change(spark: SparkSession, d: str) -> DataFrame:
     return c.join(prior, ["school", "yr"], "left").select("school", "yr", F.when(F.col("before").isNotNull(), (F.col("before") != F.col("name")).cast("int")).alias("changed"))
 
 
-@query("S21_poll_flatten", "select p_brand team, min(rank) rank from (select p_brand, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) rank from part) where rank <= 25 group by 1")
+@query("S21_poll_flatten", "select p_brand team, min(rank) rank from (select p_brand, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) rank from part) where rank <= 25 group by 1", rank="int")
 def poll_flatten(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
     ranked = A.table(spark, d, "part").withColumn("rank", F.row_number().over(w)).where("rank <= 25")
@@ -213,7 +213,7 @@ def scheduled_weeks(spark: SparkSession, d: str) -> DataFrame:
     return A.contests(spark, d).where("season_type = 'regular'").select("season", "week").distinct()
 
 
-@query("S29_corpus_counter", "select season, count(*) games, sum(home_points + away_points) points from contests where completed group by season")
+@query("S29_corpus_counter", "select season, count(*) games, sum(home_points + away_points) points from contests where completed group by season", points="bigint")
 def corpus_counter(spark: SparkSession, d: str) -> DataFrame:
     return A.contests(spark, d).where("completed").groupBy("season").agg(F.count("*").alias("games"), F.sum(F.col("home_points") + F.col("away_points")).alias("points"))
 
@@ -251,7 +251,7 @@ def single_bucket(spark: SparkSession, d: str) -> DataFrame:
     return A.contests(spark, d).where("season = 1997 and season_type = 'postseason' and week = 1").select("game_id")
 
 
-@query("W05_strictly_before", "select b.season, b.bucket_order as_of, count(c.game_id) n, coalesce(sum(c.home_points), 0) points from buckets b left join contests c on c.season = b.season and c.bucket_order < b.bucket_order group by 1, 2")
+@query("W05_strictly_before", "select b.season, b.bucket_order as_of, count(c.game_id) n, coalesce(sum(c.home_points), 0) points from buckets b left join contests c on c.season = b.season and c.bucket_order < b.bucket_order group by 1, 2", points="bigint")
 def strictly_before(spark: SparkSession, d: str) -> DataFrame:
     """Every bucket's past at once: a running sum over bucket totals instead of a range join over contests."""
     c = A.contests(spark, d).groupBy("season", "bucket_order").agg(F.count("*").alias("k"), F.sum("home_points").alias("p"))

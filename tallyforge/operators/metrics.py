@@ -367,7 +367,7 @@ def rank_violations(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("season").agg(F.count("*").alias("n"), F.sum((F.col("w") > F.col("l")).cast("int")).alias("violations"))
 
 
-@query("M34_retro_convergence", f"with {RANKS}, {FINAL} select k.season, k.as_of, round(avg(abs(k.r - f.r)), 6) mean, max(abs(k.r - f.r)) most, count(case when k.r <= 25 and f.r > 25 then 1 end) left_top from ranks k join fin f on f.season = k.season and f.team = k.team group by 1, 2")
+@query("M34_retro_convergence", f"with {RANKS}, {FINAL} select k.season, k.as_of, round(avg(abs(k.r - f.r)), 6) mean, max(abs(k.r - f.r)) most, count(case when k.r <= 25 and f.r > 25 then 1 end) left_top from ranks k join fin f on f.season = k.season and f.team = k.team group by 1, 2", most="int")
 def retro_convergence(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
     j = bucket_ranks(g).join(final_ranks(g).select("season", "team", F.col("r").alias("f")), ["season", "team"])
@@ -460,7 +460,7 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return rest.select("held", "n", *(F.round(F.expr(c), 6).alias(f"b{i}") for i, c in enumerate(_LOO.coefficients)))
 
 
-@query("M47_ordering_cells", TOP + "select season, team, a by_power, b by_share, abs(a - b) gap from rk")
+@query("M47_ordering_cells", TOP + "select season, team, a by_power, b by_share, abs(a - b) gap from rk", by_power="int", by_share="int", gap="int")
 def ordering_cells(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("season")
     t = two_ratings(spark, d).withColumns({"by_power": F.row_number().over(w.orderBy(F.desc("x"), "team")), "by_share": F.row_number().over(w.orderBy(F.desc("y"), "team"))})

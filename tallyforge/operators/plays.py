@@ -88,7 +88,7 @@ def join_integrity(spark: SparkSession, d: str) -> DataFrame:
     return both.join(F.broadcast(odd))
 
 
-@query("P04_points_snapping", f"select event_id, {snap_points_sql('floor(value / 8) - 5')} points from events")
+@query("P04_points_snapping", f"select event_id, {snap_points_sql('floor(value / 8) - 5')} points from events", points="double")
 def points_snapping(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "events").select("event_id", snap_points("floor(value / 8) - 5").alias("points"))
 

@@ -222,7 +222,7 @@ def graded(spark: SparkSession, d: str, bucket: int = 10) -> DataFrame:
     return live.join(M.final_ranks(g).select("season", "team", F.col("r").alias("hindsight_rank")), ["season", "team"], "full").withColumn("delta", F.col("hindsight_rank") - F.col("live_rank"))
 
 
-@query("J19_grade_week", GRADE + "select * from gd")
+@query("J19_grade_week", GRADE + "select * from gd", live_rank="int", hindsight_rank="int", delta="int")
 def grade_week(spark: SparkSession, d: str) -> DataFrame:
     return graded(spark, d).select("season", "team", "live_rank", "hindsight_rank", "delta")
 
@@ -243,7 +243,7 @@ def grade_season(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("season", "as_of").agg(F.count("*").alias("n"), F.round(F.avg(gap), 6).alias("bias"), F.round(F.stddev_samp(gap), 6).alias("spread"))
 
 
-@query("J22_story_lines", GRADE + "select season, team, delta from (select *, row_number() over (partition by season order by abs(delta) desc, team) r from gd where delta is not null) where r <= 3")
+@query("J22_story_lines", GRADE + "select season, team, delta from (select *, row_number() over (partition by season order by abs(delta) desc, team) r from gd where delta is not null) where r <= 3", delta="int")
 def story_lines(spark: SparkSession, d: str) -> DataFrame:
     g = graded(spark, d).where("delta is not null").withColumn("r", F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.abs("delta")), "team")))
     return g.where("r <= 3").select("season", "team", "delta")

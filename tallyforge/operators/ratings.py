@@ -209,7 +209,7 @@ def difference_se(spark: SparkSession, d: str) -> DataFrame:
         i, j = np.triu_indices(len(teams), 1)
         return pd.DataFrame({"season": pdf["season"].iloc[0], "a": np.array(teams)[i], "b": np.array(teams)[j], "se": np.round(np.sqrt(np.maximum(v[i, i] + v[j, j] - 2 * v[i, j], 0)), 6)})
 
-    return season_grams(A.played(spark, d).where("season = 1997")).groupBy("season").applyInPandas(one, "season int, a string, b string, se double")
+    return season_grams(A.played(spark, d)).groupBy("season").applyInPandas(one, "season int, a string, b string, se double")
 
 
 @query("R13_lambda_selection", "select season, true on_grid, 5 n_folds from sides group by season")

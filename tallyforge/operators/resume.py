@@ -134,7 +134,7 @@ def scalar_margin(spark: SparkSession, d: str) -> DataFrame:
     return A.contests(spark, d).select("game_id", F.expr("cast(home_points - away_points as double)").alias("m")).select("game_id", F.round(F.expr(quadrature_sql("m")), 5).alias("e"))
 
 
-@query("Q10_hindsight_rating", f"select s.season, team, round(sum(opp), 6) faced, sum(won) wins from ({SCHEDULE}) s where bucket_order <= 20 group by 1, 2")
+@query("Q10_hindsight_rating", f"select s.season, team, round(sum(opp), 6) faced, sum(won) wins from ({SCHEDULE}) s where bucket_order <= 20 group by 1, 2", wins="bigint")
 def hindsight_rating(spark: SparkSession, d: str, through: int = 20) -> DataFrame:
     """The record of a window met with the Power of the whole season."""
     s = inputs(spark, d)[2].where(F.col("bucket_order") <= through)
@@ -191,7 +191,7 @@ def season_odds(spark: SparkSession, d: str) -> DataFrame:
     return odds(with_probability(s, p), ["season", "team"])
 
 
-@query("Q14_win_distribution", SEASON_ODDS + "select season, team, k - 1 w, round(pmf[k], 6) p from (select season, team, pmf, unnest(range(1, n + 2)) k from odds)")
+@query("Q14_win_distribution", SEASON_ODDS + "select season, team, k - 1 w, round(pmf[k], 6) p from (select season, team, pmf, unnest(range(1, n + 2)) k from odds)", w="int")
 def win_distribution(spark: SparkSession, d: str) -> DataFrame:
     t = season_odds(spark, d).select("season", "team", F.posexplode("pmf").alias("w", "p"))
     return t.select("season", "team", "w", F.round("p", 6).alias("p"))

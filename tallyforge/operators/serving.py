@@ -53,7 +53,7 @@ def card(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns({"gap": F.col("theirs") - F.col("ours"), "kind": kind})
 
 
-@query("O15_comparison_card", CARD + "select season, team, ours, theirs, gap, kind from c")
+@query("O15_comparison_card", CARD + "select season, team, ours, theirs, gap, kind from c", ours="int", theirs="int", gap="int")
 def comparison_card(spark: SparkSession, d: str) -> DataFrame:
     """Two polls side by side, a team outside of one counting as 26th there."""
     return card(spark, d).select("season", "team", "ours", "theirs", "gap", "kind")

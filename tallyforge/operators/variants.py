@@ -58,7 +58,7 @@ def lever_grid(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(cells().alias("g")).select("g.*")
 
 
-@query("C07_variant_set", f"with {RATED} select season, cap, team, r from placed where bonus = 7 and edge = 2.5 and r <= 25")
+@query("C07_variant_set", f"with {RATED} select season, cap, team, r from placed where bonus = 7 and edge = 2.5 and r <= 25", r="int")
 def variant_set(spark: SparkSession, d: str) -> DataFrame:
     """One knob turned: the first 25 of each season under every cap."""
     return rated(A.played(spark, d)).where("bonus = 7 and edge = 2.5 and r <= 25").select("season", "cap", "team", "r")
@@ -88,7 +88,7 @@ def grid_agreement(spark: SparkSession, d: str) -> DataFrame:
     return agreement(A.played(spark, d)).select("cap", "bonus", "edge", "season", F.expr(JUDGED).alias("verdict"))
 
 
-@query("C09_variant_document", f"with {RATED} select season, team, r, round(rating, 4) rating from placed where cap = 24 and bonus = 7 and edge = 2.5 and r <= 40")
+@query("C09_variant_document", f"with {RATED} select season, team, r, round(rating, 4) rating from placed where cap = 24 and bonus = 7 and edge = 2.5 and r <= 40", r="int")
 def variant_document(spark: SparkSession, d: str) -> DataFrame:
     return rated(A.played(spark, d)).where("cap = 24 and bonus = 7 and edge = 2.5 and r <= 40").select("season", "team", "r", F.round("rating", 4).alias("rating"))
 
@@ -111,7 +111,7 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return rated(A.played(spark, d)).groupBy("cap", "bonus", "edge").agg(F.count("*").alias("n"), F.countDistinct("season").alias("seasons"))
 
 
-@query("C18_grid_checker", f"with {RATED}, a as (select season, team, r from placed where cap = 64 and bonus = 0 and edge = 0), b as (select season, team, row_number() over (partition by season order by v desc, team) r from (select season, team, round(avg(margin), 6) v from sides group by 1, 2)) select season, team, r, 'grid' only_in from (select * from a except all select * from b) union all select season, team, r, 'direct' from (select * from b except all select * from a)")
+@query("C18_grid_checker", f"with {RATED}, a as (select season, team, r from placed where cap = 64 and bonus = 0 and edge = 0), b as (select season, team, row_number() over (partition by season order by v desc, team) r from (select season, team, round(avg(margin), 6) v from sides group by 1, 2)) select season, team, r, 'grid' only_in from (select * from a except all select * from b) union all select season, team, r, 'direct' from (select * from b except all select * from a)", r="int")
 def grid_checker(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a cell that a direct build lacks, and the other way round; none if both agree."""
     g = A.played(spark, d)

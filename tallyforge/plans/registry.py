@@ -13,15 +13,20 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its operator id; `sql` may use the views of sources.adapters by name."""
+def query(name: str, sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+    """Registers a query under its operator id; `sql` may use the views of sources.adapters by name.
+
+    types: columns whose type DuckDB would choose wider or narrower than Spark does.
+    """
 
     def keep(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = with_views(sql)
+            text = with_views(sql)
+            casts = ", ".join(f'cast("{c}" as {t}) as "{c}"' for c, t in types.items())
+            ORACLE_SQL[name] = f"select * replace ({casts}) from ({text})" if casts else text
         return f
 
     return keep
