@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge import ship
+
 #: Parameters of the engine (fixed values).
 MARGIN_CAP = 28.0
 HOME_EDGE = 2.5
@@ -18,6 +20,7 @@ SIGMA = 15.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
