@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import Stored, map_arrow, table
 
-GROWTH = 1.4
+GROWTH = 1.5
 #: Members and bytes of sets in a block of a family, which two of are one task's work.
 BLOCK_MEMBERS, BLOCK_BYTES = 1024, 16_000_000
 #: Most candidate rows that are sent to all tasks to pick their texts; beyond it the texts are shuffled.
 MOST_SENT = 1_000_000
 SEEDS = 4
+#: One set in SAMPLE is looked at for hot signatures, which HOT_IN_SAMPLE of these share; the MOST_HOT hottest are sent to all tasks.
+SAMPLE, HOT_IN_SAMPLE, MOST_HOT = 64, 16, 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -127,7 +129,8 @@ def signatures(elements: np.ndarray, percent: int, first_seed: int = 0) -> tuple
                 break
         else:
             out.append(np.array([b.index + 1], np.uint64) * MIX)
-    return np.unique(np.concatenate(out)).view(np.int64), need
+    # 48 bits are enough to tell signatures apart, as what shares one is checked, and cost a quarter less to ship.
+    return np.unique(np.concatenate(out) >> np.uint64(16)).view(np.int64), need
 
 
 class Words(dict):
@@ -136,7 +139,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -245,6 +248,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
     return current
 
 
+def hot_signatures(signed: DataFrame) -> Stored:
+    """Signatures of very many sets, found in a sample of sets: a choice of path only, as all their rows are kept either way.
+
+    A signature that several sets of the sample share is shared for certain, so its rows needn't be gathered to see
+    that, and no task gets them all.
+    """
+    sample = signed.where(f"sigs is not null and pmod(xxhash64(node), {SAMPLE}) = 0").select(F.explode("sigs").alias("sig"), "node")
+    often = sample.groupBy("sig").agg(F.countDistinct("node").alias("k")).where(F.col("k") >= HOT_IN_SAMPLE)
+    return Stored(often.orderBy(F.desc("k"), "sig").limit(MOST_HOT).select("sig"), "hot")
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """(sig, hub, last): the least and greatest node of each signature, as partial sums."""
+    return members.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+
+
 class Linker:
     """Finds the links among nodes that share signatures.
 
@@ -262,8 +281,7 @@ class Linker:
         """(a, b): links that join all that is joined, not each of them; None where no signature is shared."""
         if self.members.isEmpty():
             return None
-        hub = F.min("node").over(Window.partitionBy("sig"))
-        loose = components(self.members.select(hub.alias("a"), F.col("node").alias("b")))
+        loose = components(self.members.join(hubs(self.members), "sig").select(F.col("hub").alias("a"), F.col("node").alias("b")))
         named = loose.read().select(F.col("u").alias("node"), F.col("v").alias("family"))
         named = named.unionByName(named.select(F.col("family").alias("node"), "family").distinct())
         shares = self.members.groupBy("node").agg(F.count("*").alias("shares"))
@@ -367,9 +385,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     whole.
     """
     signed = Stored(signed_sets(docs, id_col, text_col, width, percent), "signed")
-    of = Window.partitionBy("sig")
     exploded = signed.read().where("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
-    shared = exploded.withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y").select("sig", "node").distinct()
+    hot = F.broadcast(hot_signatures(signed.read()).read())
+    of = Window.partitionBy("sig")
+    usual = exploded.join(hot, "sig", "left_anti").withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y")
+    shared = usual.select("sig", "node").unionByName(exploded.join(hot, "sig", "left_semi")).distinct()
     sharing = Stored(shared, "sharing")
     rows = Stored(signed.read().select("id", "n", "node", "need"), "rows")
     signed.drop()
@@ -377,8 +397,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     by_node = rows.read().where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.max("need").alias("need"))
     # A linked pair shares `need` signatures of either; what shares fewer with all others together has no link.
     enough = sharing.read().groupBy("node").agg(F.count("*").alias("k")).join(by_node, "node").where("k >= need").select("node")
-    left = sharing.read().join(enough, "node", "left_semi").withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y")
-    members = Stored(left.select("sig", "node"), "members")
+    left = Stored(sharing.read().join(enough, "node", "left_semi"), "left").read()
+    members = Stored(left.join(hubs(left).where("hub < last"), "sig").select("sig", "node"), "members")
     sharing.drop()
     some = by_node.join(members.read().select("node").distinct(), "node").where("least is not null").select(F.col("least").alias(id_col))
     wanted = Stored(some, "wanted").read()
@@ -407,3 +427,16 @@ def release(spark: SparkSession) -> None:
 
 def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share an n-gram, for small tables.
+OP3_SQL = """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+g as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) s from w),
+n as materialized (select w.doc_id, count(g.s) n from w left join g using (doc_id) group by 1),
+p as materialized (select a.doc_id a, b.doc_id b, count(*) c from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id label from n union select e.b, r.label from r join e on e.a = r.doc_id and r.label < e.b)
+select n.doc_id, n.n n_shingles, min(r.label) component_id from n join r using (doc_id) group by 1, 2
+"""
