@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge import ship
+
+#: Rows that a function of map_arrow gets at once.
+ROWS = 2048
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,19 +65,26 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = each(batch)
-                if out is not None and out.num_rows:
-                    yield out
-
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    out = each(batch.slice(at, ROWS))
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            del each
+            trim()
+
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def texts_of(column: pa.Array) -> Iterator[str | None]:
-    """The strings of an Arrow column one by one, so that only one text is a Python object at a time."""
-    for x in column:
-        yield x.as_py()
+def trim() -> None:
+    """Gives freed memory back, since a worker lives on and idles beside the tasks that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_count(text: str = "text"):
