@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tallyforge import ship
+
 from .common import table
 
 #: Hash ranges that a shard is counted in, so that its rows are numbered by many tasks.
@@ -50,6 +52,7 @@ def assign(rows: DataFrame, key_col: str, shards: int, grown: int | None = None,
     chunks before, so no shard is sorted by one task.  Equal keys share a chunk; a key that a third of all rows hold
     must be made unique by the caller, since one key can't be split over shards by this law.
     """
+    ship(rows.sparkSession)
     key = F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("")))
     hashed = rows.withColumn("__hash", key)
     hashed = hashed.withColumns({"shard": shard_of(F.col("__hash"), shards), "grown_shard": shard_of(F.col("__hash"), grown or shards + 1)})

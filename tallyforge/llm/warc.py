@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge import ship
+
 from .common import Stored, map_arrow, table
 
 #: Fixed values of the formats (RFC 8878; the WARC-Zstandard specification).
@@ -188,6 +190,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
     sums and the join that brings it to the payloads has one row a digest on its other side, so Spark can split a
     payload that a third of all pages share.
     """
+    ship(pages.sparkSession)
     if dictionary is None:
         dictionary = train_dictionary(pages, payload_col)
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
