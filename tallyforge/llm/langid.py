@@ -166,18 +166,21 @@ def fold(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, str] = FAMILIES) -> Model:
     """A model from labelled rows outside of the held-out fold: SAMPLE_A_LANGUAGE of each language at most, of least hash.
 
-    The hash is of the text, so equal texts can't crowd the sample out: each counts once.  A language's share of all
-    hashes that goes on to the exact cut follows from its count, so no task gets more than some thousands of rows,
-    copies of one text aside.  Documents without letters teach nothing.
+    The hash is of the text and each text of a language counts once, so copies neither crowd the sample out nor shrink it:
+    what is counted, cut and ranked are the distinct (lang, hash), met in partial sums.  A language's share of its distinct
+    hashes that goes on to the exact cut follows from their count, so no task gets more than some thousands of rows;
+    the chosen hashes then fetch one text each.  Documents without letters teach nothing.
     """
     rows = docs.where((fold(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    distinct = rows.select("lang", "h").distinct()
+    counts = distinct.groupBy("lang").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES)
     # Hashes lie evenly, so a cut that leaves a few times the bound of each language holds its least ones.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("all"))
     part = F.least(F.lit(1.0), (4.0 * SAMPLE_A_LANGUAGE + 200) / F.col("all"))
-    near = rows.join(F.broadcast(counts.limit(MOST_LANGUAGES)), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= part).select("lang", "text", "h")
+    near = distinct.join(F.broadcast(counts), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= part).select("lang", "h")
     order = Window.partitionBy("lang").orderBy("h")
-    picked = near.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= SAMPLE_A_LANGUAGE)
-    picked = picked.dropDuplicates(["lang", "h"]).select("lang", "text", "h")
+    chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_A_LANGUAGE).select("lang", "h")
+    # A few hundred hashes a language; rows of one hash have one text.
+    picked = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text", "h")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
