@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, near-duplicate groups, mixing sources to target weights, token ids.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the
-columns of documents.
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, written and read again.  All but
+the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import stages
+from tallyforge.llm.common import Stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,6 +40,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = Stored(stage(spark, docs, sf_dir), name).read()
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, langid, mixing, ngramjoin
-from .common import Stored, map_arrow
+from .common import Stored, map_arrow, word_count
 
 
 def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
@@ -42,21 +42,27 @@ def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Of each group of linked documents the row with the least id; rows without an id stay.
+    """Of each group of linked documents the row with the least id.
 
-    Should an id name several rows, one of them stays.
+    Where ids repeat or are null, a row is named by its id (null last), text and all columns: rows that share an id but not a
+    text are documents of their own, and rows without an id link like others.  Of rows alike in every column one
+    stays; rows without id and words all stay, as they are linked with nothing.
     """
-    found = ngramjoin.groups(docs, width=width, percent=percent)
-    kept = Stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept").read()
-    go = found.where("doc_id is not null").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
-    go = Stored(go, "go").read()
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return roots(docs, "doc_id", width, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("row"))
+    bare = F.col("doc_id").isNull() & (word_count() == 0)
+    out = roots(docs.where(~bare).withColumn("__key", key), "__key", width, percent).dropDuplicates(["__key"])
+    return out.select(*docs.columns).unionByName(docs.where(bare))
+
+
+def roots(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
+    """The rows whose key is the least of their group."""
+    found = ngramjoin.groups(docs, id_col=key, width=width, percent=percent)
+    go = Stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "go").read()
     if go.count() <= ngramjoin.MOST_SENT:
         go = F.broadcast(go)
-    out = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    if kept.where("n > 1").isEmpty():
-        return out
-    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(out.where("doc_id is null"))
+    return docs.join(go, key, "left_anti").select(*docs.columns)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
