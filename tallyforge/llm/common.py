@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyforge import ship
 
-#: Rows that a function of map_arrow gets at once.
-ROWS = 2048
+#: Rows and bytes that a function of map_arrow gets at once; a row that is larger comes alone.
+ROWS, BYTES = 2048, 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,7 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A table written once below the shared folder; its readers survive the loss of any executor."""
+    """A table written once below the shared folder; its readers survive the loss of any executor.
+
+    It lasts as long as the driver's process, which deletes what is left at its end: results that are read lazily may need it.
+    """
+
+    kept: dict[str, Stored] = {}
 
     def __init__(self, df: DataFrame, name: str, partition_by: list[str] | None = None):
         self.spark = df.sparkSession
@@ -49,6 +55,7 @@ class Stored:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path)
         self.schema = df.schema
+        self.kept[self.path] = self
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -58,6 +65,27 @@ class Stored:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(conf).delete(where, True)
+        self.kept.pop(self.path, None)
+
+
+@atexit.register
+def drop_all() -> None:
+    """Deletes the tables of this process; a JVM that is gone already took its session's end with it."""
+    for stored in list(Stored.kept.values()):
+        with contextlib.suppress(Exception):
+            stored.drop()
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ROWS rows and, but for single rows, BYTES bytes."""
+    if batch.num_rows > ROWS:
+        for at in range(0, batch.num_rows, ROWS):
+            yield from pieces(batch.slice(at, ROWS))
+    elif batch.num_rows > 1 and batch.nbytes > BYTES:
+        yield from pieces(batch.slice(0, batch.num_rows // 2))
+        yield from pieces(batch.slice(batch.num_rows // 2))
+    else:
+        yield batch
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
@@ -67,8 +95,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         each = make()
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    out = each(batch.slice(at, ROWS))
+                for piece in pieces(batch):
+                    out = each(piece)
                     if out is not None and out.num_rows:
                         yield out
         finally:
@@ -87,6 +115,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def hash60(*parts) -> F.Column:
+    """60 bits of the md5 of columns as text, from 0 on; null and the empty text differ."""
+    text = F.concat_ws("|", *(F.when(F.col(p).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(p).cast("string"))) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def word_count(text: str = "text"):
     """Number of words, null counting 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, table, word_count
+from .common import WORD, Stored, hash60, table, word_count
 
 MOST_LAPS = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 BLOCK = 1024
 #: Hash ranges that a source's stream is laid out in, slots that are ranked together, and cells of the unit interval.
-CHUNKS, SLOT_CHUNK, CELLS = 1024, 65_536, 1024
+CHUNKS, SLOT_CHUNK, CELLS = 4096, 65_536, 1024
+CHUNK_BITS = 60 - (CHUNKS.bit_length() - 1)
 #: The points are j * STEP mod GRID, all in 64-bit integers: STEP is GRID over the golden ratio.
 GRID = 2_147_483_647
 STEP = 1_327_217_884
@@ -72,13 +73,13 @@ def schedule(sources: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     return ranked.withColumn("nth", F.col("before") + F.col("row") - 1).where("nth < blocks").select("src", "nth", "slot")
 
 
-def streams(sized: DataFrame, sources: DataFrame, seed: int = 17) -> DataFrame:
+def streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Each row's place in its source's shuffled stream: (id, size, src, part, row, at, source_size, target, quota).
 
     The order is that of a hash of the id; (src, part, row) is a row's own key, repeated rows included.
     """
-    hashed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "size", "src", "source_size", "target", "quota", F.xxhash64(F.lit(seed), "id").alias("h"))
-    hashed = hashed.withColumn("part", F.pmod(F.shiftright("h", 40), F.lit(CHUNKS)).cast("int"))
+    hashed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "size", "src", "source_size", "target", "quota", hash60("id").alias("h"))
+    hashed = hashed.withColumn("part", F.shiftright("h", CHUNK_BITS).cast("int"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = hashed.groupBy("src", "part").agg(F.sum("size").alias("words")).select("src", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("src", "part").orderBy("h", "id", "size")
@@ -116,3 +117,24 @@ def mix(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+#: The same in whole windows, for small tables.
+OP6_SQL = f"""
+with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) size, ('0x' || substr(md5(case when doc_id is null then 'n' else 'v' || doc_id end), 1, 15))::bigint h from documents),
+s0 as (select source, sum(size)::bigint source_size from d group by source),
+s1 as (select *, row_number() over (order by source nulls last) - 1 src from s0),
+s2 as (select *, [{", ".join(map(str, WEIGHTS))}][src % {len(WEIGHTS)} + 1]::double w, source_size * {MOST_LAPS}::double cap from s1),
+s3 as (select *, (least((sum(source_size) over ())::double * {SHARE}, sum(cap) over ()) - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (o rows between current row and unbounded following) l from s2 window o as (order by cap / w, src)),
+s4 as (select source, src, source_size, least(cap, max(l) over () * w) target from s3),
+s5 as materialized (select *, least(round(target)::bigint, source_size * {MOST_LAPS}) quota from s4),
+n as (select sum(ceil(quota / {BLOCK}))::bigint slots from s5),
+spans as (select src, ceil(quota / {BLOCK}) blocks, floor((sum(quota) over (order by src) - quota) / sum(quota) over () * {GRID})::bigint lo, floor(sum(quota) over (order by src) / sum(quota) over () * {GRID})::bigint hi from s5 where quota > 0),
+points as (select slot, slot % {GRID} * {STEP} % {GRID} u from (select unnest(range(0, slots)) slot from n)),
+served as (select src, slot, row_number() over (partition by src order by slot) - 1 nth from points join spans on u >= lo and u < hi),
+st as materialized (select row_number() over () key, d.doc_id, d.size, src, source_size, target, quota, sum(d.size) over (partition by src order by h, doc_id, d.size rows between unbounded preceding and current row)::bigint - d.size pos from d join s5 on d.source is not distinct from s5.source),
+sp as (select key, src, pos + lap * source_size f, least(pos + lap * source_size + size, quota) t from st, (select unnest(range(0, {MOST_LAPS})) lap) where size > 0 and pos + lap * source_size < quota),
+bl as (select key, src, f, t, unnest(range(f // {BLOCK}, (t - 1) // {BLOCK} + 1)) nth from sp),
+tk as (select key, sum(least(t, (nth + 1) * {BLOCK}) - greatest(f, nth * {BLOCK})) taken, count(case when f // {BLOCK} = nth then 1 end) laps_begun, min(coalesce(slot, slots)) first_slot from bl left join served using (src, nth), n group by key)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken, coalesce(laps_begun, 0)::bigint laps_begun, first_slot from st left join tk using (key)
+"""

@@ -12,4 +12,7 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_warc_zstd": warc.OP1_SQL, "op3_partenum_join": ngramjoin.OP3_SQL, "op5_multi_index_hamming": hamming.OP5_SQL, "op7_url_cascade": urlfilter.OP7_SQL}
+ORACLE_SQL = {
+    "op1_warc_zstd": warc.OP1_SQL, "op3_partenum_join": ngramjoin.OP3_SQL, "op5_multi_index_hamming": hamming.OP5_SQL, "op6_source_mix": mixing.OP6_SQL, "op7_url_cascade": urlfilter.OP7_SQL,
+    "op8_jump_hash": sharding.OP8_SQL,
+}

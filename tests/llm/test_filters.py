@@ -142,3 +142,15 @@ def test_labels_of_held_out_rows_teach_nothing(spark, sf):
     spoiled = docs.withColumn("lang", F.when(langid.fold() == 1, "xx").otherwise(F.col("lang")))
     a = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()}
     assert a == {r.doc_id: r.lang_pred for r in langid.identify(spoiled, langid.train(spoiled)).collect()}
+
+
+def test_shards_name_clashing_columns_and_keep_null_keys_apart(spark):
+    rows = spark.createDataFrame([(None, 1), ("", 2), ("n", 3), (None, 4)] + [("hot", i) for i in range(500)], "k string, v long")
+    out = sharding.assign(rows, "k", 8, order=["v"]).collect()
+    assert len(out) == 504 and len({r.shard for r in out if r.k == "hot"}) == 1 and len({r.shard for r in out if r.k is None}) == 1
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert all(r.grown_shard in (r.shard, 8) for r in out)
+    for name in ("shard", "slot", "grown_shard"):
+        with pytest.raises(ValueError, match=name):
+            sharding.assign(rows.withColumn(name, sharding.F.lit(1)), "k", 8)
