@@ -123,8 +123,11 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def read_archive(segment: str, archive: bytes) -> Iterator[tuple]:
-    """A row of RECORDS for each record; a record that breaks the format gets nulls and its `problem`."""
+def read_archive(segment: str, archive: bytes, with_payload: bool = True) -> Iterator[tuple]:
+    """A row of RECORDS for each record; a record that breaks the format gets nulls and its `problem`.
+
+    The stated payload length must be the block's, the digest the payload's; of a revisit, which has no payload, both are its response's.
+    """
     import zstandard
 
     try:
@@ -142,9 +145,14 @@ def read_archive(segment: str, archive: bytes) -> Iterator[tuple]:
                 problem = str(e)
             number = lambda k: int(v) if (v := headers.get(k, "")).lstrip("-").isdecimal() else None  # noqa: B023, E731
             size = number("x-payload-length")
+            if problem is None and headers["warc-type"] != "revisit" and size not in (None, len(block)):
+                problem = f"x-payload-length is {size}, the payload holds {len(block)}"
+            length = None if block is None else len(block)
+            if not with_payload:
+                block = None
             yield (
                 headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-date"), headers.get("warc-target-uri"), headers.get("warc-refers-to"),
-                headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, size if size is not None else None if block is None else len(block),
+                headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, length if size is None else size,
                 number("x-page-id"), number("x-refers-to-page"), block, segment, at, len(frame), problem,
             )
     except Bad as e:
@@ -167,11 +175,18 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def train_dictionary(pages: DataFrame, payload_col: str = "html") -> bytes:
-    """A dictionary from at most DICT_ROWS payloads, least hash first; empty where they are too few to train one."""
+    """A dictionary from at most DICT_ROWS distinct payloads, those of least hash; empty where they are too few to train one.
+
+    The share of hashes that may be among the least follows from their approximate number, with a margin of four, so that
+    all partitions together send a few thousand strings of DICT_CHARS, however many they are.
+    """
     import zstandard
 
-    some = pages.select(F.substring(F.col(payload_col), 1, DICT_CHARS).alias("p"), F.xxhash64(F.substring(F.col(payload_col), 1, 64)).alias("h"))
-    rows = some.where("length(p) > 64").orderBy("h", "p").limit(DICT_ROWS).collect()
+    some = pages.where(F.length(payload_col) > 64).select(F.substring(F.col(payload_col), 1, DICT_CHARS).alias("p"), F.xxhash64(payload_col).alias("h"))
+    distinct = some.agg(F.approx_count_distinct("h")).first()[0]
+    part = min(1.0, (4.0 * DICT_ROWS + 200) / max(distinct, 1))
+    near = some.where((F.col("h") / F.lit(2.0**64) + 0.5) <= part).groupBy("h").agg(F.min("p").alias("p"))
+    rows = near.orderBy("h").limit(DICT_ROWS).collect()
     samples = [r.p.encode() for r in rows]
     if len(samples) < 8:
         return b""
@@ -235,12 +250,10 @@ def read_archives(archives: DataFrame, segment_col: str = "segment", archive_col
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = [r for name, data in zip(batch.column(0), batch.column(1), strict=True) if data.is_valid for r in read_archive(name.as_py(), data.as_py())]
+            rows = [r for name, data in zip(batch.column(0), batch.column(1), strict=True) if data.is_valid for r in read_archive(name.as_py(), data.as_py(), with_payload)]
             if not rows:
                 return None
             columns = list(zip(*rows, strict=True))
-            if not with_payload:
-                columns[9] = [None] * len(rows)
             kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in RECORDS.split(", ")])
 

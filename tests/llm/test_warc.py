@@ -86,3 +86,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(archive([warc.make_record(7, "u", b"p", warc.base32_sha1(b"p"), None)]))
     got = warc.read_files(spark, str(tmp_path)).collect()
     assert [(r.page_id, bytes(r.payload)) for r in got] == [(7, b"p")]
+
+
+def test_a_stated_payload_length_must_be_the_payloads():
+    good = warc.make_record(1, "http://a/", b"body", warc.base32_sha1(b"body"), None)
+    bad = good.replace(b"X-Payload-Length: 4", b"X-Payload-Length: 5")
+    press = zstandard.ZstdCompressor()
+    archive = struct.pack("<II", warc.DICT_MAGIC, 0) + press.compress(good) + press.compress(bad)
+    problems = [r[-1] for r in warc.read_archive("s", archive, with_payload=False)]
+    assert problems[0] is None and "x-payload-length is 5" in problems[1]
