@@ -243,9 +243,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
         current.drop()
         current = after
         if told == state:
-            break
+            return current
         state = told
-    return current
+    raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 
 def hot_signatures(signed: DataFrame) -> Stored:
@@ -400,11 +400,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     left = Stored(sharing.read().join(enough, "node", "left_semi"), "left").read()
     members = Stored(left.join(hubs(left).where("hub < last"), "sig").select("sig", "node"), "members")
     sharing.drop()
-    some = by_node.join(members.read().select("node").distinct(), "node").where("least is not null").select(F.col("least").alias(id_col))
-    wanted = Stored(some, "wanted").read()
+    some = Stored(by_node.join(members.read().select("node").distinct(), "node").select(F.col("least").alias(id_col)), "wanted").read()
+    wanted = some.where(F.col(id_col).isNotNull())
     if wanted.count() <= MOST_SENT:
         wanted = F.broadcast(wanted)
-    sets = Stored(node_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), id_col, text_col, width).dropDuplicates(["node"]), "sets")
+    texts = docs.select(id_col, text_col)
+    fetched = texts.join(wanted, id_col, "left_semi")
+    if not some.where(F.col(id_col).isNull()).isEmpty():  # sets that only rows without an id have
+        fetched = fetched.unionByName(texts.where(F.col(id_col).isNull()))
+    sets = Stored(node_sets(fetched, id_col, text_col, width).dropDuplicates(["node"]), "sets")
     edges = Linker(members.read(), sets.read(), percent).resolve()
     if edges is None:
         node_ids = by_node.select("node", F.col("node").alias("label"), "least")

@@ -119,3 +119,20 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(200, 230)] + [(1, 2), (2, 1), (3, 3)]
     got = {r.u: r.v for r in nj.components(spark.createDataFrame(edges, "a long, b long")).read().collect()}
     assert all(got[i] == 100 for i in range(101, 141)) and all(got[k] == 7 for k in range(200, 230)) and got[2] == 1
+
+
+def test_a_link_runs_through_a_row_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[3:] + ["a", "b", "c"]), " ".join(words[6:] + ["a", "b", "c", "d", "e", "f"])]
+    ids = [1, None, 3]
+    with_id = nj.groups(spark.createDataFrame(list(zip([1, 2, 3], texts, strict=True)), "doc_id long, text string"))
+    without = nj.groups(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+    want = {r.doc_id: r.component_id for r in with_id.collect()}
+    assert want == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.component_id for r in without.collect()} == {1: 1, None: 1, 3: 1}
+
+
+def test_components_that_dont_settle_are_an_error(spark):
+    path = spark.range(40).selectExpr("id a", "id + 1 b")
+    with pytest.raises(RuntimeError, match="settle"):
+        nj.components(path, most_rounds=1)
