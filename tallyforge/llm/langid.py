@@ -7,6 +7,7 @@ within the winner every pair of languages has a machine of its own and the langu
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
-FEATURES = 4096
+FEATURES = 8192
 #: Training reads so many labelled documents of a language at most, those of least hash, and whole texts.
 SAMPLE_A_LANGUAGE = 500
 #: Most languages that are told apart; labels past it are noise, not languages.
@@ -31,6 +32,9 @@ FAMILIES = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "bg": "slavic", "sk": "slavic",
 }
 UND = "und"
+#: A text of LIKENESS_BYTES letters or more is foreign to all learned languages where its cosine with every centre is under
+#: LEAST_LIKENESS; shorter texts, whose few n-grams can't be near a centre, in proportion to their length.
+LEAST_LIKENESS, LIKENESS_BYTES = 0.48, 60
 
 
 def letters(text: str | None) -> bytes:
@@ -64,20 +68,48 @@ def vector(raw: bytes) -> np.ndarray:
     return h / np.sqrt((h * h).sum())
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 5) -> np.ndarray:
-    """Weights of the squared-hinge linear machine for labels -1 and 1, by dual coordinate descent; the last column of x is ones."""
+@dataclass
+class Rows:
+    """Sparse rows: row i has `values` at `bins`, both from starts[i] to starts[i + 1]; a bias of one is understood."""
+
+    starts: np.ndarray
+    bins: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, bins: list[np.ndarray], values: list[np.ndarray]) -> Rows:
+        none = [np.zeros(0, np.int32)]
+        return cls(np.concatenate(([0], np.cumsum([len(b) for b in bins]))).astype(np.int64), np.concatenate(bins or none), np.concatenate(values or none).astype(np.float32))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def mean(self, rows: np.ndarray) -> np.ndarray:
+        """The direction of the sum of some rows."""
+        out = np.zeros(FEATURES)
+        for i in rows:
+            out[self.bins[self.starts[i] : self.starts[i + 1]]] += self.values[self.starts[i] : self.starts[i + 1]]
+        return (out / np.sqrt((out * out).sum())).astype(np.float32)
+
+
+def linear_svm(x: Rows, rows: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 5) -> np.ndarray:
+    """Weights, the bias last, of the squared-hinge linear machine for labels -1 and 1 of some rows, by dual coordinate descent."""
     rng = np.random.default_rng(seed)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    w, alpha = np.zeros(FEATURES + 1), np.zeros(len(rows))
     # The rarer class weighs more, so that unequal samples don't shift the border.
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
-    norm = np.einsum("ij,ij->i", x, x) + 1 / (2 * cost)
+    each = [(x.bins[x.starts[i] : x.starts[i + 1]], x.values[x.starts[i] : x.starts[i + 1]].astype(np.float64)) for i in rows]
+    norm = np.array([v @ v + 1 for _, v in each]) + 1 / (2 * cost)
     for _ in range(rounds):
         change = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost[i])
+        for i in rng.permutation(len(rows)):
+            bins, values = each[i]
+            g = y[i] * (w[bins] @ values + w[-1]) - 1 + alpha[i] / (2 * cost[i])
             new = max(0.0, alpha[i] - g / norm[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[bins] += step * values
+                w[-1] += step
                 change = max(change, abs(new - alpha[i]))
                 alpha[i] = new
         if change < 1e-3:
@@ -92,6 +124,11 @@ class Model:
     family_weights: np.ndarray | None = None  # families x (FEATURES + 1)
     pairs: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
     pair_weights: dict[str, np.ndarray] = field(default_factory=dict)
+    centres: np.ndarray | None = None  # languages x FEATURES
+
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """The greatest cosine of each row with a learned language's centre."""
+        return (x @ self.centres.T).max(1)
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """(language, score) of each row: the score is the logistic of the least margin on the way."""
@@ -127,9 +164,8 @@ class Model:
         return out
 
 
-def fit(x: np.ndarray, langs: list[str], families: dict[str, str] = FAMILIES) -> Model:
-    """x has a row a text and a last column of ones."""
-    known = sorted({v for v in langs if langs.count(v) >= LEAST_A_LANGUAGE})
+def fit(x: Rows, langs: list[str], families: dict[str, str] = FAMILIES) -> Model:
+    known = sorted(v for v, n in Counter(langs).items() if n >= LEAST_A_LANGUAGE)
     model = Model()
     if not known:
         return model
@@ -137,23 +173,21 @@ def fit(x: np.ndarray, langs: list[str], families: dict[str, str] = FAMILIES) ->
     for v in known:
         model.members.setdefault(families.get(v, v), []).append(v)
     model.families = sorted(model.members)
+    model.centres = np.stack([x.mean(np.flatnonzero(lang == v)) for v in known])
     family = np.array([families.get(v, v) for v in langs])
-    keep = np.isin(lang, known)
+    keep = np.flatnonzero(np.isin(lang, known))
     if len(model.families) == 1:
         model.family_weights = np.zeros((1, FEATURES + 1))
         model.family_weights[0, -1] = 1
     else:
-        known_x = x if keep.all() else x[keep]
-        model.family_weights = np.stack([linear_svm(known_x, np.where(family[keep] == f, 1, -1)) for f in model.families])
+        model.family_weights = np.stack([linear_svm(x, keep, np.where(family[keep] == f, 1, -1)) for f in model.families])
     for f, names in model.members.items():
         model.pairs[f] = list(combinations(range(len(names)), 2))
         weights = []
         for a, b in model.pairs[f]:
-            rows = np.isin(lang, [names[a], names[b]])
-            weights.append(linear_svm(x[rows], np.where(lang[rows] == names[a], 1, -1)))
-        model.pair_weights[f] = np.stack(weights) if weights else np.zeros((0, FEATURES + 1))
-    for f in model.pair_weights:
-        model.pair_weights[f] = model.pair_weights[f].astype(np.float32)
+            rows = np.flatnonzero(np.isin(lang, [names[a], names[b]]))
+            weights.append(linear_svm(x, rows, np.where(lang[rows] == names[a], 1, -1)))
+        model.pair_weights[f] = np.stack(weights).astype(np.float32) if weights else np.zeros((0, FEATURES + 1), np.float32)
     model.family_weights = model.family_weights.astype(np.float32)
     return model
 
@@ -184,33 +218,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep, vectors = [], []
+            keep, bins, values = [], [], []
             for x in batch.column(1):
                 raw = letters(x.as_py())
                 keep.append(bool(raw))
                 if raw:
-                    vectors.append(vector(raw).astype(np.float32).tobytes())
+                    v = vector(raw)
+                    at = np.flatnonzero(v)
+                    bins.append(at.astype(np.int32).tobytes())
+                    values.append(v[at].astype(np.float32).tobytes())
             kept = batch.filter(pa.array(keep))
-            return pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), pa.array(vectors, pa.binary())], ["lang", "h", "v"])
+            return pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), pa.array(bins, pa.binary()), pa.array(values, pa.binary())], ["lang", "h", "bins", "v"])
 
         return each
 
-    got = sorted(map_arrow(picked, make, "lang string, h long, v binary").collect(), key=lambda r: (r.lang, r.h))
-    if not got:
-        return Model()
-    x = np.ones((len(got), FEATURES + 1), np.float32)  # the bias is a last feature
-    for i, r in enumerate(got):
-        x[i, :-1] = np.frombuffer(r.v, np.float32)
-    langs = [r.lang for r in got]
-    del got
-    return fit(x, langs, families)
+    got = sorted(map_arrow(picked, make, "lang string, h long, bins binary, v binary").collect(), key=lambda r: (r.lang, r.h))
+    x = Rows.of([np.frombuffer(r.bins, np.int32) for r in got], [np.frombuffer(r.v, np.float32) for r in got])
+    return fit(x, [r.lang for r in got], families)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, lang_pred, score) of every whole text.
 
     Null texts and texts without letters are `und` with score 0; so is everything where nothing could be learned.  Repeated
-    rows stay.  No shuffle: the model, some 16 KB a machine, goes to the tasks.
+    rows stay.  No shuffle: the model, some 32 KB a machine, goes to the tasks.
     """
     kind = dict(docs.dtypes)[id_col]
     sent = docs.sparkSession.sparkContext.broadcast(model)

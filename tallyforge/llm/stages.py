@@ -10,11 +10,12 @@ from . import bpe, langid, mixing, ngramjoin
 from .common import Stored, map_arrow, word_count
 
 
-def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows, unchanged, whose text is in one of the learned languages.
+def identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least_score: float = 0.5, least_likeness: float = langid.LEAST_LIKENESS) -> DataFrame:
+    """The rows, unchanged, whose text is in one of `languages` (None: of all that could be learned).
 
-    Rejected are null texts, texts without letters, and texts whose winner lost a duel (score under `least_score`).
-    Where no row is labelled nothing can be learned, and only texts without letters go.
+    Rejected are null texts, texts without letters, those predicted to be in another language, those whose winner lost a duel
+    (score under `least_score`), and those foreign to all learned languages (likeness under `least_likeness`, which shrinks
+    with texts of less than LIKENESS_BYTES).  Where no row is labelled nothing can be learned, and only texts without letters go.
     """
     model = langid.train(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -26,14 +27,22 @@ def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = [False] * batch.num_rows
             for at in range(0, batch.num_rows, 512):
-                where, rows = [], []
+                where, rows, size = [], [], []
                 for i, x in enumerate(batch.column(place).slice(at, 512), at):
                     if raw := langid.letters(x.as_py()):
                         where.append(i)
                         rows.append(langid.vector(raw))
-                if rows:
-                    for i, (_, score) in zip(where, m.predict(langid.np.stack(rows)), strict=True):
-                        keep[i] = score >= least_score or not m.families
+                        size.append(len(raw))
+                if not rows:
+                    continue
+                if not m.families:
+                    for i in where:
+                        keep[i] = True
+                    continue
+                x = langid.np.stack(rows)
+                near = m.likeness(x) >= least_likeness * langid.np.minimum(1, langid.np.array(size) / langid.LIKENESS_BYTES)
+                for i, (lang, score), known in zip(where, m.predict(x), near, strict=True):
+                    keep[i] = bool(known) and score >= least_score and (languages is None or lang in languages)
             return batch.filter(pa.array(keep))
 
         return each

@@ -36,5 +36,52 @@ def test_the_sample_is_the_distinct_texts_of_least_hash(spark, monkeypatch):
     langid.train(docs)
     least = rows.where(langid.fold() != 1).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(5).collect()
     assert all(re.fullmatch("ord [a-j]+", r.text) for r in least)
-    want = langid.np.stack([langid.vector(langid.letters(r.text)) for r in least])
-    assert (seen[0][:, :-1] == want.astype("float32")).all()
+    x, np = seen[0], langid.np
+    dense = np.zeros((len(x), langid.FEATURES), "float32")
+    for i in range(len(x)):
+        dense[i, x.bins[x.starts[i] : x.starts[i + 1]]] = x.values[x.starts[i] : x.starts[i + 1]]
+    want = np.stack([langid.vector(langid.letters(r.text)) for r in least])
+    assert (dense == want.astype("float32")).all()
+
+
+def test_against_plain_machines(spark, sf):
+    """Every prediction of op10 is what dense machines, fitted row by row on the same sample, say."""
+    np = langid.np
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", (langid.fold() == 1).alias("held_out")).collect()
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    taught = {(r.lang, r.text) for r in rows if not r.held_out and r.lang is not None and r.text is not None}
+    sample = [(v, t) for v in sorted({v for v, _ in taught}) for t in sorted((t for w, t in taught if w == v), key=hashes.get)[: langid.SAMPLE_A_LANGUAGE] if langid.letters(t)]
+    x = np.stack([np.append(langid.vector(langid.letters(t)), 1) for _, t in sample])
+
+    def machine(part, y):
+        w, a, rng = np.zeros(x.shape[1]), np.zeros(len(part)), np.random.default_rng(5)
+        cost = np.where(y > 0, 10 * len(y) / (2 * (y > 0).sum()), 10 * len(y) / (2 * (y < 0).sum()))
+        for _ in range(30):
+            old = a.copy()
+            for i in rng.permutation(len(part)):
+                v = x[part[i]]
+                new = max(0.0, a[i] - (y[i] * (v @ w) - 1 + a[i] / (2 * cost[i])) / (v @ v + 1 / (2 * cost[i])))
+                w, a[i] = w + (new - a[i]) * y[i] * v, new
+            if abs(a - old).max() < 1e-3:
+                break
+        return w
+
+    lang = np.array([v for v, _ in sample])
+    family = np.array([langid.FAMILIES.get(v, v) for v in lang])
+    names = sorted(set(family))
+    first = [machine(np.arange(len(x)), np.where(family == f, 1, -1)) for f in names]
+    inner = {(a, b): machine(np.flatnonzero((lang == a) | (lang == b)), np.where(lang[(lang == a) | (lang == b)] == a, 1, -1)) for f in names for a in sorted(set(lang[family == f])) for b in sorted(set(lang[family == f])) if a < b}
+    got = {(r.doc_id, r.held_out): r.lang_pred for r in langid.op10_language_id(spark, sf).collect()}
+    wrong = 0
+    for r in rows:
+        raw = langid.letters(r.text)
+        if not raw:
+            assert got[(r.doc_id, r.held_out)] == langid.UND
+            continue
+        v = np.append(langid.vector(raw), 1)
+        f = names[int(np.argmax([w @ v for w in first]))]
+        wins = {a: sum((w @ v > 0) if p == a else (w @ v <= 0) for (p, q), w in inner.items() if a in (p, q)) for a in set(lang[family == f])}
+        most = [a for a in sorted(wins) if wins[a] == max(wins.values())]
+        wrong += got[(r.doc_id, r.held_out)] not in most
+    assert wrong == 0

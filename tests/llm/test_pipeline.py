@@ -24,6 +24,7 @@ def test_stages_by_plain_versions(spark, sf, tmp_path):
         assert name == "token_ids" or out.columns == columns
 
     rows = {r.doc_id: r for r in docs.collect()}
+    # All of the tables' documents with letters are in the languages that they teach.
     assert {r.doc_id for r in steps["language_id"].collect()} == {i for i, r in rows.items() if langid.letters(r.text)}
 
     kept = [(r.doc_id, r.text) for r in steps["language_id"].collect()]
@@ -62,3 +63,25 @@ def test_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, sf)
     assert out.count() == 0
+
+
+FOREIGN = {
+    "ru": "Мы пошли в магазин и купили хлеб, молоко и сыр для завтрака.",
+    "ja": "私は昨日、友達と一緒に映画を見に行きました。とても楽しかったです。また行きたいと思います。",
+    "ar": "ذهبت إلى السوق واشتريت الخبز والحليب والجبن من أجل الفطور في الصباح",
+    "hu": "Tegnap elmentem a boltba, és vettem kenyeret meg tejet a reggelihez, aztán hazamentem.",
+    "pl": "Poszedłem wczoraj do sklepu i kupiłem chleb oraz mleko na śniadanie, a potem wróciłem.",
+    "mash": "asdkjh qwlkejh zxmcnb qpwoeiru alskdjf zmxncbv qowieur asdkjfh zxcmnv qwpoeiru",
+}
+
+
+def test_foreign_texts_go_and_no_other(spark, sf):
+    from tallyforge.llm import stages
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "web", len(t)) for i, t in enumerate(FOREIGN.values())], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.identified(docs.unionByName(more.select(*docs.columns)))
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids == {r.doc_id for r in docs.collect() if langid.letters(r.text)}
+    english = stages.identified(docs, languages=("en",)).select("lang").collect()
+    assert english and all(r.lang in ("en", None) for r in english)
