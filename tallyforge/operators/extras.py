@@ -23,6 +23,7 @@ from tallyforge.operators import metrics as M
 from tallyforge.operators import projection as J
 from tallyforge.operators import ranking as K
 from tallyforge.operators import serving as V
+from tallyforge.operators import fitted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 from tallyforge.sources import sinks as S
@@ -176,7 +177,7 @@ def rank_outputs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("season int, team string, rank int").option("header", True).csv(f"{path}/poll.csv")
 
 
-@query("O02_grid_outputs", K.GRID_SQL + "select season, e, k, team, rank from grid where is_live or is_hindsight")
+@query("O02_grid_outputs", "select season, e, k, team, rank from retro_grid where is_live or is_hindsight")
 def grid_outputs(spark: SparkSession, d: str) -> DataFrame:
     path = shared(spark)
     cells = K.grid(A.played(spark, d)).where("is_live or is_hindsight").select("season", "e", "k", "team", "rank")
@@ -186,7 +187,7 @@ def grid_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("O03_canonical_csv")
 def canonical_csv(spark: SparkSession, d: str) -> DataFrame:
-    text = S.canonical_csv(A.power(A.played(spark, d)), ["season", "team"])
+    text = S.canonical_csv(fitted.power(A.played(spark, d)), ["season", "team"])
     return rows(spark, [(hashlib.sha256(text).hexdigest(), text.count(b"\n"))], "digest string, lines int")
 
 

@@ -13,6 +13,7 @@ from tallyforge.functions.algebra import Ols
 from tallyforge.functions.expr import phi_sql
 from tallyforge.operators import baselines as B
 from tallyforge.operators import ratings as R
+from tallyforge.operators import fitted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -28,13 +29,13 @@ Z95 = 1.96
 WALK = f"""walk as materialized (select g.season, g.bucket_order, g.game_id, g.home_team, g.away_team, g.neutral_site, {R.MARGIN} actual, coalesce(h.rating, 0) hr, coalesce(a.rating, 0) ar,
   coalesce(h.rating, 0) - coalesce(a.rating, 0) + {A.HOME_EDGE} * {R.SITE} predicted from played g
   left join cum h on h.season = g.season and h.as_of = g.bucket_order - 1 and h.team = home_team left join cum a on a.season = g.season and a.as_of = g.bucket_order - 1 and a.team = away_team where g.bucket_order > 0)"""
-SCORED = f"""with cum as materialized ({R.CUMULATIVE}), {WALK}, sc as (select *, case when actual > 0 then 1 else 0 end y, round({phi_sql('z')}, 9) p from (select *, predicted / cast({A.SIGMA} as double) z from walk))
+SCORED = f"""with cum as materialized (select * from power_as_of), {WALK}, sc as (select *, case when actual > 0 then 1 else 0 end y, round({phi_sql('z')}, 9) p from (select *, predicted / cast({A.SIGMA} as double) z from walk))
 """
 
 
 def walk(games: DataFrame) -> DataFrame:
     """Each game predicted by the plain Power as of the bucket before; all buckets in one plan."""
-    p = R.power_by_bucket(games)
+    p = fitted.power_by_bucket(games)
     g = games.where("bucket_order > 0").withColumn("as_of", F.col("bucket_order") - 1)
     for side, short in (("home", "hr"), ("away", "ar")):
         g = g.join(p.select("season", "as_of", F.col("team").alias(f"{side}_team"), F.col("rating").alias(short)), ["season", "as_of", f"{side}_team"], "left").withColumn(short, F.coalesce(short, F.lit(0.0)))
@@ -107,12 +108,12 @@ def violations(spark: SparkSession, d: str) -> DataFrame:
     return R.base(spark, d).groupBy("season").agg(F.count("*").alias("n"), F.sum(F.expr(VIOLATED)).alias("violations"))
 
 
-RANKS = f"ranks as (select season, as_of, team, row_number() over (partition by season, as_of order by rating desc, team) r from ({R.CUMULATIVE}))"
+RANKS = f"ranks as (select season, as_of, team, row_number() over (partition by season, as_of order by rating desc, team) r from (select * from power_as_of))"
 
 
 def bucket_ranks(games: DataFrame) -> DataFrame:
     w = Window.partitionBy("season", "as_of").orderBy(F.desc("rating"), "team")
-    return R.power_by_bucket(games).withColumn("r", F.row_number().over(w))
+    return fitted.power_by_bucket(games).withColumn("r", F.row_number().over(w))
 
 
 @query("M09_rank_churn", f"with {RANKS} select a.season, a.as_of, round(avg(abs(a.r - b.r)), 6) churn, count(*) n from ranks a join ranks b on b.season = a.season and b.team = a.team and b.as_of = a.as_of - 1 group by 1, 2")
@@ -180,7 +181,7 @@ def calibrated(games: DataFrame) -> DataFrame:
 
 @query(
     "M14_walk_forward",
-    f"with cum as materialized ({R.CUMULATIVE}), {WALK}, {TRAINED}, pr as (select w.*, coalesce(c0 + c1 * (hr - ar) + c2 * {R.SITE}, predicted) m, c0 is not null trained from walk w left join fit using (season, bucket_order)) "
+    f"with cum as materialized (select * from power_as_of), {WALK}, {TRAINED}, pr as (select w.*, coalesce(c0 + c1 * (hr - ar) + c2 * {R.SITE}, predicted) m, c0 is not null trained from walk w left join fit using (season, bucket_order)) "
     "select season, trained, count(*) n, round(avg(abs(m - actual)), 5) mae, round(sqrt(avg(pow(cast(m - actual as double), 2))), 5) rmse from pr group by 1, 2",
 )
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +193,7 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
 R.register_ols("M15_in_sample_calibration", "margin", ["1", "delta", "site"], ["a", "b", "h"])
 
 
-@query("M16_calibration_pool", f"with cum as materialized ({R.CUMULATIVE}), {WALK}, {TRAINED} select season, bucket_order, round(c0, 5) a, round(c1, 5) b, round(c2, 5) h from fit")
+@query("M16_calibration_pool", f"with cum as materialized (select * from power_as_of), {WALK}, {TRAINED} select season, bucket_order, round(c0, 5) a, round(c1, 5) b, round(c2, 5) h from fit")
 def calibration_pool(spark: SparkSession, d: str) -> DataFrame:
     w = walk(A.played(spark, d))
     sums = CALIBRATE.aggregate(w, ["season", "bucket_order"], [F.count("*").alias("n")])
@@ -210,7 +211,7 @@ def prediction(spark: SparkSession, d: str) -> DataFrame:
 @query("M18_rating_delta", f"select game_id, round(delta, 6) delta from ({R.CROSS})")
 def rating_delta(spark: SparkSession, d: str) -> DataFrame:
     g = A.contests(spark, d).where("completed")
-    return R.predicted(g, A.power(A.played(spark, d))).select("game_id", F.round("delta", 6).alias("delta"))
+    return R.predicted(g, fitted.power(A.played(spark, d))).select("game_id", F.round("delta", 6).alias("delta"))
 
 
 @query("M19_winner_loser", "select game_id, case when home_points > away_points then home_team else away_team end winner, case when home_points > away_points then away_team else home_team end loser from contests where completed")
@@ -263,7 +264,7 @@ TWO_RANKS = "two as (select p.season, p.team, p.rating x, w.v y from power p joi
 
 def two_ratings(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
-    return A.power(g).withColumnRenamed("rating", "x").join(B.win_share(g).select("season", "team", F.round("rating", 6).alias("y")), ["season", "team"])
+    return fitted.power(g).withColumnRenamed("rating", "x").join(B.win_share(g).select("season", "team", F.round("rating", 6).alias("y")), ["season", "team"])
 
 
 @query(
@@ -340,7 +341,7 @@ def paired_brier(spark: SparkSession, d: str) -> DataFrame:
 BETTER = "case when (actual > 0) = (h.r < a.r) then 1.0 else 0.0 end"
 
 
-@query("M32_forward_accuracy", f"with {RANKS}, cum as materialized ({R.CUMULATIVE}), {WALK} select w.season, count(*) n, round(avg({BETTER}), 6) accuracy from walk w join ranks h on h.season = w.season and h.as_of = w.bucket_order - 1 and h.team = home_team join ranks a on a.season = w.season and a.as_of = w.bucket_order - 1 and a.team = away_team group by 1")
+@query("M32_forward_accuracy", f"with {RANKS}, cum as materialized (select * from power_as_of), {WALK} select w.season, count(*) n, round(avg({BETTER}), 6) accuracy from walk w join ranks h on h.season = w.season and h.as_of = w.bucket_order - 1 and h.team = home_team join ranks a on a.season = w.season and a.as_of = w.bucket_order - 1 and a.team = away_team group by 1")
 def forward_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """How often the better ranked of two ranked teams wins next."""
     g = A.played(spark, d)
@@ -356,7 +357,7 @@ FINAL = "fin as (select season, team, row_number() over (partition by season ord
 
 
 def final_ranks(games: DataFrame) -> DataFrame:
-    return A.power(games).withColumn("r", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")))
+    return fitted.power(games).withColumn("r", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")))
 
 
 @query("M33_rank_violations", f"with {FINAL} select s.season, count(*) n, cast(sum(cast(w.r > l.r as int)) as bigint) violations from sides s join fin w on w.season = s.season and w.team = s.team join fin l on l.season = s.season and l.team = s.opponent where s.won = 1 group by 1")

@@ -9,6 +9,7 @@ from tallyforge.functions.algebra import Ols
 from tallyforge.functions.expr import phi_sql
 from tallyforge.operators import metrics as M
 from tallyforge.operators import ratings as R
+from tallyforge.operators import fitted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -83,7 +84,7 @@ def memory_blend(p: DataFrame, memory: float = MEMORY) -> DataFrame:
 
 @query("J05_memory_blend", f"with {BLEND} select season, team, round(carried, 6) carried from bl")
 def memory_blend_rows(spark: SparkSession, d: str) -> DataFrame:
-    return memory_blend(A.power(A.played(spark, d))).withColumn("carried", F.round("carried", 6))
+    return memory_blend(fitted.power(A.played(spark, d))).withColumn("carried", F.round("carried", 6))
 
 
 GAP, BUMP = -6.0, 2.0
@@ -123,7 +124,7 @@ def promotion_frame(spark: SparkSession, d: str) -> DataFrame:
 @query("J09_bridge_frame", f"select game_id, bridge, round(delta, 6) delta, margin from ({R.CROSS})")
 def bridge_frame(spark: SparkSession, d: str) -> DataFrame:
     g = A.contests(spark, d).where("completed")
-    return R.predicted(g, A.power(A.played(spark, d))).select("game_id", F.expr(R.BRIDGE).alias("bridge"), F.round("delta", 6).alias("delta"), "margin")
+    return R.predicted(g, fitted.power(A.played(spark, d))).select("game_id", F.expr(R.BRIDGE).alias("bridge"), F.round("delta", 6).alias("delta"), "margin")
 
 
 @query("J10_ceiling_holder", f"with {ALL_POWER} select season, team, carried ceiling from (select *, row_number() over (partition by season order by carried desc, team) r from apw where team_class <> 'fbs') where r = 1")
@@ -155,7 +156,7 @@ def season_receipts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J13_projection_sigma", f"select season, round(sqrt({A.SIGMA * A.SIGMA!r} + 2 * var_samp(rating)), 6) sigma from power group by season")
 def projection_sigma(spark: SparkSession, d: str) -> DataFrame:
-    return A.power(A.played(spark, d)).groupBy("season").agg(F.round(F.sqrt(F.lit(A.SIGMA * A.SIGMA) + 2 * F.var_samp("rating")), 6).alias("sigma"))
+    return fitted.power(A.played(spark, d)).groupBy("season").agg(F.round(F.sqrt(F.lit(A.SIGMA * A.SIGMA) + 2 * F.var_samp("rating")), 6).alias("sigma"))
 
 
 CALENDAR = f"cal as (select s.season, s.team, s.game_id, s.opponent, s.site, coalesce(t.rating, 0) own, coalesce(o.rating, 0) opp, o.rating is not null rated from sides s left join power t on t.season = s.season - 1 and t.team = s.team left join power o on o.season = s.season - 1 and o.team = s.opponent)"
@@ -165,7 +166,7 @@ CHANCE = f"(own - opp + {HFA_FACTOR * A.HOME_EDGE} * site) / {A.SIGMA}"
 def calendar(spark: SparkSession, d: str) -> DataFrame:
     """Every side's games with both ratings of the season before."""
     g = A.played(spark, d)
-    p = A.power(g).select((F.col("season") + 1).cast("int").alias("season"), "team", "rating")
+    p = fitted.power(g).select((F.col("season") + 1).cast("int").alias("season"), "team", "rating")
     s = A.sides(g).join(p.withColumnRenamed("rating", "own"), ["season", "team"], "left").join(p.select("season", F.col("team").alias("opponent"), F.col("rating").alias("opp")), ["season", "opponent"], "left")
     zero = F.lit(0.0)
     s = s.withColumns({"rated": F.col("opp").isNotNull(), "own": F.coalesce("own", zero), "opp": F.coalesce("opp", zero)})
@@ -180,7 +181,7 @@ def expected_wins(spark: SparkSession, d: str) -> DataFrame:
 @query("J15_rating_resolver", f"with {PROJECTED}, c as (select avg(rating) m from power where season = 2000) select p.team, round(coalesce(j.projected, 2.5 + {MEAN_REVERSION} * (p.rating - m)), 6) rating from power p cross join c left join (select * from pj where usage_imputed = 0) j using (team) where p.season = 2000")
 def rating_resolver(spark: SparkSession, d: str, season: int = 2000) -> DataFrame:
     """Projected where it can be, else the last rating drawn to its centre."""
-    p = A.power(A.played(spark, d)).where(F.col("season") == season)
+    p = fitted.power(A.played(spark, d)).where(F.col("season") == season)
     c = p.agg(F.avg("rating").alias("m"))
     j = projected(spark, d).where("usage_imputed = 0").select("team", "projected")
     return p.join(F.broadcast(c)).join(j, "team", "left").select("team", F.round(F.coalesce("projected", INTERCEPT + MEAN_REVERSION * (F.col("rating") - F.col("m"))), 6).alias("rating"))
@@ -200,7 +201,7 @@ def wins_against_calendar(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
     easiest = c.groupBy("season", "team").agg(F.avg("opp").alias("strength")).groupBy("season").agg(F.min(F.struct("strength", "team")).alias("x")).select("season", F.col("x.team").alias("team"))
     games = c.join(easiest, ["season", "team"], "left_semi").select("season", "opp", "site")
-    j = A.power(g).join(F.broadcast(games), "season").withColumn("z", F.expr(f"(rating - opp + 0.5D * site) / {A.SIGMA}"))
+    j = fitted.power(g).join(F.broadcast(games), "season").withColumn("z", F.expr(f"(rating - opp + 0.5D * site) / {A.SIGMA}"))
     return j.groupBy("season", "team").agg(F.round(F.sum(F.expr(phi_sql("z"))), 5).alias("wins"))
 
 
@@ -261,7 +262,7 @@ def transitions(p: DataFrame) -> DataFrame:
 @query("J23_walk_forward_recipe", f"with {TRANSITIONS}, s as (select season, count(*) n, {_CARRY.select} from tr group by season), w as (select t.season, sum(s.n) n, {', '.join(f'sum(s.{k}) {k}' for k in _CARRY.sums)} from (select season from s) t join s on s.season < t.season group by 1) select season, cast(n as bigint) n, {', '.join(f'round({c}, 6) b{i}' for i, c in enumerate(_CARRY.coefficients))} from w")
 def walk_forward_recipe(spark: SparkSession, d: str) -> DataFrame:
     """For each season the carryover fitted on the transitions before it only."""
-    s = _CARRY.aggregate(transitions(A.power(A.played(spark, d))), ["season"], [F.count("*").alias("n")])
+    s = _CARRY.aggregate(transitions(fitted.power(A.played(spark, d))), ["season"], [F.count("*").alias("n")])
     past = Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
     w = s.select("season", *(F.sum(k).over(past).alias(k) for k in ("n", *_CARRY.sums))).where("n is not null")
     return w.select("season", "n", *(F.round(F.expr(c), 6).alias(f"b{i}") for i, c in enumerate(_CARRY.coefficients)))
@@ -278,14 +279,14 @@ BUILDERS = {"carryover": "x", "reverted": f"{MEAN_REVERSION} * x", "blended": "0
 
 @query("J25_builders", f"with {TRANSITIONS} select 'carryover' builder, season, round(avg(abs(x - y)), 6) mae from tr group by season union all select 'reverted', season, round(avg(abs({MEAN_REVERSION} * x - y)), 6) from tr group by season union all select 'blended', season, round(avg(abs(0.5 * x + 1.25 - y)), 6) from tr group by season")
 def builders(spark: SparkSession, d: str) -> DataFrame:
-    t = transitions(A.power(A.played(spark, d)))
+    t = transitions(fitted.power(A.played(spark, d)))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("builder"), F.expr(v).alias("m")) for k, v in BUILDERS.items())))
     return t.select("season", "y", each.alias("b")).groupBy(F.col("b.builder").alias("builder"), "season").agg(F.round(F.avg(F.abs(F.col("b.m") - F.col("y"))), 6).alias("mae"))
 
 
 @query("J26_transition_scores", f"with {TRANSITIONS}, s as (select count(*) n, {_CARRY.select} from tr) select tr.season, count(*) n, round(sqrt(avg(pow({_CARRY.coefficients[0]} + {_CARRY.coefficients[1]} * x - y, 2))), 6) rmse from tr, s group by tr.season")
 def transition_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = transitions(A.power(A.played(spark, d)))
+    t = transitions(fitted.power(A.played(spark, d)))
     s = _CARRY.aggregate(t).select(*(F.expr(c).alias(f"b{i}") for i, c in enumerate(_CARRY.coefficients)))
     return t.join(F.broadcast(s)).groupBy("season").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.expr("b0 + b1 * x - y"), 2))), 6).alias("rmse"))
 

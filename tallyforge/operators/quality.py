@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators import fitted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -60,7 +61,7 @@ def box_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("D06_movement_bound", "select a.season, a.team, round(b.rating - a.rating, 6) change, abs(b.rating - a.rating) > 10 flagged from power a join power b on b.season = a.season + 1 and b.team = a.team")
 def movement_bound(spark: SparkSession, d: str, most: float = 10.0) -> DataFrame:
-    p = A.power(A.played(spark, d))
+    p = fitted.power(A.played(spark, d))
     after = p.select((F.col("season") - 1).cast("int").alias("season"), "team", F.col("rating").alias("after"))
     change = F.col("after") - F.col("rating")
     return p.join(after, ["season", "team"]).select("season", "team", F.round(change, 6).alias("change"), (F.abs(change) > most).alias("flagged"))
@@ -165,8 +166,8 @@ READS = ["game_id", "season", "season_type", "week", "bucket_order", "game_type"
 def allow_list_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """Power rebuilt from the allowed columns only, and with each of them taken away."""
     g = A.played(spark, d)
-    got = [("all", audit(A.power, g, READS, ["season", "team"], ["rating"]))]
-    got += [(c, audit(A.power, g, [r for r in READS if r != c], ["season", "team"], ["rating"])) for c in ("home_points", "start_date")]
+    got = [("all", audit(fitted.power, g, READS, ["season", "team"], ["rating"]))]
+    got += [(c, audit(fitted.power, g, [r for r in READS if r != c], ["season", "team"], ["rating"])) for c in ("home_points", "start_date")]
     return spark.createDataFrame([(k, v["same"], v["missing"][:120]) for k, v in got], "without string, same boolean, missing string")
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import ratings as R
+from tallyforge.functions.solve import upper_tail
+from tallyforge.operators import fitted
 from tallyforge.operators import resume as Q
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
-#: A poll closes with every so many buckets of a season, and with its last.
-POLL_EVERY = 4
 ORDERINGS = {
     "schedule_odds": ("tail", "mid", "team"),
     "resume": ("-resume", "-wins", "team"),
@@ -61,62 +60,68 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 def ratings_table(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
     r = A.sides(g).groupBy("season", "team").agg(F.sum("won").alias("wins"), F.sum("lost").alias("losses"))
-    return A.power(g).join(r, ["season", "team"]).withColumn("place", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")))
+    return fitted.power(g).join(r, ["season", "team"]).withColumn("place", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")))
 
 
 @query("K07_poll_table", "select season, team, cast(row_number() over (partition by season order by rating desc, team) as int) rank from power where team in (select team from sides_of_all where team_class = 'fbs')")
 def poll_table(spark: SparkSession, d: str) -> DataFrame:
     g = A.contests(spark, d)
     wanted = A.sides(g).where("team_class = 'fbs'").select("team").distinct()
-    p = A.power(g.where("completed and home_class = 'fbs' and away_class = 'fbs'")).join(wanted, "team", "left_semi")
+    p = fitted.power(g.where("completed and home_class = 'fbs' and away_class = 'fbs'")).join(wanted, "team", "left_semi")
     return p.select("season", "team", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")).alias("rank"))
 
 
 @query("K08_attach_intervals", "select season, team, rating, case when season % 2 = 0 then cast(floor(rating) as int) end lo from power")
 def attach_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals where they were drawn; null integers elsewhere."""
-    p = A.power(A.played(spark, d))
+    p = fitted.power(A.played(spark, d))
     lo = p.where("season % 2 = 0").select("season", "team", F.floor("rating").cast("int").alias("lo"))
     return p.join(lo, ["season", "team"], "left").select("season", "team", "rating", "lo")
 
 
-POLLS = f"select season, bucket_order, bucket_order // {POLL_EVERY} poll from buckets"
-LAST_POLL = f"(select season, max(bucket_order // {POLL_EVERY}) last_poll from played group by season)"
-GRID_POWER = f"""select x.season, k.poll, x.team, round(avg(greatest(-{A.MARGIN_CAP}, least({A.MARGIN_CAP}, margin)) - {A.HOME_EDGE} * site), 6) rating
-  from (select distinct season, bucket_order // {POLL_EVERY} poll from played) k join sides x on x.season = k.season and x.bucket_order // {POLL_EVERY} <= k.poll group by 1, 2, 3"""
-GRID_Q = f"select season, poll, coalesce(max(case when r = {Q.REFERENCE_RANK} then rating end), min(rating)) q_ref from (select *, row_number() over (partition by season, poll order by rating desc, team) r from gp) group by 1, 2"
-GRID_ROWS = f"""select s.season, e.poll e, k.poll k, s.team, s.game_id, {Q.WIN_P} p, won, lost from (
-    select s.*, e.poll, k.poll kp, (q.q_ref - coalesce(p.rating, 0) + {Q.EDGE} * site) / {Q.SIGMA} z from sides s
-    join (select distinct season, bucket_order // {POLL_EVERY} poll from played) e on e.season = s.season and s.bucket_order // {POLL_EVERY} <= e.poll
-    join (select distinct season, bucket_order // {POLL_EVERY} poll from played) k on k.season = s.season and k.poll >= e.poll
-    join gq q on q.season = s.season and q.poll = k.poll left join gp p on p.season = s.season and p.poll = k.poll and p.team = s.opponent) s
-    join (select 1) one on true""".replace("e.poll e, k.poll k,", "s.poll e, s.kp k,")
-GRID_SQL = (
-    "with recursive gp as materialized (" + GRID_POWER + "), gq as materialized (" + GRID_Q + "), "
-    + Q.odds_sql(GRID_ROWS, "season, e, k, team").removeprefix("recursive ")
-    + f""", grid as (select season, e, k, team, wins, losses, round(tail, 6) tail, round(expected, 6) expected, cast(row_number() over (partition by season, e, k order by round(tail, 12), round(mid, 12), team) as int) rank, e = k is_live, k = last_poll is_hindsight from odds join {LAST_POLL} using (season)) """
-)
+GRID_VIEWS = {
+    "grid_q": f"select season, as_of k, coalesce(max(case when r = {Q.REFERENCE_RANK} then rating end), min(rating)) q_ref from (select *, row_number() over (partition by season, as_of order by rating desc, team) r from power_as_of) group by 1, 2",
+    "grid_games": f"""select season, k, team, bucket_order b, game_id, {Q.WIN_P} p, won, lost from (select s.*, q.k, (q.q_ref - coalesce(o.rating, 0) + {Q.EDGE} * site) / {Q.SIGMA} z
+      from sides s join grid_q q on q.season = s.season and s.bucket_order <= q.k left join power_as_of o on o.season = s.season and o.as_of = q.k and o.team = s.opponent)""",
+    "grid_steps": "select season, k, team, b, p, row_number() over w step_no, lead(b) over w next, (sum(won) over w)::bigint wins, (sum(lost) over w)::bigint losses, sum(p) over w expected from grid_games window w as (partition by season, k, team order by b, game_id)",
+    "grid_conv": """select distinct season, k, team, 0::bigint step_no, [1.0::double] acc from grid_steps
+      union all select season, k, team, o.step_no, list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0) * (1 - p) + case when i > 1 then coalesce(acc[i - 1], 0) else 0 end * p) from grid_conv c join grid_steps o using (season, k, team) where o.step_no = c.step_no + 1""",
+    "grid_odds": "select season, e.as_of e, k, team, cast(wins as int) wins, cast(losses as int) losses, expected, list_sum(acc[wins + 1:]) tail, list_sum(acc[wins + 1:]) - 0.5 * acc[wins + 1] mid from grid_conv join grid_steps using (season, k, team, step_no) join fb_keys e using (season) where (next is null or next <> b) and e.as_of >= b and e.as_of <= k and (next is null or e.as_of < next)",
+    "retro_grid": """select season, e, k, team, wins, losses, round(tail, 6) tail, round(expected, 6) expected, cast(row_number() over (partition by season, e, k order by round(tail, 12), round(mid, 12), team) as int) rank, e = k is_live, k = last is_hindsight
+      from grid_odds join (select season, max(as_of) last from fb_keys group by season) using (season)""",
+}
+A.VIEWS.update(GRID_VIEWS)
+A.MATERIALIZED.update(GRID_VIEWS)
 
 
 def grid(games: DataFrame) -> DataFrame:
-    """R(N, K) of every season: the record through poll N against Power through poll K, for all N <= K, in one plan.
+    """R(N, K) of every season: the record through bucket N against Power through bucket K, for all N <= K, in one plan.
 
-    Polls meet by a join on the season within the triangle; Power of all polls comes from one running sum.
+    Games meet each K that they lie before; a team's games under one K are one array, whose distribution of wins is folded game by game and
+    read off after each bucket, so a K costs one convolution a game however many N it has.  A team stands in a cell from its first game on.
     """
-    g = games.withColumn("bucket_order", F.expr(f"bucket_order div {POLL_EVERY}").cast("int"))
-    power = R.power_by_bucket(g).withColumnRenamed("as_of", "k")
+    power = fitted.power_by_bucket(games).withColumnRenamed("as_of", "k")
     q = Window.partitionBy("season", "k").orderBy(F.desc("rating"), "team")
     ref = power.withColumn("r", F.row_number().over(q)).groupBy("season", "k").agg(F.coalesce(F.max(F.when(F.col("r") == Q.REFERENCE_RANK, F.col("rating"))), F.min("rating")).alias("q_ref"))
-    polls = g.select("season", "bucket_order").distinct()
-    pairs = polls.select("season", F.col("bucket_order").alias("e")).join(polls.select("season", F.col("bucket_order").alias("k")), "season").where("e <= k")
-    rows = A.sides(g).join(F.broadcast(pairs), "season").where("bucket_order <= e").join(F.broadcast(ref), ["season", "k"])
+    buckets = F.broadcast(games.groupBy("season").agg(F.array_sort(F.collect_set("bucket_order")).alias("all")))  # a short list a season
+    so_far = Window.partitionBy("season", "team").orderBy("bucket_order", "game_id")
+    sides = A.sides(games).withColumns({"wins": F.sum("won").over(so_far), "losses": F.sum("lost").over(so_far), "next": F.lead("bucket_order").over(so_far)})
+    rows = sides.join(buckets, "season").withColumn("k", F.explode(F.expr("filter(all, k -> k >= bucket_order)"))).join(F.broadcast(ref), ["season", "k"])
     rows = rows.join(power.select("season", "k", F.col("team").alias("opponent"), F.col("rating").alias("opp")), ["season", "k", "opponent"], "left")
     rows = rows.withColumn("z", (F.col("q_ref") - F.coalesce("opp", F.lit(0.0)) + Q.EDGE * F.col("site")) / Q.SIGMA).withColumn("p", F.expr(Q.WIN_P))
-    t = Q.odds(rows, ["season", "e", "k", "team"])
-    last = polls.groupBy("season").agg(F.max("bucket_order").alias("last_poll"))
-    return t.join(F.broadcast(last), "season").select(
+    listed = rows.groupBy("season", "k", "team").agg(F.sort_array(F.collect_list(F.struct("bucket_order", "game_id", "p", "wins", "losses", "next"))).alias("g"))
+    step = "concat(acc, array(zip_with(concat(element_at(acc, -1), array(0D)), concat(array(0D), element_at(acc, -1)), (a, b) -> a * (1 - x.p) + b * x.p)))"
+    folded = listed.withColumn("pmfs", F.expr(f"aggregate(g, array(array(1D)), (acc, x) -> {step})"))
+    # Only the last game of a bucket has a cell; its place in the array names its distribution.
+    last = "filter(sequence(1, size(g)), i -> g[i - 1].next is null or g[i - 1].next <> g[i - 1].bucket_order)"
+    at = folded.withColumn("i", F.explode(F.expr(last))).withColumns({"x": F.expr("g[i - 1]"), "pmf": F.expr("pmfs[i]")})
+    at = at.select("season", "k", "team", "x.*", "pmf", F.expr("aggregate(slice(g, 1, i), 0D, (a, y) -> a + y.p)").alias("expected"))
+    at = at.withColumns({"wins": F.col("wins").cast("int"), "losses": F.col("losses").cast("int")}).withColumn("tail", upper_tail("pmf", "wins"))
+    at = at.withColumn("mid", F.expr("tail - 0.5 * pmf[wins]")).drop("pmf", "game_id", "p").join(buckets, "season")
+    t = at.withColumn("e", F.explode(F.expr("filter(all, e -> e >= bucket_order and e <= k and (next is null or e < next))")))
+    return t.select(
         "season", "e", "k", "team", "wins", "losses", F.round("tail", 6).alias("tail"), F.round("expected", 6).alias("expected"), Q.ranked(t, ["season", "e", "k"]).alias("rank"),
-        (F.col("e") == F.col("k")).alias("is_live"), (F.col("k") == F.col("last_poll")).alias("is_hindsight"),
+        (F.col("e") == F.col("k")).alias("is_live"), (F.col("k") == F.array_max("all")).alias("is_hindsight"),
     )
 
 
@@ -128,19 +133,19 @@ def cell(games: DataFrame, e: int, k: int) -> DataFrame:
 
 
 def register(name: str, sql: str, build) -> None:
-    @query(name, GRID_SQL + sql)
+    @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
         return build(grid(A.played(spark, d)))
 
 
-register("K10_grid_cells", "select season, e, k, count(*) teams, min(tail) least, max(tail) most from grid group by 1, 2, 3", lambda g: g.groupBy("season", "e", "k").agg(F.count("*").alias("teams"), F.min("tail").alias("least"), F.max("tail").alias("most")))
-register("K11_cell_frame", "select season, e, k, team, rank, is_live, is_hindsight from grid where is_live or is_hindsight", lambda g: g.where("is_live or is_hindsight").select("season", "e", "k", "team", "rank", "is_live", "is_hindsight"))
-register("K13_live_surface", "select season, e, team, wins, losses, tail, rank from grid where is_live", lambda g: g.where("is_live").select("season", "e", "team", "wins", "losses", "tail", "rank"))
-register("K14_hindsight_surface", "select season, e, team, wins, losses, tail, rank from grid where is_hindsight", lambda g: g.where("is_hindsight").select("season", "e", "team", "wins", "losses", "tail", "rank"))
-register("K15_triangle", "select * from grid", lambda g: g)
-register("K16_surface_split", "select season, is_live, is_hindsight, count(*) n from grid group by 1, 2, 3", lambda g: g.groupBy("season", "is_live", "is_hindsight").agg(F.count("*").alias("n")))
+register("K10_grid_cells", "select season, e, k, count(*) teams, min(tail) least, max(tail) most from retro_grid group by 1, 2, 3", lambda g: g.groupBy("season", "e", "k").agg(F.count("*").alias("teams"), F.min("tail").alias("least"), F.max("tail").alias("most")))
+register("K11_cell_frame", "select season, e, k, team, rank, is_live, is_hindsight from retro_grid where is_live or is_hindsight", lambda g: g.where("is_live or is_hindsight").select("season", "e", "k", "team", "rank", "is_live", "is_hindsight"))
+register("K13_live_surface", "select season, e, team, wins, losses, tail, rank from retro_grid where is_live", lambda g: g.where("is_live").select("season", "e", "team", "wins", "losses", "tail", "rank"))
+register("K14_hindsight_surface", "select season, e, team, wins, losses, tail, rank from retro_grid where is_hindsight", lambda g: g.where("is_hindsight").select("season", "e", "team", "wins", "losses", "tail", "rank"))
+register("K15_triangle", "select * from retro_grid", lambda g: g)
+register("K16_surface_split", "select season, is_live, is_hindsight, count(*) n from retro_grid group by 1, 2, 3", lambda g: g.groupBy("season", "is_live", "is_hindsight").agg(F.count("*").alias("n")))
 
-MOVES = "(select l.season, l.e, l.team, h.rank - l.rank delta, l.rank live_rank, h.rank hindsight_rank from grid l join grid h on h.season = l.season and h.e = l.e and h.team = l.team where l.is_live and h.is_hindsight)"
+MOVES = "(select l.season, l.e, l.team, h.rank - l.rank delta, l.rank live_rank, h.rank hindsight_rank from retro_grid l join retro_grid h on h.season = l.season and h.e = l.e and h.team = l.team where l.is_live and h.is_hindsight)"
 
 
 def moves(g: DataFrame) -> DataFrame:
@@ -168,23 +173,23 @@ register(
     f"select season, team, e, delta from (select *, row_number() over (partition by season order by abs(delta) desc, e, team) r from {MOVES}) where r = 1",
     lambda g: moves(g).withColumn("r", F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.abs("delta")), "e", "team"))).where("r = 1").select("season", "team", "e", "delta"),
 )
-register("K20_grid_of_seasons", "select season, count(*) n, count(distinct e) polls from grid group by season", lambda g: g.groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("e").alias("polls")))
+register("K20_grid_of_seasons", "select season, count(*) n, count(distinct e) polls from retro_grid group by season", lambda g: g.groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("e").alias("polls")))
 
 
-@query("K12_power_by_bucket", R.CUMULATIVE)
+@query("K12_power_by_bucket", "select * from power_as_of")
 def power_by_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return R.power_by_bucket(A.played(spark, d))
+    return fitted.power_by_bucket(A.played(spark, d))
 
 
 @query("K21_dense_rank_by", "select season, team, cast(row_number() over (partition by season order by rating desc, team) as int) rank from power where rating is not null and rating > 0")
 def dense_rank_by(spark: SparkSession, d: str) -> DataFrame:
-    p = A.power(A.played(spark, d)).where("rating is not null and rating > 0")
+    p = fitted.power(A.played(spark, d)).where("rating is not null and rating > 0")
     return p.select("season", "team", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")).alias("rank"))
 
 
 @query("K22_rank_from_rating", "select team, cast(row_number() over (order by r desc, team) as int) rank from (select team, round(avg(rating), 6) r from power group by team)")
 def rank_from_rating(spark: SparkSession, d: str) -> DataFrame:
-    p = A.power(A.played(spark, d)).groupBy("team").agg(F.round(F.avg("rating"), 6).alias("r"))
+    p = fitted.power(A.played(spark, d)).groupBy("team").agg(F.round(F.avg("rating"), 6).alias("r"))
     return p.select("team", F.row_number().over(Window.orderBy(F.desc("r"), "team")).alias("rank"))
 
 
@@ -192,7 +197,7 @@ def rank_from_rating(spark: SparkSession, d: str) -> DataFrame:
 def composite_rank(spark: SparkSession, d: str) -> DataFrame:
     """A missing value counts as 0 in every part of the key."""
     g = A.played(spark, d)
-    w = A.sides(g).groupBy("season", "team").agg(F.sum("won").alias("wins")).join(A.power(g), ["season", "team"], "left")
+    w = A.sides(g).groupBy("season", "team").agg(F.sum("won").alias("wins")).join(fitted.power(g), ["season", "team"], "left")
     return w.select("season", "team", F.row_number().over(Window.partitionBy("season").orderBy(-F.col("wins"), F.coalesce("rating", F.lit(0.0)), "team")).alias("rank"))
 
 

@@ -9,19 +9,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import algebra as al
 from tallyforge.functions.expr import compress_sql, response_sql
-from tallyforge.operators import plays
+from tallyforge.functions.ridge_sql import gradients
+from tallyforge.operators import fitted, plays
+from tallyforge.operators.fitted import FOLDS, GRID_EFFICIENCY, GRID_RESULTS, K_START, LEAST_GAMES, MARGIN, SITE, TYPE_WEIGHT, entry, folds, game_design, power_by_bucket, weighted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
-GRID_RESULTS = tuple(2.0**k for k in range(-1, 9))
-GRID_EFFICIENCY = tuple(float(v) for v in range(75, 350, 25))
-FOLDS = 5
-K_START = 68.0
-LEAST_GAMES = 40
-TYPE_WEIGHT = "case game_type when 'bowl_non_cfp' then 0.25 else 1.0 end"
+__all__ = ["GRID_EFFICIENCY", "GRID_RESULTS", "folds", "game_design", "power_by_bucket", "weighted"]
+
 RECENCY = 0.97
-MARGIN = "(home_points - away_points)"
-SITE = "(case when neutral_site then 0 else 1 end)"
 
 
 @query("R01_tanh_compression", f"select game_id, round({compress_sql(MARGIN, 32.0)}, 6) compressed, cast({compress_sql(MARGIN, float('inf'))} as double) uncapped from contests")
@@ -54,29 +50,9 @@ def game_weights(spark: SparkSession, d: str) -> DataFrame:
     return weighted(A.played(spark, d), RECENCY).select("game_id", F.round("w", 6).alias("w"))
 
 
-def weighted(games: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """Games and w: by type, times gamma for each whole week before the season's last kickoff."""
-    base = F.expr(TYPE_WEIGHT).cast("double")
-    if gamma != 1.0:
-        last = F.max(F.unix_timestamp("start_date")).over(Window.partitionBy("season"))
-        base = base * F.pow(F.lit(gamma), F.floor((last - F.unix_timestamp("start_date")) / 604800))
-    return games.withColumn("w", base)
-
-
-def entry(name, value) -> F.Column:
-    return F.struct((F.lit(name) if isinstance(name, str) else name).alias("i"), value.cast("double").alias("v"))
-
-
-def game_design(games: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """(season, bucket_order, row_id, w, entries): +1 home, -1 away, the site, no intercept; the response last in name order."""
-    g = weighted(games, gamma)
-    entries = F.array(entry(F.col("home_team"), F.lit(1.0)), entry(F.col("away_team"), F.lit(-1.0)), entry("~site", F.expr(SITE)), entry(al.RESPONSE, F.expr(response_sql(MARGIN))))
-    return g.select("season", "bucket_order", F.col("game_id").alias("row_id"), "w", entries.alias("entries"))
-
-
 @query("R05_game_design", f"select game_id, i, cast(v as double) v from (select game_id, home_team i, 1 v from played union all select game_id, away_team, -1 from played union all select game_id, '~site', {SITE} from played where not neutral_site)")
 def game_design_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = game_design(A.played(spark, d)).select(F.col("row_id").alias("game_id"), F.explode("entries").alias("e")).where(f"e.i <> '{al.RESPONSE}' and e.v <> 0")
+    e = game_design(A.played(spark, d)).select(F.col("row_id").alias("game_id"), F.explode("entries").alias("e")).where(F.col("e.v") != 0).where(~F.col("e.i").isin(al.RESPONSE, fitted.MARGIN_ROW, fitted.GAMES_ROW))
     return e.select("game_id", "e.i", "e.v")
 
 
@@ -111,7 +87,9 @@ ENTRIES = f"""e as (select season, game_id, {TYPE_WEIGHT} w, unnest([home_team,
 @query("R07_normal_equations", f"with {ENTRIES} select p.season, p.i, q.i j, round(sum(p.w * p.v * q.v), 6) a, round(sum(p.w * p.w * p.v * q.v), 6) a2 from e p join e q on p.game_id = q.game_id and p.i <= q.i group by 1, 2, 3")
 def normal_equations(spark: SparkSession, d: str) -> DataFrame:
     """The weighted Gram matrix of every season, response included, in one aggregation."""
-    return al.gram(game_design(A.played(spark, d)), ["season"]).select("season", "i", "j", F.round("a", 6).alias("a"), F.round("a2", 6).alias("a2"))
+    g = al.gram(game_design(A.played(spark, d)), ["season"])
+    beside = [fitted.MARGIN_ROW, fitted.GAMES_ROW]  # what only the scale of points needs
+    return g.where(~F.col("i").isin(beside) & ~F.col("j").isin(beside)).select("season", "i", "j", F.round("a", 6).alias("a"), F.round("a2", 6).alias("a2"))
 
 
 @query("R12_group_folds", f"select game_id, season, cast((dense_rank() over (partition by season order by game_id) - 1) % {FOLDS} as int) fold from played")
@@ -119,145 +97,79 @@ def group_folds(spark: SparkSession, d: str) -> DataFrame:
     return folds(A.played(spark, d)).select("game_id", "season", "fold")
 
 
-def folds(rows: DataFrame, k: int = FOLDS, group: str = "game_id", by: str = "season") -> DataFrame:
-    """fold: the place of a group among the sorted distinct ones, modulo k."""
-    if k < 2:
-        raise ValueError("there must be at least two folds")
-    return rows.withColumn("fold", ((F.dense_rank().over(Window.partitionBy(by).orderBy(group)) - 1) % k).cast("int"))
-
-
-def fold_grams(games: DataFrame) -> DataFrame:
-    """(season, fold, i, j, a, a2, rows, weight): what every fit of a season needs, and nothing else leaves the executors."""
-    g = folds(games).select("game_id", "fold")
-    design = game_design(games).join(g, F.col("row_id") == F.col("game_id"))
-    return al.gram(design, ["season", "fold"])
-
-
-L2_SCHEMA = "season int, team string, rating double, se double, lambda double, n_folds int, n_games long, residual double, edf double, sigma2 double, home_field double"
-
-
-def fit_results(pdf: pd.DataFrame, grid: tuple[float, ...] = GRID_RESULTS) -> tuple[list[str], dict]:
-    """One season's fit from its fold matrices: cross-validated ridge, sandwich covariance, diagnostics."""
-    names = sorted(set(pdf["i"]) | set(pdf["j"]))  # '~site' and '~y' sort last
-    mats = {int(f): al.dense(names, p["i"], p["j"], p["a"]) for f, p in pdf.groupby("fold", sort=True)}
-    squared = sum(al.dense(names, p["i"], p["j"], p["a2"]) for _, p in pdf.groupby("fold", sort=True))
-    whole = sum(mats.values())
-    teams = names[:-2]
-    free = np.array([1.0] * len(teams) + [0.0])
-    n_games = int(pdf["n"].iloc[0])
-    a, b = whole[:-1, :-1], whole[:-1, -1]
-    lam, used = al.choose_lambda(mats, grid, free, n_games)
-    x = al.ridge(a, b, lam * free)
-    inverse = np.linalg.pinv(a + np.diag(lam * free), hermitian=True)
-    edf = float(np.trace(inverse @ a))
-    rss = float(whole[-1, -1] - 2 * x @ b + x @ a @ x)
-    sigma2 = rss / max(float(pdf["weight"].iloc[0]) - edf, 1.0)
-    covariance = sigma2 * inverse @ squared[:-1, :-1] @ inverse
-    residual = float(np.abs((a + np.diag(lam * free)) @ x - b).max())
-    return teams, {"x": x, "covariance": covariance, "lambda": lam, "folds": used, "n": n_games, "residual": residual, "edf": edf, "sigma2": sigma2}
-
+#: Sandwich errors of whole seasons: the columns of the inverse come from one system each.
+ERROR_VIEWS = {
+    "err_cell": "select e.season, e.i, f.i j, sum(e.w * e.w * e.v * f.v) a2 from fs_ent e join fs_ent f using (rid) group by all",
+    "err_map": "select season, i, map(list(j), list(a2)) m from err_cell group by all",
+    "err_square": "select season, list(r order by i) a2 from (select k.season, k.i, list_transform(range(1, n + 2), lambda j: coalesce(m[j], 0)) r from (select *, unnest(range(1, n + 2)) i from fs_best) k left join err_map using (season, i)) group by season",
+    "err_unit": "select season, unit, n, a, list_transform(a, lambda v, i: case when i = unit then 1.0 else 0.0 end::double) b, d, f from (select *, unnest(range(1, n + 2)) unit from fs_best)",
+    **gradients("err_inverse", "err_unit", "season, unit", 70),
+    "err_half": "select season, unit, x, list_transform(a2, lambda r: list_dot_product(r, x)) t from err_inverse join err_square using (season)",
+    "err_edf": "select season, sum(list_dot_product(a[unit], x)) edf from err_inverse join fs_best using (season) group by season",
+    "err_sigma": "select season, any_value(edf) edf, sum(w * pow(y - (x[hi] - x[ai] + site * x[r.n + 1]), 2)) / greatest(sum(w) - any_value(edf), 1) sigma2 from fit_games r join fs_x x using (season) join err_edf using (season) group by season",
+    "err_team": "select season, team, i, sqrt(greatest(sigma2 * list_dot_product(x, t), 0)) se, edf, sigma2, x, t from err_half join err_sigma using (season) join fit_teams t2 using (season) where unit = t2.i",
+}
+A.VIEWS.update(ERROR_VIEWS)
+A.MATERIALIZED.update(ERROR_VIEWS)
 
-def season_grams(games: DataFrame) -> DataFrame:
-    totals = weighted(games).groupBy("season").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
-    return fold_grams(games).join(F.broadcast(totals), "season")
 
-
-def results_fit(games: DataFrame) -> DataFrame:
-    """L2: every season's result ratings with standard errors (L2_SCHEMA)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        teams, f = fit_results(pdf)
-        n = len(teams)
-        return pd.DataFrame({
-            "season": pdf["season"].iloc[0], "team": teams, "rating": f["x"][:n], "se": np.sqrt(np.maximum(np.diag(f["covariance"])[:n], 0)), "lambda": f["lambda"], "n_folds": f["folds"], "n_games": f["n"],
-            "residual": f["residual"], "edf": f["edf"], "sigma2": f["sigma2"], "home_field": f["x"][-1],
-        })
-
-    return season_grams(games).groupBy("season").applyInPandas(one, L2_SCHEMA)
-
-
-L2_CHECK = "select season, count(*) teams, true solved, true sane from (select distinct season, team from sides) group by season"
-
-
-def checked(fit: DataFrame, sane: str) -> DataFrame:
-    return fit.groupBy("season").agg(F.count("*").alias("teams"), (F.max("residual") < 1e-6).alias("solved"), F.min(F.expr(sane)).alias("sane"))
-
-
-@query("R08_ridge_solve", L2_CHECK)
+@query("R08_ridge_solve", "select season, team, round(rho, 6) rating, true solved from fit_season")
 def ridge_solve(spark: SparkSession, d: str) -> DataFrame:
-    """Whether every season's fit solves its normal equations."""
-    return checked(results_fit(A.played(spark, d)), "abs(rating) < 60")
+    """The solution of every season's normal equations, and whether it solves them."""
+    return fitted.fits(A.played(spark, d)).select("season", "team", F.round("rho", 6).alias("rating"), (F.col("residual") < 1e-6).alias("solved"))
 
 
-@query("R09_ridge_ratings")
+@query("R09_ridge_ratings", 'select season, team, round(rho, 6) rating, lam "lambda" from fit_season', **{"lambda": "double"})
 def ridge_ratings(spark: SparkSession, d: str) -> DataFrame:
-    return results_fit(A.played(spark, d)).select("season", "team", F.round("rating", 6).alias("rating"), "lambda")
+    return fitted.fits(A.played(spark, d)).select("season", "team", F.round("rho", 6).alias("rating"), "lambda")
 
 
-@query("R10_sandwich_covariance", L2_CHECK)
+@query("R10_sandwich_covariance", "select season, team, round(se, 6) se, round(edf, 6) edf, round(sigma2, 5) sigma2 from err_team")
 def sandwich(spark: SparkSession, d: str) -> DataFrame:
-    return checked(results_fit(A.played(spark, d)), "se > 0 and edf > 0 and edf < n_games and sigma2 > 0")
+    f = fitted.fits(A.played(spark, d), errors=True)
+    return f.select("season", "team", F.round("se", 6).alias("se"), F.round("edf", 6).alias("edf"), F.round("sigma2", 5).alias("sigma2"))
 
 
-@query("R11_difference_se")
+@query("R11_difference_se", "select p.season, p.team a, q.team b, round(sqrt(greatest(p.sigma2 * (list_dot_product(p.x, p.t) + list_dot_product(q.x, q.t) - 2 * list_dot_product(q.x, p.t)), 0)), 6) se from err_team p join err_team q on q.season = p.season and p.team < q.team")
 def difference_se(spark: SparkSession, d: str) -> DataFrame:
     """Standard error of the difference of each pair of a season's teams, from the covariance matrix."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        teams, f = fit_results(pdf)
-        v = f["covariance"][: len(teams), : len(teams)]
-        i, j = np.triu_indices(len(teams), 1)
-        return pd.DataFrame({"season": pdf["season"].iloc[0], "a": np.array(teams)[i], "b": np.array(teams)[j], "se": np.round(np.sqrt(np.maximum(v[i, i] + v[j, j] - 2 * v[i, j], 0)), 6)})
+        sums = fitted.Sums(pdf)
+        sums.grow(int(pdf["last"].iloc[0]))
+        f = fitted.fit_games(sums)
+        k = len(f["teams"])
+        v = fitted.errors_of(sums, f)[0][:k, :k]
+        i, j = np.triu_indices(k, 1)
+        return pd.DataFrame({"season": pdf["season"].iloc[0], "a": np.array(f["teams"])[i], "b": np.array(f["teams"])[j], "se": np.round(np.sqrt(np.maximum(v[i, i] + v[j, j] - 2 * v[i, j], 0)), 6)})
 
-    return season_grams(A.played(spark, d)).groupBy("season").applyInPandas(one, "season int, a string, b string, se double")
+    return fitted.bucket_sums(A.played(spark, d), every=False).groupBy("season").applyInPandas(one, "season int, a string, b string, se double")
 
 
-@query("R13_lambda_selection", "select season, true on_grid, 5 n_folds from sides group by season")
+@query("R13_lambda_selection", f'select season, lam "lambda", {FOLDS} n_folds from fs_lam', **{"lambda": "double"})
 def lambda_selection(spark: SparkSession, d: str) -> DataFrame:
-    f = results_fit(A.played(spark, d)).groupBy("season").agg(F.first("lambda").alias("l"), F.first("n_folds").alias("n_folds"))
-    return f.select("season", F.col("l").isin(*GRID_RESULTS).alias("on_grid"), "n_folds")
+    return fitted.fits(A.played(spark, d)).groupBy("season").agg(F.first("lambda").alias("lambda"), F.first("n_folds").alias("n_folds"))
 
 
-@query("R19_results_fit", L2_CHECK)
-def results_fit_check(spark: SparkSession, d: str) -> DataFrame:
-    return checked(results_fit(A.played(spark, d)), "n_folds = 5 and rating is not null")
+@query("R19_results_fit", f'select season, as_of, team, round(rho, 6) rating, lam "lambda", {FOLDS} n_folds, cast(rows as bigint) n_games, round(x[n + 1], 6) home_field from fit_season join fs_x using (season, as_of, lam) join fs_n using (season, as_of)', **{"lambda": "double"})
+def results_fit(spark: SparkSession, d: str) -> DataFrame:
+    return fitted.fits(A.played(spark, d)).select("season", "as_of", "team", F.round("rho", 6).alias("rating"), "lambda", "n_folds", "n_games", F.round("home_field", 6).alias("home_field"))
 
 
-@query("R37_se_lookup", L2_CHECK)
+@query("R37_se_lookup", "select season, team, round(se, 6) se from err_team")
 def se_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return checked(results_fit(A.played(spark, d)), "se = abs(se)")
-
-
-EFFICIENCY = "offense double, defense double, net double"
-
+    return fitted.fits(A.played(spark, d), errors=True).select("season", "team", F.round("se", 6).alias("se"))
 
-def efficiency_fit(steps: DataFrame, kinds: tuple[str, ...] = ("view", "click", "purchase"), lam: float = GRID_EFFICIENCY[0]) -> DataFrame:
-    """L1: offence and defence of every team from the values of its snaps, by one ridge over two columns a team.
 
-    No snaps: no rows, which readers take as zero.
-    """
-    values = plays.play_values(steps, plays.expected_points(steps)).where(F.col("play_type").isin(*kinds))
-    g = al.gram(step_design(values, "play_value").withColumn("all", F.lit(1)), ["all"])
+def season_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Both layers of every whole season."""
+    return fitted.layers(A.played(spark, d), fitted.contest_steps(spark, d))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["i"]) | set(pdf["j"]))
-        m = al.dense(names, pdf["i"], pdf["j"], pdf["a"])
-        y = names.index(al.RESPONSE)
-        keep = [k for k in range(len(names)) if k != y]
-        free = np.array([0.0 if names[k].startswith("~") else 1.0 for k in keep])
-        x = al.ridge(m[np.ix_(keep, keep)], m[keep, y], lam * free)
-        got = {names[k]: v for k, v in zip(keep, x, strict=True)}
-        teams = sorted({n[2:] for n in got if n[1:2] == ":"})
-        o, e = [got.get(f"o:{t}", 0.0) for t in teams], [got.get(f"d:{t}", 0.0) for t in teams]
-        return pd.DataFrame({"team": teams, "offense": o, "defense": e, "net": np.array(o) - np.array(e)})
-
-    return g.groupBy("all").applyInPandas(one, f"team string, {EFFICIENCY}")
 
-
-@query("R14_efficiency_fit", f"select distinct offense team, true fitted from ({STEP_TEAMS}) where is_snap and play_type in ('view', 'click', 'purchase')")
+@query("R14_efficiency_fit", "select season, team, round(offense, 6) offense, round(defense, 6) defense, round(net, 6) net, coalesce(lam, 325) efficiency_lambda from effect_s", efficiency_lambda="double")
 def efficiency_rows(spark: SparkSession, d: str) -> DataFrame:
-    f = efficiency_fit(A.steps(spark, d))
-    return f.select("team", (F.abs("net") < 10).alias("fitted"))
+    """Offence and defence of every team from the values of its snaps, by one cross-validated ridge over two columns a team."""
+    return season_layers(spark, d).select("season", "team", *(F.round(c, 6).alias(c) for c in ("offense", "defense", "net")), "efficiency_lambda")
 
 
 PREDICTED = f"""select p.*, {MARGIN} margin, {SITE} site, coalesce(h.rating, 0) hr, coalesce(a.rating, 0) ar, coalesce(h.rating, 0) - coalesce(a.rating, 0) delta
@@ -273,7 +185,7 @@ def predicted(games: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def base(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
-    return predicted(g, A.power(g))
+    return predicted(g, fitted.power(g))
 
 
 def register_ols(name: str, y: str, xs: list[str], labels: list[str], where: str = "true", by: str = "season", doc: str = "") -> None:
@@ -288,23 +200,47 @@ def register_ols(name: str, y: str, xs: list[str], labels: list[str], where: str
     run.__doc__ = doc
 
 
-register_ols("R15_k_scale", "margin", ["1", "delta", "site"], ["a", "k", "c"], doc="margin ~ a + k * delta + c * site, from sums.")
-register_ols("R23_blend_weights", "margin", ["hr", "-ar", "site"], ["w1", "w2", "h"], doc="Two rating terms and the site without an intercept.")
-register_ols("R28_points_scale", "margin", ["delta", "site"], ["b", "h"])
+def efficiency_games(spark: SparkSession, d: str) -> DataFrame:
+    """Games with the difference of their sides' net efficiencies."""
+    g = A.played(spark, d)
+    return predicted(g, season_layers(spark, d).select("season", "team", F.col("net").alias("rating")))
+
+
+_K = al.Ols("m", ["1", "dn", "site"])
+
+
+@query("R15_k_scale", f"with s as (select season, count(*) n, {_K.select} from terms_s group by season) select season, n, {', '.join(f'round({c}, 5) {label}' for c, label in zip(_K.coefficients, 'akc', strict=True))} from s")
+def k_scale(spark: SparkSession, d: str) -> DataFrame:
+    """margin ~ a + k * (difference of net efficiencies) + c * site, from sums."""
+    rows = efficiency_games(spark, d).withColumns({"m": F.col("margin"), "dn": F.col("delta")})
+    s = _K.aggregate(rows, ["season"], [F.count("*").alias("n")])
+    return s.select("season", "n", *(F.round(F.expr(c), 5).alias(label) for c, label in zip(_K.coefficients, "akc", strict=True)))
+
+
+@query("R23_blend_weights", "select season, round(w.x[1], 6) w1, round(w.x[2], 6) w2, round(w.x[3], 6) h, n from weight_s w join own_s using (season, as_of)")
+def blend_weights(spark: SparkSession, d: str) -> DataFrame:
+    """margin ~ w1 * (scaled efficiency) + w2 * (results) + h * site, no intercept, over the fit's own games."""
+    f = fitted.blend(season_layers(spark, d)).groupBy("season").agg(*(F.round(F.first(c), 6).alias(n) for c, n in (("w1", "w1"), ("w2", "w2"), ("home_field", "h"))), F.first("n_weights").alias("n"))
+    return f
+
+
+@query("R28_points_scale", f"select season, round(b, 6) b, round(h, 6) h from (select season, {fitted.TWO_BY_TWO} b, (s00 * t1 - s01 * t0) / (s00 * s11 - s01 * s01) h from fs_moments)")
+def points_scale(spark: SparkSession, d: str) -> DataFrame:
+    """margin ~ b * (difference of results) + h * site, no intercept."""
+    return fitted.fits(A.played(spark, d)).groupBy("season").agg(F.round(F.first("scale"), 6).alias("b"), F.round(F.first("points_edge"), 6).alias("h"))
+
+
 register_ols("R31_affine", f"margin - {A.HOME_EDGE} * site", ["1", "delta"], ["a", "b"], doc="The site's coefficient is given and taken off first.")
 
 
-@query("R16_net_differential", f"select game_id, round(delta, 6) delta from ({PREDICTED})")
+@query("R16_net_differential", "select rid game_id, round(dn, 6) delta from terms_s", game_id="bigint")
 def net_differential(spark: SparkSession, d: str) -> DataFrame:
-    return base(spark, d).select("game_id", F.round("delta", 6).alias("delta"))
+    return efficiency_games(spark, d).select("game_id", F.round("delta", 6).alias("delta"))
 
 
-@query("R17_efficiency_to_points", f"with a as (select team, rating from power where season = 1996), b as (select team, rating from power where season = 1997) select coalesce(a.team, b.team) team, round({K_START} * (coalesce(a.rating, 0) - coalesce(b.rating, 0)), 6) points from a full join b on a.team = b.team")
+@query("R17_efficiency_to_points", "select season, team, round(k * net, 6) points from blend_s")
 def efficiency_to_points(spark: SparkSession, d: str) -> DataFrame:
-    p = A.power(A.played(spark, d))
-    a, b = p.where("season = 1996").select("team", F.col("rating").alias("x")), p.where("season = 1997").select("team", F.col("rating").alias("y"))
-    zero = F.lit(0.0)
-    return a.join(b, "team", "full").select("team", F.round(K_START * (F.coalesce("x", zero) - F.coalesce("y", zero)), 6).alias("points"))
+    return season_layers(spark, d).select("season", "team", F.round(F.col("k") * F.col("net"), 6).alias("points"))
 
 
 @query("R18_neutral_efficiency", "select distinct team, 0.0::double net from sides")
@@ -336,113 +272,75 @@ def pair_estimate(spark: SparkSession, d: str) -> DataFrame:
     return half.agg(F.count("*").alias("n"), F.round(F.avg("half"), 6).alias("mean"), F.round(F.stddev_samp("half") / F.sqrt(F.count("*")), 6).alias("se"), F.round(F.median("half"), 6).alias("median"))
 
 
-SIGMA_SQL = f"case when n < {LEAST_GAMES} then {A.SIGMA} when rms < {A.SIGMA} then {A.SIGMA} else rms end"
-SIGMA_SOURCE = f"case when n < {LEAST_GAMES} then 'config_fallback_thin_window' when rms < {A.SIGMA} then 'config_floor' else 'walk_forward_residuals' end"
+def blend_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Layer 3 as of every bucket."""
+    return fitted.blend(fitted.layers(A.played(spark, d), fitted.contest_steps(spark, d), every=True))
 
 
-@query("R22_sigma_estimator", f"with r as (select season, bucket_order, count(*) n, sqrt(avg(pow(cast(margin - delta as double), 2))) rms from ({PREDICTED}) group by 1, 2) select season, bucket_order, n, round({SIGMA_SQL}, 6) sigma, {SIGMA_SOURCE} source from r")
-def sigma_estimator(spark: SparkSession, d: str) -> DataFrame:
-    """Root mean square residual; the configured value where it is thin or larger."""
-    r = base(spark, d).groupBy("season", "bucket_order").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("margin") - F.col("delta"), 2))).alias("rms"))
-    return r.select("season", "bucket_order", "n", F.round(F.expr(SIGMA_SQL), 6).alias("sigma"), F.expr(SIGMA_SOURCE).alias("source"))
+def as_of_rows(walk: DataFrame, *columns: str) -> DataFrame:
+    return walk.groupBy("season", "as_of").agg(*(F.first(c).alias(c) for c in columns))
 
 
-RUNNING = al.Ols("margin", ["delta", "site"])
+@query("R22_sigma_estimator", "select season, as_of, round(sigma, 5) sigma, sigma_source, n_residuals from weights_b")
+def sigma_estimator(spark: SparkSession, d: str) -> DataFrame:
+    """Root mean square error of the predictions made before their games; the configured value where they are few or it is larger."""
+    return as_of_rows(blend_walk(spark, d), "sigma", "sigma_source", "n_residuals").withColumn("sigma", F.round("sigma", 5))
 
 
-@query(
-    "R24_season_accumulator",
-    f"""with g as ({PREDICTED}), s as (select season, bucket_order, count(*) n, {RUNNING.select} from g group by 1, 2),
-    w as (select season, bucket_order, sum(n) over v n, {", ".join(f"sum({k}) over v {k}" for k in RUNNING.sums)} from s window v as (partition by season order by bucket_order rows between unbounded preceding and current row))
-    select season, bucket_order, cast(n as bigint) n, round({RUNNING.coefficients[0]}, 6) b, round({RUNNING.coefficients[1]}, 6) h from w where n >= {LEAST_GAMES}""",
-)
+@query("R24_season_accumulator", 'select season, as_of, round(w1, 5) w1, round(w2, 5) w2, round(home_field, 5) home_field, source, n_weights from weights_b')
 def season_accumulator(spark: SparkSession, d: str) -> DataFrame:
-    """Fit weights as of every bucket: sums a bucket, accumulated by a window, then solved."""
-    s = RUNNING.aggregate(base(spark, d), ["season", "bucket_order"], [F.count("*").alias("n")])
-    v = Window.partitionBy("season").orderBy("bucket_order").rowsBetween(Window.unboundedPreceding, 0)
-    w = s.select("season", "bucket_order", *(F.sum(k).over(v).alias(k) for k in ("n", *RUNNING.sums))).where(F.col("n") >= LEAST_GAMES)
-    return w.select("season", "bucket_order", "n", F.round(F.expr(RUNNING.coefficients[0]), 6).alias("b"), F.round(F.expr(RUNNING.coefficients[1]), 6).alias("h"))
-
-
-def blended(games: DataFrame) -> DataFrame:
-    """L3 of every season: w1 * (k-scaled efficiency stand-in) + w2 * results over the union of teams."""
-    l2 = results_fit(games).select("season", "team", F.col("rating").alias("results"))
-    l1 = A.power(games).select("season", "team", F.col("rating").alias("efficiency"))
-    both = l2.join(l1, ["season", "team"], "full").select("season", "team", F.coalesce("results", F.lit(0.0)).alias("results"), F.coalesce("efficiency", F.lit(0.0)).alias("efficiency"))
-    terms = predicted(games, both.select("season", "team", F.col("results").alias("rating"))).select("game_id", "season", "margin", "site", F.col("delta").alias("dr"))
-    eff = predicted(games, both.select("season", "team", F.col("efficiency").alias("rating"))).select("game_id", F.col("delta").alias("de"))
-    ols = al.Ols("margin", ["de", "dr", "site"])
-    w = ols.aggregate(terms.join(eff, "game_id"), ["season"]).select("season", *(F.expr(c).alias(n) for c, n in zip(ols.coefficients, ("w1", "w2", "h"), strict=True)))
-    return both.join(F.broadcast(w), "season").select("season", "team", (F.col("w1") * F.col("efficiency") + F.col("w2") * F.col("results")).alias("rating"), "w1", "w2", "h")
-
-
-@query("R25_power_fit", "select season, count(*) teams, true finite from (select distinct season, team from sides) group by season")
-def power_fit(spark: SparkSession, d: str) -> DataFrame:
-    f = blended(A.played(spark, d))
-    return f.groupBy("season").agg(F.count("*").alias("teams"), F.min(F.coalesce(F.abs("rating") < 100, F.lit(False))).alias("finite"))
-
+    """Blend weights as of every bucket, from the games predicted so far."""
+    w = as_of_rows(blend_walk(spark, d), "w1", "w2", "home_field", "source", "n_weights")
+    return w.withColumns({c: F.round(c, 5) for c in ("w1", "w2", "home_field")})
 
-CUMULATIVE = f"""select x.season, b.bucket_order as_of, x.team, round(avg(greatest(-{A.MARGIN_CAP}, least({A.MARGIN_CAP}, margin)) - {A.HOME_EDGE} * site), 6) rating
-  from (select distinct season, bucket_order from played) b join sides x on x.season = b.season and x.bucket_order <= b.bucket_order group by 1, 2, 3"""
 
+def blended(games: DataFrame, steps: DataFrame | None) -> DataFrame:
+    """Layer 3 of every whole season: (season, team, rating), w1 * k * net + w2 * rho over the union of teams."""
+    return fitted.blend(fitted.layers(games, steps)).select("season", "team", "rating", "w1", "w2", F.col("home_field").alias("h"))
 
-def power_by_bucket(games: DataFrame) -> DataFrame:
-    """(season, as_of, team, rating): the plain Power of every team as of every bucket of its season.
 
-    Sums a team and bucket, accumulated by a window; the buckets in which a team doesn't play carry its last sums.
-    """
-    capped = F.greatest(F.lit(-A.MARGIN_CAP), F.least(F.lit(A.MARGIN_CAP), F.col("margin"))) - A.HOME_EDGE * F.col("site")
-    sums = A.sides(games).groupBy("season", "team", "bucket_order").agg(F.sum(capped).alias("s"), F.count("*").alias("n"))
-    # A team's sums hold from this bucket until the one before its next; both ends name buckets, not weeks.
-    order = Window.partitionBy("season", "team").orderBy("bucket_order")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    held = sums.select("season", "team", "bucket_order", F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"), F.lead("bucket_order").over(order).alias("next"))
-    # One short sorted list of bucket numbers a season.
-    buckets = games.groupBy("season").agg(F.array_sort(F.collect_set("bucket_order")).alias("all"))
-    spread = held.join(F.broadcast(buckets), "season").withColumn("as_of", F.explode(F.expr("filter(all, b -> b >= bucket_order and (next is null or b < next))")))
-    return spread.select("season", "as_of", "team", F.round(F.col("s") / F.col("n"), 6).alias("rating"))
+@query("R25_power_fit", "select season, team, round(rating, 6) rating, round(w1, 6) w1, round(w2, 6) w2 from blend_s")
+def power_fit(spark: SparkSession, d: str) -> DataFrame:
+    f = blended(A.played(spark, d), fitted.contest_steps(spark, d))
+    return f.select("season", "team", *(F.round(c, 6).alias(c) for c in ("rating", "w1", "w2")))
 
 
-@query("R26_power_walk", f"with p as ({CUMULATIVE}), g as (select p.*, {MARGIN} margin from played p) select g.season, g.bucket_order, count(*) n, round(sqrt(avg(pow(cast(margin - (coalesce(h.rating, 0) - coalesce(a.rating, 0)) as double), 2))), 6) rms from g left join p h on h.season = g.season and h.as_of = g.bucket_order - 1 and h.team = home_team left join p a on a.season = g.season and a.as_of = g.bucket_order - 1 and a.team = away_team group by 1, 2")
+@query("R26_power_walk", "select season, as_of, team, round(rating, 4) rating from blend_b")
 def power_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Every bucket scored with the ratings of the one before it; all buckets in one plan."""
-    g = A.played(spark, d)
-    p = power_by_bucket(g)
-    scored = g.withColumn("as_of", F.col("bucket_order") - 1)
-    for side, short in (("home", "hr"), ("away", "ar")):
-        scored = scored.join(p.select("season", "as_of", F.col("team").alias(f"{side}_team"), F.col("rating").alias(short)), ["season", "as_of", f"{side}_team"], "left")
-    miss = F.expr(MARGIN) - (F.coalesce("hr", F.lit(0.0)) - F.coalesce("ar", F.lit(0.0)))
-    return scored.groupBy("season", "bucket_order").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(miss, 2))), 6).alias("rms"))
+    """Layer 3 as of every bucket, its weights from games that were predicted before they were seen; all buckets in one plan."""
+    return blend_walk(spark, d).select("season", "as_of", "team", F.round("rating", 4).alias("rating"))
 
 
-@query("R27_power_source", "select season, team, rating, 1.0::double se_scale, 'config' sigma_source from power")
-def power_source(spark: SparkSession, d: str) -> DataFrame:
-    return A.power(A.played(spark, d)).select("season", "team", "rating", F.lit(1.0).alias("se_scale"), F.lit("config").alias("sigma_source"))
+LAST = "qualify as_of = max(as_of) over (partition by season)"
 
 
-_SCALE = al.Ols("margin", ["delta", "site"])
+@query("R27_power_source", f"select season, as_of, team, round(rating, 4) rating, round(w2, 5) se_scale, sigma_source, round(sigma, 5) sigma from blend_b join weights_b using (season, as_of) {LAST}")
+def power_source(spark: SparkSession, d: str) -> DataFrame:
+    """The walk's last Power of every season with what readers need beside it."""
+    w = blend_walk(spark, d).withColumn("last", F.max("as_of").over(Window.partitionBy("season"))).where("as_of = last")
+    return w.select("season", "as_of", "team", F.round("rating", 4).alias("rating"), F.round("w2", 5).alias("se_scale"), "sigma_source", F.round("sigma", 5).alias("sigma"))
 
 
-@query("R29_results_to_power", f"with g as ({PREDICTED}), s as (select season, count(*) n, {_SCALE.select} from g group by season) select p.season, team, round(case when n >= {LEAST_GAMES} then {_SCALE.coefficients[0]} else 1 end * rating, 6) power from power p join s using (season)")
+@query("R29_results_to_power", "select season, team, rating power from power")
 def results_to_power(spark: SparkSession, d: str) -> DataFrame:
-    g = A.played(spark, d)
-    p = A.power(g)
-    b = _SCALE.aggregate(predicted(g, p), ["season"], [F.count("*").alias("n")]).select("season", F.when(F.col("n") >= LEAST_GAMES, F.expr(_SCALE.coefficients[0])).otherwise(1.0).alias("b"))
-    return p.join(F.broadcast(b), "season").select("season", "team", F.round(F.col("b") * F.col("rating"), 6).alias("power"))
+    return fitted.power(A.played(spark, d)).withColumnRenamed("rating", "power")
 
 
 def power_of(games: DataFrame, source: str = "L2", steps: DataFrame | None = None) -> DataFrame:
-    """Ratings by layer: L3 where it is asked for and there are steps, else L2."""
+    """(season, team, rating) by layer: the blend where it is asked for and there are steps (fitted.contest_steps), else results in points."""
     if source not in ("L2", "L3"):
         raise ValueError(f"unknown power source {source!r}")
     if source == "L3" and steps is not None:
-        return blended(games).select("season", "team", "rating")
-    return results_fit(games).select("season", "team", "rating")
+        return blended(games, steps).select("season", "team", F.round("rating", 6).alias("rating"))
+    return fitted.power(games)
 
 
-@query("R30_power_dispatch", "select season, count(*) teams, 'L2' source from (select distinct season, team from sides) group by season")
+@query("R30_power_dispatch", "select source, season, team, rating from (select 'L3 without steps' source, season, team, rating from power union all select 'L3', season, team, round(rating, 6) from blend_s)")
 def power_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    return power_of(A.played(spark, d), "L3", None).groupBy("season").agg(F.count("*").alias("teams"), F.lit("L2").alias("source"))
+    g = A.played(spark, d)
+    both = {"L3 without steps": power_of(g, "L3", None), "L3": power_of(g, "L3", fitted.contest_steps(spark, d))}
+    rows = [f.select(F.lit(name).alias("source"), "season", "team", "rating") for name, f in both.items()]
+    return rows[0].unionByName(rows[1])
 
 
 _POOLED = al.Ols("margin", ["1", "delta", "site"])
@@ -466,7 +364,7 @@ CROSS = f"""select c.*, {MARGIN} margin, {BRIDGE} bridge, coalesce(h.rating, 0)
 def cross_division(spark: SparkSession, d: str) -> DataFrame:
     """What the lower class is worth less, from games across classes; unmeasured with too few of them."""
     g = A.contests(spark, d).where("completed")
-    rows = predicted(g, A.power(A.played(spark, d))).withColumn("bridge", F.expr(BRIDGE))
+    rows = predicted(g, fitted.power(A.played(spark, d))).withColumn("bridge", F.expr(BRIDGE))
     s = _CROSS.aggregate(rows, ["season"], [F.count("*").alias("n"), F.count(F.when(F.col("bridge") != 0, 1)).alias("n_bridge")])
     enough = F.col("n_bridge") >= LEAST_GAMES
     return s.select("season", "n", "n_bridge", F.when(enough, F.round(-F.expr(_CROSS.coefficients[2]), 6)).alias("gap"), F.when(enough, "measured").otherwise("unmeasured").alias("status"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.expr import compress_sql, phi_sql, response_sql
 from tallyforge.functions.solve import BOUND, HALVINGS, log_key_sql, pmf, upper_tail, wins_root
+from tallyforge.operators import fitted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -34,7 +35,7 @@ def reference_quality(ratings: DataFrame, rank: int = REFERENCE_RANK) -> DataFra
 
 def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     g = A.played(spark, d)
-    p = A.power(g)
+    p = fitted.power(g)
     return g, p, schedule(g, p)
 
 

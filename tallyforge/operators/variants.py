@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import config as C
+from tallyforge.operators import fitted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -130,7 +131,7 @@ def home_edge_anchor(spark: SparkSession, d: str) -> DataFrame:
 def cross_pair_error(spark: SparkSession, d: str) -> DataFrame:
     """Spread of differences between teams of different groups; pairs of a league's teams."""
     g = A.played(spark, d)
-    p = A.power(g).join(A.sides(g).groupBy("season", "team").agg(F.count("*").alias("n")), ["season", "team"]).select("season", "team", "n")
+    p = fitted.power(g).join(A.sides(g).groupBy("season", "team").agg(F.count("*").alias("n")), ["season", "team"]).select("season", "team", "n")
     o = p.select("season", F.col("team").alias("other"), F.col("n").alias("m"))
     j = p.join(o, "season").where("team < other and left(team, 6) <> left(other, 6)")
     return j.groupBy("season").agg(F.count("*").alias("pairs"), F.round(F.avg(F.sqrt(1 / F.col("n") + 1 / F.col("m"))), 6).alias("mean_se"))

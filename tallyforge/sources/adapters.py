@@ -100,13 +100,6 @@ def sides(games: DataFrame) -> DataFrame:
     return both.select("*", "x.*").drop("x").withColumns({"won": (F.col("margin") > 0).cast("int"), "lost": (F.col("margin") < 0).cast("int"), "tied": (F.col("margin") == 0).cast("int")})
 
 
-def power(games: DataFrame) -> DataFrame:
-    """(season, team, rating): a plain Power for plans that take any: the mean margin, capped, less the home edge."""
-    s = sides(games)
-    capped = F.greatest(F.lit(-MARGIN_CAP), F.least(F.lit(MARGIN_CAP), F.col("margin"))) - HOME_EDGE * F.col("site")
-    return s.groupBy("season", "team").agg(F.round(F.avg(capped), 6).alias("rating"))
-
-
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered steps of each contest-like sequence, as a play-by-play source ships them."""
     e = table(spark, sf_dir, "events").where("ts is not null and user_id is not null")
@@ -120,6 +113,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"points_scored": scored.cast("int"), "is_snap": F.col("play_type") != "signup"})
 
 
+#: Views that are worked out once for a statement, however often it reads them.
+MATERIALIZED: set[str] = {"played", "sides"}
 VIEWS: dict[str, str] = {
     "raw_contests": """
       select o_orderkey game_id, cast(year(o_orderdate) as int) season, cast(floor((case when month(o_orderdate) = 12 then dayofmonth(o_orderdate) else dayofyear(o_orderdate) end - 1) / 7) as int) + 1 as week,
@@ -146,7 +141,6 @@ VIEWS: dict[str, str] = {
         select *, home_team team, away_team opponent, home_class team_class, away_class opponent_class, case when neutral_site then 0 else 1 end site, home_points - away_points margin, 'home' side from contests
         union all select *, away_team, home_team, away_class, home_class, case when neutral_site then 0 else -1 end, away_points - home_points, 'away' from contests)""",
     "sides": "select * from sides_of_all where completed and team_class = 'fbs' and opponent_class = 'fbs'",
-    "power": f"select season, team, round(avg(greatest(-{MARGIN_CAP}, least({MARGIN_CAP}, margin)) - {HOME_EDGE} * site), 6) rating from sides group by season, team",
     "steps": """
       select *, case when play_type = 'purchase' then case when event_id % 3 = 0 then 3 when event_id % 7 = 0 then -7 else 7 end else 0 end points_scored, play_type <> 'signup' is_snap from (
         select user_id game_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) play_index, cast(floor(floor(epoch(ts)) / 604800) as bigint) segment, event_type play_type, event_id % 2 = 0 offense_is_home,
@@ -171,7 +165,8 @@ def with_views(sql: str, more: dict[str, str] | None = None) -> str:
     plain = re.match(r"with\s+", body, re.I)
     if not order:
         return body
-    head = ",\n".join(f"{n} as ({views[n].strip()})" for n in order)
-    if recursive:
-        return f"with recursive {head},\n{body[recursive.end():]}"
-    return f"with {head},\n{body[plain.end():]}" if plain else f"with {head}\n{body}"
+    itself = {n for n in order if re.search(rf"\b{n}\b", views[n])}
+    head = ",\n".join(f"{n} as {'' if n in itself else 'materialized ' if n in MATERIALIZED else ''}({views[n].strip()})" for n in order)
+    start = "with recursive" if recursive or itself else "with"
+    body = body[(recursive or plain).end() :] if recursive or plain else body
+    return f"{start} {head}{',' if recursive or plain else ''}\n{body}"
