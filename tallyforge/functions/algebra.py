@@ -9,6 +9,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import expr
+
+
+def phi(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function, by the approximations that functions.expr states in SQL."""
+
+    def at(coefficients: tuple[float, ...], z: np.ndarray) -> np.ndarray:
+        return np.polyval(np.array(coefficients), z)
+
+    y = -np.asarray(x, float) / np.sqrt(2)
+    a = np.abs(y)
+    out = np.empty_like(a)
+    near, far = a <= 0.46875, a > 4
+    mid = ~near & ~far
+    z = a[near] ** 2
+    out[near] = 1 - y[near] * at(expr.ERF_NUM, z) / at(expr.ERF_DEN, z)
+    out[mid] = np.exp(-(a[mid] ** 2)) * at(expr.MID_NUM, a[mid]) / at(expr.MID_DEN, a[mid])
+    z = 1 / a[far] ** 2
+    out[far] = np.exp(-(a[far] ** 2)) / a[far] * (0.5641895835477563 - z * at(expr.FAR_NUM, z) / at(expr.FAR_DEN, z))
+    return 0.5 * np.where(~near & (y < 0), 2 - out, out)
+
 
 def det(m: list[list[str]]) -> str:
     if len(m) == 1:

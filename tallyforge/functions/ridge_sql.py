@@ -52,3 +52,10 @@ def ridge(p: str, keys: str, rows: str, entries: str, predicted: str, free: int,
         **gradients(f"{p}_fit", f"{p}_best", key, rounds),
     }
     return out | {f"{p}_x": f"select season, as_of, n, lam, x from {p}_fit join {p}_best using ({key})"}
+
+
+def dense(cells: str, teams: str = "fit_teams") -> str:
+    """(season, n, a): a matrix as a list of rows from cells (season, i, j, v), each given once, over all teams of a season."""
+    listed = f"select season, i, map(list(j), list(v::double)) m from ({cells}) group by season, i"
+    row = f"select t.season, t.n, t.i, list_transform(range(1, n + 1), lambda j: coalesce(m[j], 0)) r from {teams} t left join ({listed}) c on c.season = t.season and c.i = t.i"
+    return f"select season, n, list(r order by i) a from ({row}) group by season, n"

@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.ridge_sql import dense, gradients
+from tallyforge.operators import fitted
 from tallyforge.operators import ratings as R
+from tallyforge.operators import resume as Q
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -24,6 +27,31 @@ WALK_P, WALK_ROUNDS, WALK_TOLERANCE = 0.75, 10_000, 1e-12
 ADJUST_ROUNDS = 12
 
 RATING = "season int, team string, rating double"
+CLIPPED = f"greatest(-{SRS_CAP}, least({SRS_CAP}, sign(margin) * greatest(abs(margin), {SRS_FLOOR})))"
+RATER_VIEWS = {
+    "meet": f"select s.season, t.i, o.i j, count(*) n, sum(won) won, sum(lost) lost, sum(tied) tied, sum({CLIPPED}) clipped from sides s join fit_teams t on t.season = s.season and t.team = s.team join fit_teams o on o.season = s.season and o.team = s.opponent group by all",
+    "meet_of": "select season, i, sum(n) n, sum(won) won, sum(lost) lost, sum(clipped) clipped from meet group by season, i",
+    "colley_a": dense(f"select season, i, i j, n + {COLLEY_PRIOR} v from meet_of union all select season, i, j, -n from meet"),
+    "colley_sys": "select season, a, b, list_transform(b, lambda v, i: a[i][i]) d, list_transform(b, lambda v: 0::double) f from colley_a join (select season, list(1 + (won - lost) / 2::double order by i) b from meet_of group by season) using (season)",
+    **gradients("colley_x", "colley_sys", "season", 60),
+    "srs_a": dense("select season, i, i j, n v from meet_of union all select season, i, j, -n from meet"),
+    "srs_sys": "select season, a, b, list_transform(b, lambda v: 1::double) d, list_transform(b, lambda v: 0::double) f from srs_a join (select season, list(clipped::double order by i) b from meet_of group by season) using (season)",
+    **gradients("srs_x", "srs_sys", "season", 90),
+    "elo_games": f"select season, row_number() over (partition by season order by start_date, game_id) g, h.i hi, a.i ai, h.n, case when neutral_site then 0.0 else {ELO['home']} end home, home_points - away_points margin from played p join fit_teams h using (season) join fit_teams a using (season) where h.team = home_team and a.team = away_team",
+    "elo_steps": f"""select season, 0::bigint g, list_transform(range(0, n), lambda k: {ELO['fbs']}::double) r from (select distinct season, n from fit_teams)
+      union all select season, g, list_transform(r, lambda v, i: case when i = hi then v + moved when i = ai then v - moved else v end) from (
+        select *, {ELO['k']} * ln(abs(margin) + 1.0) * {ELO['scale']} / ((case when margin < 0 then y - x else x - y end) * 0.001 + {ELO['scale']}) * (case when margin > 0 then 1.0 when margin < 0 then 0.0 else 0.5 end - 1 / (1 + pow(10::double, (y - x) / 400))) moved from (
+          select e.*, s.r, s.r[hi] + home x, s.r[ai] y from elo_steps s join elo_games e on e.season = s.season and e.g = s.g + 1))""",
+    "flow": f"select season, i, j, {WALK_P} * won + {1 - WALK_P} * lost + 0.5 * tied v from meet",
+    "walker_a": dense("select season, i, j, v / m v from (select f.season, f.i, f.j, f.v, o.n m from flow f join meet_of o on o.season = f.season and o.i = f.j) union all select season, j, j, 1 - sum(v / m) from (select f.season, f.j, f.v, o.n m from flow f join meet_of o on o.season = f.season and o.i = f.j) group by season, j"),
+    "walker_steps": "select season, 0 it, a, list_transform(range(0, n), lambda k: 1::double / n) v from walker_a union all select season, it + 1, a, list_transform(u, lambda z: z / list_sum(u)) from (select season, it, a, list_transform(a, lambda r: list_dot_product(r, v)) u from walker_steps where it < 400)",
+    "rate_colley": "select season, team, x[i] rating from colley_x join fit_teams using (season)",
+    "rate_srs": "select season, team, x[i] rating from srs_x join fit_teams using (season)",
+    "rate_elo": "select season, team, r[i] rating from (select season, arg_max(r, g) r from elo_steps group by season) join fit_teams using (season)",
+    "rate_walker": "select season, team, v[i] * n rating from walker_steps join fit_teams using (season) where it = 400",
+}
+A.VIEWS.update(RATER_VIEWS)
+A.MATERIALIZED.update(k for k in RATER_VIEWS if not k.startswith("rate_"))
 
 
 def win_share(games: DataFrame) -> DataFrame:
@@ -77,15 +105,9 @@ def colley(games: DataFrame) -> DataFrame:
     return per_season(games, solve)
 
 
-@query("A03_colley", "select season, count(*) teams, round(0.5, 4) mean, true consistent from (select distinct season, team from sides) group by season", mean="double")
+@query("A03_colley", "select season, team, round(rating, 6) rating from rate_colley")
 def colley_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Colley's ratings average one half; each must satisfy its own row of the system."""
-    g = A.played(spark, d)
-    r = colley(g)
-    m = meetings(g).join(r.select("season", F.col("team").alias("opponent"), F.col("rating").alias("other")), ["season", "opponent"])
-    rows = m.groupBy("season", "team").agg(F.sum("n").alias("n"), F.sum((F.col("won") - F.col("lost")) / 2).alias("b"), F.sum(F.col("n") * F.col("other")).alias("pull")).join(r, ["season", "team"])
-    miss = F.abs((COLLEY_PRIOR + F.col("n")) * F.col("rating") - F.col("pull") - 1 - F.col("b"))
-    return rows.groupBy("season").agg(F.count("*").alias("teams"), F.round(F.avg("rating"), 4).alias("mean"), (F.max(miss) < 1e-8).alias("consistent"))
+    return colley(A.played(spark, d)).withColumn("rating", F.round("rating", 6))
 
 
 def srs(games: DataFrame) -> DataFrame:
@@ -102,13 +124,9 @@ def srs(games: DataFrame) -> DataFrame:
     return per_season(games, solve)
 
 
-@query("A04_srs", "select season, count(*) teams, true consistent from (select distinct season, team from sides) group by season")
+@query("A04_srs", "select season, team, round(rating, 6) rating from rate_srs")
 def srs_rows(spark: SparkSession, d: str) -> DataFrame:
-    g = A.played(spark, d)
-    r = srs(g)
-    m = meetings(g).join(r.select("season", F.col("team").alias("opponent"), F.col("rating").alias("other")), ["season", "opponent"])
-    rows = m.groupBy("season", "team").agg(F.sum("n").alias("n"), F.sum("clipped").alias("b"), F.sum(F.col("n") * F.col("other")).alias("pull")).join(r, ["season", "team"])
-    return rows.groupBy("season").agg(F.count("*").alias("teams"), (F.max(F.abs(F.col("n") * F.col("rating") - F.col("pull") - F.col("b"))) < 1e-6).alias("consistent"))
+    return srs(A.played(spark, d)).withColumn("rating", F.round("rating", 6))
 
 
 def mov_multiplier(difference: float, winner: float, loser: float, scale: float = ELO["scale"]) -> float:
@@ -146,10 +164,9 @@ def elo(games: DataFrame) -> DataFrame:
     return games.select("season", "start_date", "game_id", "home_team", "away_team", "home_class", "away_class", "neutral_site", "home_points", "away_points").groupBy("season").applyInPandas(one, RATING)
 
 
-@query("A05_elo", "select season, count(*) teams, round(1500.0, 4) mean from (select distinct season, team from sides) group by season", mean="double")
+@query("A05_elo", "select season, team, round(rating, 6) rating from rate_elo")
 def elo_rows(spark: SparkSession, d: str) -> DataFrame:
-    """What one side wins the other loses, so a season of one class keeps its mean."""
-    return elo(A.played(spark, d)).groupBy("season").agg(F.count("*").alias("teams"), F.round(F.avg("rating"), 4).alias("mean"))
+    return elo(A.played(spark, d)).withColumn("rating", F.round("rating", 6))
 
 
 def random_walker(games: DataFrame) -> DataFrame:
@@ -175,17 +192,33 @@ def random_walker(games: DataFrame) -> DataFrame:
     return per_season(games, solve)
 
 
-@query("A07_random_walker", "select season, count(*) teams, round(1.0, 6) mean, true positive from (select distinct season, team from sides) group by season", mean="double")
+@query("A07_random_walker", "select season, team, round(rating, 6) rating from rate_walker")
 def random_walker_rows(spark: SparkSession, d: str) -> DataFrame:
-    return random_walker(A.played(spark, d)).groupBy("season").agg(F.count("*").alias("teams"), F.round(F.avg("rating"), 6).alias("mean"), (F.min("rating") > 0).alias("positive"))
+    return random_walker(A.played(spark, d)).withColumn("rating", F.round("rating", 6))
 
 
 def results_rater(games: DataFrame) -> DataFrame:
-    return R.results_fit(games).select("season", "team", "rating")
+    return fitted.power(games)
 
 
-def power_rater(games: DataFrame) -> DataFrame:
-    return R.blended(games).select("season", "team", "rating")
+def efficiency_rater(games: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Net efficiency on the scale of points; zero without steps."""
+    return fitted.layers(games, steps).select("season", "team", (F.col("k") * F.col("net")).alias("rating"))
+
+
+def power_rater(games: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    return R.power_of(games, "L3", steps)
+
+
+def resume_rater(games: DataFrame) -> DataFrame:
+    """The quality at which a team's expected wins are its wins."""
+    return Q.solved(Q.schedule(games, fitted.power(games))).select("season", "team", F.col("resume").alias("rating"))
+
+
+def odds_rater(games: DataFrame) -> DataFrame:
+    """How improbable a team's record was, as minus the logarithm of its chance."""
+    p = fitted.power(games)
+    return Q.odds(Q.with_probability(Q.schedule(games, p), p), ["season", "team"]).select("season", "team", F.col("key").alias("rating"))
 
 
 def adjusted_margin(games: DataFrame, rounds: int = ADJUST_ROUNDS) -> DataFrame:
@@ -220,10 +253,12 @@ def adjusted_margin_rows(spark: SparkSession, d: str) -> DataFrame:
     return adjusted_margin(A.played(spark, d)).withColumn("rating", F.round("rating", 6))
 
 
-Rater = Callable[[DataFrame], DataFrame]
+Rater = Callable[..., DataFrame]
+#: Raters that also take the steps of the games (fitted.contest_steps).
+WITH_STEPS = ("l1", "l3")
 RATERS: dict[str, Rater] = {
     "winpct": win_share, "home_team": constant, "colley": colley, "srs": srs, "elo": elo, "random_walker": random_walker,
-    "l2": results_rater, "l3": power_rater, "resume": power_rater, "schedule_odds": power_rater,
+    "l1": efficiency_rater, "l2": results_rater, "l3": power_rater, "resume": resume_rater, "schedule_odds": odds_rater,
 }
 #: Other names of raters (fixed values).
 ALIASES = {"win_pct": "winpct", "record": "winpct", "home": "home_team", "simple": "srs", "walker": "random_walker", "results": "l2", "power": "l3", "odds": "schedule_odds", "l4": "resume", "poll": "schedule_odds"}
@@ -264,12 +299,19 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(ALIASES.items()), "alias string, rater string")
 
 
-@query("A12_rater_protocol", "select r.rater, p.season, count(*) teams from (select distinct season, team from sides) p, (select unnest(['winpct', 'colley', 'srs', 'l2']) rater) r group by 1, 2")
+PROTOCOL = {
+    "winpct": "select season, team, (sum(won) + 0.5 * sum(tied)) / count(*) rating from sides group by season, team", "home_team": "select distinct season, team, 0.0::double rating from sides", "colley": "from rate_colley", "srs": "from rate_srs",
+    "elo": "from rate_elo", "random_walker": "from rate_walker", "l1": "select season, team, k * net rating from blend_s", "l2": "from power", "l3": "select season, team, round(rating, 6) rating from blend_s",
+    "resume": "select season, team, resume rating from res", "schedule_odds": "select season, team, key rating from odds",
+}
+
+
+@query("A12_rater_protocol", Q.BISECTION.rstrip() + ", " + Q.SEASON_ODDS.strip().removeprefix("with recursive ") + " select rater, season, team, round(rating, 6) rating from (" + " union all ".join(f"select '{k}' rater, * from ({v})" for k, v in PROTOCOL.items()) + ")")
 def rater_protocol(spark: SparkSession, d: str) -> DataFrame:
-    """Any rater over the same games."""
-    g = A.played(spark, d)
-    out = None
-    for name in ("winpct", "colley", "srs", "l2"):
-        one = rater(name)(g).groupBy("season").agg(F.count("*").alias("teams")).withColumn("rater", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    """Every rater over the same games, those that take steps with them."""
+    g, steps = A.played(spark, d), fitted.contest_steps(spark, d)
+    rows = [(f(g, steps) if name in WITH_STEPS else f(g)).select(F.lit(name).alias("rater"), "season", "team", F.round(F.col("rating").cast("double"), 6).alias("rating")) for name, f in RATERS.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
     return out

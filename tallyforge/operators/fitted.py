@@ -350,12 +350,29 @@ def blend(fitted: DataFrame, floor: float = A.SIGMA, least: int = LEAST_GAMES) -
     return fitted.groupBy("season").applyInPandas(one, WALK_SCHEMA)
 
 
+def predicted(games: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Games with both sides' ratings, a missing one being 0, their difference, the margin and the site."""
+    for side, short in (("home", "hr"), ("away", "ar")):
+        games = games.join(ratings.select("season", F.col("team").alias(f"{side}_team"), F.col("rating").alias(short)), ["season", f"{side}_team"], "left").withColumn(short, F.coalesce(short, F.lit(0.0)))
+    return games.withColumns({"margin": F.expr(MARGIN), "site": F.expr(SITE), "delta": F.col("hr") - F.col("ar")})
+
+
 GAME_ENTRIES = "select season, b, rid, fold, w, unnest([hi, ai, n + 1, n + 2]) i, unnest([1.0::double, -1.0, site, y]) v from {p}_rows"
 GAME_PREDICTED = "x[hi] - x[ai] + site * x[n + 1]"
 FIT_VIEWS = {
     "fit_teams": "select season, team, row_number() over (partition by season order by team) i, count(*) over (partition by season) n from (select distinct season, team from sides)",
-    "fit_games": f"""select p.season, p.bucket_order b, game_id rid, h.i hi, a.i ai, h.n, {TYPE_WEIGHT}::double w, {SITE}::double site, {MARGIN}::double m, {response_sql(MARGIN)} y, (dense_rank() over (partition by p.season order by game_id) - 1) % {FOLDS} fold
-      from played p join fit_teams h on h.season = p.season and h.team = home_team join fit_teams a on a.season = p.season and a.team = away_team""",
+}
+ANY_GAMES = """select p.season, p.bucket_order b, game_id rid, h.i hi, a.i ai, h.n, {weight}::double w, {site}::double site, {margin}::double m, {response} y, (dense_rank() over (partition by p.season order by game_id) - 1) % {folds} fold
+      from {games} p join {teams} h on h.season = p.season and h.team = home_team join {teams} a on a.season = p.season and a.team = away_team"""
+_PARTS = {"weight": TYPE_WEIGHT, "site": SITE, "margin": MARGIN, "response": response_sql(MARGIN), "folds": FOLDS}
+FIT_VIEWS["fit_games"] = ANY_GAMES.format(games="played", teams="fit_teams", **_PARTS)
+# All classes of teams, whole seasons.
+FIT_VIEWS |= {
+    "fit_all_teams": "select season, team, row_number() over (partition by season order by team) i, count(*) over (partition by season) n from (select distinct season, team from sides_of_all where completed)",
+    "fit_all_games": ANY_GAMES.format(games="(select * from contests where completed)", teams="fit_all_teams", **_PARTS),
+    **ridge("fa", "select season, max(b) as_of from fit_all_games group by season", "select * from fit_all_games", GAME_ENTRIES.format(p="fa"), GAME_PREDICTED, 1, GRID_RESULTS, FOLDS),
+    "fa_moments": "select season, as_of, sum(dr * dr) s00, sum(dr * site) s01, sum(site * site) s11, sum(dr * m) t0, sum(site * m) t1 from (select *, x[hi] - x[ai] dr from fa_x join fit_all_games using (season)) group by all",
+    "fit_everyone": f"select season, team, x[i] * ({TWO_BY_TWO}) rating from fa_x join fa_moments using (season, as_of) join fit_all_teams using (season)",
 }
 for _p, _keys, _view in (("fs", "select season, max(bucket_order) as_of from played group by season", "fit_season"), ("fb", "select distinct season, bucket_order as_of from played", "fit_bucket")):
     FIT_VIEWS |= ridge(_p, _keys, "select * from fit_games", GAME_ENTRIES.format(p=_p), GAME_PREDICTED, 1, GRID_RESULTS, FOLDS)

@@ -90,13 +90,14 @@ def memory_blend_rows(spark: SparkSession, d: str) -> DataFrame:
 GAP, BUMP = -6.0, 2.0
 ADJUST = f"case team_class when 'fbs' then carried when 'fcs' then least(carried + {GAP} + {BUMP}, 10.0) else carried + {GAP} end"
 ADJUST_LABEL = "case team_class when 'fbs' then 'as_is' when 'fcs' then 'promoted' else 'gap' end"
-ALL_POWER = f"apw as (select season, team, min(team_class) team_class, round(avg(greatest(-{A.MARGIN_CAP}, least({A.MARGIN_CAP}, margin)) - {A.HOME_EDGE} * site), 6) carried from sides_of_all where completed group by 1, 2)"
+ALL_POWER = "apw as (select season, team, min(team_class) team_class, any_value(round(f.rating, 6)) carried from fit_everyone f join sides_of_all s using (season, team) where completed group by 1, 2)"
 
 
 def all_power(spark: SparkSession, d: str) -> DataFrame:
-    s = A.sides(A.contests(spark, d).where("completed"))
-    capped = F.greatest(F.lit(-A.MARGIN_CAP), F.least(F.lit(A.MARGIN_CAP), F.col("margin"))) - A.HOME_EDGE * F.col("site")
-    return s.groupBy("season", "team").agg(F.min("team_class").alias("team_class"), F.round(F.avg(capped), 6).alias("carried"))
+    """(season, team, team_class, carried): Power of the teams of all classes, from all completed games."""
+    g = A.contests(spark, d).where("completed")
+    classes = A.sides(g).groupBy("season", "team").agg(F.min("team_class").alias("team_class"))
+    return classes.join(fitted.power(g), ["season", "team"]).select("season", "team", "team_class", F.col("rating").alias("carried"))
 
 
 @query("J06_carried_ratings", f"with {ALL_POWER} select season + 1 season, team, round({ADJUST}, 6) rating from apw")
@@ -110,7 +111,7 @@ def adjusted(spark: SparkSession, d: str) -> DataFrame:
     return all_power(spark, d).select("season", "team", F.expr(ADJUST_LABEL).alias("how"), F.round(F.expr(f"{ADJUST} - carried"), 6).alias("change"))
 
 
-@query("J07_promotion_frame", f"with {ALL_POWER}, n as (select distinct season, team from sides anti join (select season + 1 season, team from sides where bucket_order < 10) p using (season, team)) select s.season, s.team, count(*) games, round(avg(s.margin), 6) margin, round(avg(coalesce(o.carried, 0)), 6) faced from sides s semi join n using (season, team) left join apw o on o.season = s.season - 1 and o.team = s.opponent group by 1, 2")
+@query("J07_promotion_frame", f"with {ALL_POWER}, n as (select distinct season, team from sides anti join (select season + 1 season, team from sides where bucket_order < 10) p using (season, team)) select s.season, s.team, count(*) games, round(avg(s.margin), 6) margin, round(avg(coalesce(o.carried, 0)), 4) faced from sides s semi join n using (season, team) left join apw o on o.season = s.season - 1 and o.team = s.opponent group by 1, 2")
 def promotion_frame(spark: SparkSession, d: str) -> DataFrame:
     """Teams that the last season's first weeks lacked, against opponents rated by the last season."""
     s = A.sides(A.played(spark, d))
@@ -118,7 +119,7 @@ def promotion_frame(spark: SparkSession, d: str) -> DataFrame:
     new = s.select("season", "team").distinct().join(last, ["season", "team"], "left_anti")
     prior = all_power(spark, d).select((F.col("season") + 1).cast("int").alias("season"), F.col("team").alias("opponent"), "carried")
     j = s.join(new, ["season", "team"], "left_semi").join(prior, ["season", "opponent"], "left")
-    return j.groupBy("season", "team").agg(F.count("*").alias("games"), F.round(F.avg("margin"), 6).alias("margin"), F.round(F.avg(F.coalesce("carried", F.lit(0.0))), 6).alias("faced"))
+    return j.groupBy("season", "team").agg(F.count("*").alias("games"), F.round(F.avg("margin"), 6).alias("margin"), F.round(F.avg(F.coalesce("carried", F.lit(0.0))), 4).alias("faced"))
 
 
 @query("J09_bridge_frame", f"select game_id, bridge, round(delta, 6) delta, margin from ({R.CROSS})")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.solve import upper_tail
+from tallyforge import ship
 from tallyforge.operators import fitted
 from tallyforge.operators import resume as Q
 from tallyforge.plans.registry import query
@@ -94,30 +96,62 @@ A.VIEWS.update(GRID_VIEWS)
 A.MATERIALIZED.update(GRID_VIEWS)
 
 
+#: Tasks that the teams of one season and K are dealt to.
+TEAM_BLOCKS = 4
+FOLD_SCHEMA = "season int, k int, team string, bucket_order int, next int, wins int, losses int, expected double, tail double, mid double"
+
+
+def fold_records(pdf: pd.DataFrame) -> pd.DataFrame:
+    """FOLD_SCHEMA: the odds of each team's record after each of its buckets, its distribution of wins growing game by game.
+
+    All teams of the frame grow side by side, one convolution a game; what is read off are the last games of buckets.
+    """
+    pdf = pdf.sort_values(["team", "bucket_order", "game_id"], ignore_index=True)
+    team, place = pdf["team"].factorize()[0], pdf.groupby("team", sort=False).cumcount().to_numpy()
+    n_teams, most = int(team.max()) + 1, int(place.max()) + 1
+    chance = np.full((n_teams, most), np.nan)
+    chance[team, place] = pdf["p"].to_numpy()
+    wins = np.zeros((n_teams, most), int)
+    wins[team, place] = pdf["wins"].to_numpy()
+    pmf = np.zeros((n_teams, most + 1))
+    pmf[:, 0] = 1.0
+    tail, mid = np.zeros((n_teams, most)), np.zeros((n_teams, most))
+    for i in range(most):
+        on = ~np.isnan(chance[:, i])
+        p, old = chance[on, i, None], pmf[on, : i + 2]
+        new = old * (1 - p)
+        new[:, 1:] += old[:, :-1] * p
+        pmf[on, : i + 2] = new
+        w = wins[on, i]
+        above = np.cumsum(new[:, ::-1], 1)[:, ::-1]
+        rows = np.arange(len(w))
+        tail[on, i] = above[rows, w]
+        mid[on, i] = above[rows, w] - 0.5 * new[rows, w]
+    out = pdf[["season", "k", "team", "bucket_order", "next", "wins", "losses"]].copy()
+    out["expected"] = pdf.groupby("team", sort=False)["p"].cumsum()
+    out["tail"], out["mid"] = tail[team, place], mid[team, place]
+    return out[pdf["next"].isna() | (pdf["next"] != pdf["bucket_order"])]
+
+
 def grid(games: DataFrame) -> DataFrame:
     """R(N, K) of every season: the record through bucket N against Power through bucket K, for all N <= K, in one plan.
 
-    Games meet each K that they lie before; a team's games under one K are one array, whose distribution of wins is folded game by game and
-    read off after each bucket, so a K costs one convolution a game however many N it has.  A team stands in a cell from its first game on.
+    Games meet each K that they lie before; the odds of a team under one K are folded once and read off after each bucket, so a K costs one
+    convolution a game however many N it has.  A team stands in a cell from its first game on.
     """
     power = fitted.power_by_bucket(games).withColumnRenamed("as_of", "k")
     q = Window.partitionBy("season", "k").orderBy(F.desc("rating"), "team")
     ref = power.withColumn("r", F.row_number().over(q)).groupBy("season", "k").agg(F.coalesce(F.max(F.when(F.col("r") == Q.REFERENCE_RANK, F.col("rating"))), F.min("rating")).alias("q_ref"))
     buckets = F.broadcast(games.groupBy("season").agg(F.array_sort(F.collect_set("bucket_order")).alias("all")))  # a short list a season
     so_far = Window.partitionBy("season", "team").orderBy("bucket_order", "game_id")
-    sides = A.sides(games).withColumns({"wins": F.sum("won").over(so_far), "losses": F.sum("lost").over(so_far), "next": F.lead("bucket_order").over(so_far)})
-    rows = sides.join(buckets, "season").withColumn("k", F.explode(F.expr("filter(all, k -> k >= bucket_order)"))).join(F.broadcast(ref), ["season", "k"])
+    sides = A.sides(games).select("season", "bucket_order", "game_id", "team", "opponent", "site", "won", "lost")
+    sides = sides.withColumns({"wins": F.sum("won").over(so_far).cast("int"), "losses": F.sum("lost").over(so_far).cast("int"), "next": F.lead("bucket_order").over(so_far)}).drop("won", "lost")
+    rows = sides.join(buckets, "season").withColumn("k", F.explode(F.expr("filter(all, k -> k >= bucket_order)"))).drop("all").join(F.broadcast(ref), ["season", "k"])
     rows = rows.join(power.select("season", "k", F.col("team").alias("opponent"), F.col("rating").alias("opp")), ["season", "k", "opponent"], "left")
     rows = rows.withColumn("z", (F.col("q_ref") - F.coalesce("opp", F.lit(0.0)) + Q.EDGE * F.col("site")) / Q.SIGMA).withColumn("p", F.expr(Q.WIN_P))
-    listed = rows.groupBy("season", "k", "team").agg(F.sort_array(F.collect_list(F.struct("bucket_order", "game_id", "p", "wins", "losses", "next"))).alias("g"))
-    step = "concat(acc, array(zip_with(concat(element_at(acc, -1), array(0D)), concat(array(0D), element_at(acc, -1)), (a, b) -> a * (1 - x.p) + b * x.p)))"
-    folded = listed.withColumn("pmfs", F.expr(f"aggregate(g, array(array(1D)), (acc, x) -> {step})"))
-    # Only the last game of a bucket has a cell; its place in the array names its distribution.
-    last = "filter(sequence(1, size(g)), i -> g[i - 1].next is null or g[i - 1].next <> g[i - 1].bucket_order)"
-    at = folded.withColumn("i", F.explode(F.expr(last))).withColumns({"x": F.expr("g[i - 1]"), "pmf": F.expr("pmfs[i]")})
-    at = at.select("season", "k", "team", "x.*", "pmf", F.expr("aggregate(slice(g, 1, i), 0D, (a, y) -> a + y.p)").alias("expected"))
-    at = at.withColumns({"wins": F.col("wins").cast("int"), "losses": F.col("losses").cast("int")}).withColumn("tail", upper_tail("pmf", "wins"))
-    at = at.withColumn("mid", F.expr("tail - 0.5 * pmf[wins]")).drop("pmf", "game_id", "p").join(buckets, "season")
+    dealt = rows.select("season", "k", "team", "bucket_order", "game_id", "p", "wins", "losses", "next", F.pmod(F.hash("team"), F.lit(TEAM_BLOCKS)).alias("part"))
+    ship(games.sparkSession)
+    at = dealt.groupBy("season", "k", "part").applyInPandas(fold_records, FOLD_SCHEMA).join(buckets, "season")
     t = at.withColumn("e", F.explode(F.expr("filter(all, e -> e >= bucket_order and e <= k and (next is null or e < next))")))
     return t.select(
         "season", "e", "k", "team", "wins", "losses", F.round("tail", 6).alias("tail"), F.round("expected", 6).alias("expected"), Q.ranked(t, ["season", "e", "k"]).alias("rank"),

@@ -11,7 +11,7 @@ from tallyforge.functions import algebra as al
 from tallyforge.functions.expr import compress_sql, response_sql
 from tallyforge.functions.ridge_sql import gradients
 from tallyforge.operators import fitted, plays
-from tallyforge.operators.fitted import FOLDS, GRID_EFFICIENCY, GRID_RESULTS, K_START, LEAST_GAMES, MARGIN, SITE, TYPE_WEIGHT, entry, folds, game_design, power_by_bucket, weighted
+from tallyforge.operators.fitted import FOLDS, GRID_EFFICIENCY, GRID_RESULTS, K_START, LEAST_GAMES, MARGIN, SITE, TYPE_WEIGHT, entry, folds, game_design, power_by_bucket, predicted, weighted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -176,13 +176,6 @@ PREDICTED = f"""select p.*, {MARGIN} margin, {SITE} site, coalesce(h.rating, 0)
   from played p left join power h on h.season = p.season and h.team = home_team left join power a on a.season = p.season and a.team = away_team"""
 
 
-def predicted(games: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Games with both sides' ratings, a missing one being 0, their difference, the margin and the site."""
-    for side, short in (("home", "hr"), ("away", "ar")):
-        games = games.join(ratings.select("season", F.col("team").alias(f"{side}_team"), F.col("rating").alias(short)), ["season", f"{side}_team"], "left").withColumn(short, F.coalesce(short, F.lit(0.0)))
-    return games.withColumns({"margin": F.expr(MARGIN), "site": F.expr(SITE), "delta": F.col("hr") - F.col("ar")})
-
-
 def base(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
     return predicted(g, fitted.power(g))
