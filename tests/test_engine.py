@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import algebra, config, solve
 from tallyforge.functions.expr import phi
-from tallyforge.operators import baselines, bootstrap, buckets, graph, metrics, plays, quality, ranking, ratings
+from tallyforge.operators import baselines, bootstrap, buckets, fitted, graph, metrics, plays, quality, ranking, ratings, resume
 from tallyforge.sources import adapters, sinks
 from tallyforge.sources.archive import Archive, ArchiveError
 
@@ -85,7 +85,7 @@ def test_elo_keeps_its_sum_and_order_matters_not_the_partitions(spark):
 
 def test_two_islands_are_solvable(spark):
     g = games(spark, [("A", "B", 10, 3, 0), ("B", "A", 7, 14, 0), ("C", "D", 21, 0, 0), ("D", "C", 3, 9, 0)])
-    fit = ratings.results_fit(g).toPandas()
+    fit = fitted.fits(g).toPandas()
     assert np.isfinite(fit["rating"]).all() and (fit["residual"] < 1e-8).all()
     assert fit["n_folds"].iloc[0] == 0 and fit["lambda"].iloc[0] == max(ratings.GRID_RESULTS)
 
@@ -120,6 +120,80 @@ def test_future_games_change_no_past_rating(spark):
     assert a.sort_values(["as_of", "team"]).reset_index(drop=True).equals(b.sort_values(["as_of", "team"]).reset_index(drop=True))
 
 
+def plain_ridge(rows, lam):
+    """Ratings by stacked rows, the penalty as further observations."""
+    teams = sorted({r[0] for r in rows} | {r[1] for r in rows})
+    z, y = np.zeros((len(rows), len(teams) + 1)), np.zeros(len(rows))
+    for i, (h, a, hp, ap, n) in enumerate(rows):
+        z[i, teams.index(h)], z[i, teams.index(a)], z[i, -1] = 1, -1, 0 if n else 1
+        y[i] = 32 * math.tanh((hp - ap) / 32) + 7 * np.sign(hp - ap)
+    more = np.sqrt(lam) * np.eye(len(teams), len(teams) + 1)
+    x = np.linalg.lstsq(np.vstack([z, more]), np.append(y, np.zeros(len(teams))), rcond=None)[0]
+    return dict(zip(teams, x, strict=False))
+
+
+def random_season(n, teams="ABCDEFGH", seed=3):
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        h, a = rng.sample(teams, 2)
+        hp, ap = rng.randrange(50), rng.randrange(50)
+        if hp != ap:
+            out.append((h, a, hp, ap, rng.random() < 0.2))
+    return out
+
+
+def test_fits_as_of_every_bucket_are_fits_of_their_games(spark):
+    rows = random_season(40)
+    got = fitted.fits(games(spark, rows), every=True).toPandas()
+    for as_of, part in got.groupby("as_of"):
+        want = plain_ridge(rows[: as_of + 1], part["lambda"].iloc[0])
+        assert sorted(part["team"]) == sorted(want)
+        assert all(abs(want[t] - v) < 1e-8 for t, v in zip(part["team"], part["rho"], strict=True))
+    for seen in (7, 25, 40):
+        alone = fitted.power(games(spark, rows[:seen])).toPandas().set_index("team")["rating"]
+        along = got[got["as_of"] == seen - 1].set_index("team")["rating"]
+        if seen < 10:  # too few games to choose a penalty, so folds play no part
+            assert np.allclose(alone.sort_index(), along.sort_index(), atol=1e-5)
+        assert set(alone.index) == set(along.index)
+
+
+def test_a_path_of_penalties_is_a_solve_each():
+    rng = np.random.default_rng(1)
+    z = rng.standard_normal((60, 12))
+    a, b = z.T @ z, z.T @ rng.standard_normal(60)
+    a[3] = a[:, 3] = 0  # a column that nothing is known of
+    b[3] = 0
+    penalties = np.outer(np.append(np.ones(11), 0), [0.5, 8.0, 256.0])
+    x = algebra.ridge_path(a, b, penalties)
+    for k in range(3):
+        assert np.allclose(x[:, k], algebra.ridge(a, b, penalties[:, k]), atol=1e-9)
+
+
+def test_blend_without_steps_is_results_alone(spark):
+    g = games(spark, random_season(30))
+    f = fitted.blend(fitted.layers(g, None)).toPandas().set_index("team").sort_index()
+    l2 = fitted.fits(g).toPandas().set_index("team").sort_index()
+    assert np.allclose(f["rating"], f["w2"] * l2["rho"], atol=1e-9) and (f["source"] == "training_window").all()
+
+
+def test_blend_weights_have_not_seen_their_games(spark):
+    """Once enough games were predicted, weights come from predictions by fits of the games before each."""
+    rows = random_season(60)
+    g = games(spark, rows)
+    walk = fitted.blend(fitted.layers(g, None, every=True)).toPandas()
+    fits = {k: p.set_index("team")["rho"] for k, p in fitted.fits(g, every=True).toPandas().groupby("as_of")}
+    x, y = [], []
+    for k in range(1, 60):
+        h, a, hp, ap, n = rows[k]
+        x.append((fits[k - 1].get(h, 0.0) - fits[k - 1].get(a, 0.0), 0.0 if n else 1.0))
+        y.append(hp - ap)
+        if k >= ratings.LEAST_GAMES:
+            want = np.linalg.lstsq(np.array(x), np.array(y, float), rcond=None)[0]
+            row = walk[walk["as_of"] == k].iloc[0]
+            assert row["source"] == "out_of_sample" and abs(row["w2"] - want[0]) < 1e-7 and abs(row["home_field"] - want[1]) < 1e-7 and row["n_weights"] == k
+
+
 def test_windows_and_universes_refuse_what_they_dont_know(spark):
     g = games(spark, ROBIN)
     assert buckets.window(g, 2020, "regular", 2).count() == 3 and buckets.window(g, 2020, "regular", 2, False).count() == 2
@@ -151,6 +225,49 @@ def test_bootstrap_draws_are_their_own(spark):
     assert few.equals(more)
 
 
+def test_a_draws_orderings_are_those_of_its_simulated_season(spark):
+    rows = random_season(40)
+    g = games(spark, rows)
+    got = bootstrap.draws(g, 1, bootstrap.ORDERINGS).toPandas()
+    mu = bootstrap.expected(g, bootstrap.prepared(g)).toPandas().sort_values("game_id")
+    margin = mu["mu"].to_numpy() + adapters.SIGMA * bootstrap.normals(mu["game_id"].to_numpy(), 0)
+    new = games(spark, [(h, a, 1 if m > 0 else 0, 0 if m > 0 else 1, n) for (h, a, _, _, n), m in zip(rows, margin, strict=True)])
+    power = got[got["ordering"] == "power"][["team", "value"]]
+    p = spark.createDataFrame([(2020, t, float(v)) for t, v in power.itertuples(index=False)], "season int, team string, rating double")
+    s = resume.schedule(new, p).cache()
+    tail = {r.team: r.tail for r in resume.odds(resume.with_probability(s, p.withColumn("rating", F.col("rating"))), ["season", "team"]).collect()}
+    if p.count() < resume.REFERENCE_RANK:
+        odds = got[got["ordering"] == "schedule_odds"].set_index("team")["value"]
+        assert all(abs(tail[t] + odds[t]) < 1e-9 for t in tail)
+    root = {r.team: r.resume for r in resume.solved(s).collect()}
+    res = got[got["ordering"] == "resume"].set_index("team")["value"]
+    assert all(abs(root[t] - res[t]) < 1e-4 for t in root)
+
+
+def test_normal_numbers_are_normal():
+    x = np.concatenate([bootstrap.normals(np.arange(1, 2001), k) for k in range(50)])
+    assert abs(x.mean()) < 0.01 and abs(x.std() - 1) < 0.01 and abs((x**3).mean()) < 0.05 and abs((x**4).mean() - 3) < 0.1
+    a, b = bootstrap.normals(np.arange(1, 2001), 1), bootstrap.normals(np.arange(1, 2001), 2)
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.07 and abs(np.corrcoef(a[:-1], a[1:])[0, 1]) < 0.07
+
+
+def test_phi_of_arrays():
+    x = np.linspace(-12, 12, 481)
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    assert np.allclose(algebra.phi(x), want, rtol=1e-12, atol=0)
+
+
+def test_graph_as_of_every_bucket(spark):
+    g = games(spark, [("A", "B", 1, 0, 0), ("C", "D", 1, 0, 0), ("B", "C", 1, 0, 0), ("B", "A", 1, 0, 0), ("E", "F", 1, 0, 0)])
+    e = graph.edges(g)
+    ids = {(r.as_of, r.team): (r.id, r.n) for r in graph.component_ids(e).collect()}
+    assert ids[(0, "B")] == (0, 2) and ids[(1, "C")] == (1, 2) and ids[(2, "D")] == (0, 4) and ids[(4, "F")] == (1, 2) and (0, "C") not in ids
+    cut = {(r.as_of, r.game_id): r.smaller for r in graph.walked(e, graph.bridges_by_bucket, graph.BRIDGE_SCHEMA).collect()}
+    assert cut == {(0, 0): 1, (1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 1, (2, 2): 2, (3, 1): 1, (3, 2): 2, (4, 1): 1, (4, 2): 2, (4, 4): 1}
+    hops = {(r.as_of, r.team): r.hops for r in graph.walked(e, graph.distances_of, "team string, hops int").collect()}
+    assert hops[(1, "D")] == -1 and hops[(2, "D")] == 3 and hops[(4, "E")] == -1
+
+
 def test_student_matches_known_values():
     assert abs(metrics.student_cdf(np.array([0.0, 1.895, -2.998]), 7)[1] - 0.95) < 1e-3
     assert abs(metrics.student_cdf(np.array([0.0]), 7)[0] - 0.5) < 1e-12
@@ -197,9 +314,9 @@ def test_sinks(spark, tmp_path):
 
 def test_leakage_names_the_culprit(spark):
     g = games(spark, ROBIN)
-    assert quality.audit(adapters.power, g, quality.READS, ["season", "team"], ["rating"])["same"]
+    assert quality.audit(fitted.power, g, quality.READS, ["season", "team"], ["rating"])["same"]
     cut = [c for c in quality.READS if c != "home_points"]
-    assert "home_points" in quality.audit(adapters.power, g, cut, ["season", "team"], ["rating"])["missing"]
+    assert "home_points" in quality.audit(fitted.power, g, cut, ["season", "team"], ["rating"])["missing"]
     assert quality.banned(["our_epa", "EPA_home", "points"]) == ["EPA_home"]
 
 
@@ -212,7 +329,7 @@ def test_digest_ignores_partitions(spark):
 
 def test_empty_tables(spark):
     g = games(spark, ROBIN).limit(0)
-    for build in (adapters.power, baselines.win_share, baselines.colley, baselines.elo, ratings.results_fit, ranking.grid):
+    for build in (fitted.power, baselines.win_share, baselines.colley, baselines.elo, fitted.fits, fitted.power_by_bucket, ranking.grid):
         assert build(g).count() == 0
 
 
@@ -221,7 +338,7 @@ def test_stream_restates_touched_seasons(spark, tmp_path):
 
     games(spark, ROBIN).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(GAMES).parquet(str(tmp_path / "in"))
-    q = weekly.restate(stream, str(tmp_path / "store"), adapters.power, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = weekly.restate(stream, str(tmp_path / "store"), fitted.power, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).toPandas()
     assert sorted(got["team"]) == ["A", "B", "C", "D"]
