@@ -188,9 +188,9 @@ def rating_resolver(spark: SparkSession, d: str, season: int = 2000) -> DataFram
     return p.join(F.broadcast(c)).join(j, "team", "left").select("team", F.round(F.coalesce("projected", INTERCEPT + MEAN_REVERSION * (F.col("rating") - F.col("m"))), 6).alias("rating"))
 
 
-@query("J16_schedule_strength", f"with {CALENDAR}, t as (select season, team, count(*) games, round(avg(opp), 10) strength, count(case when site = 1 then 1 end) home from cal group by 1, 2) select season, team, games, strength, home, case when games >= 10 then cast(row_number() over (partition by season, games >= 10 order by strength desc, team) as int) end rank from t")
+@query("J16_schedule_strength", f"with {CALENDAR}, t as (select season, team, count(*) games, round(sum(opp), 6) / count(*) strength, count(case when site = 1 then 1 end) home from cal group by 1, 2) select season, team, games, strength, home, case when games >= 10 then cast(row_number() over (partition by season, games >= 10 order by strength desc, team) as int) end rank from t")
 def schedule_strength(spark: SparkSession, d: str, least: int = 10) -> DataFrame:
-    t = calendar(spark, d).groupBy("season", "team").agg(F.count("*").alias("games"), F.round(F.avg("opp"), 10).alias("strength"), F.count(F.when(F.col("site") == 1, 1)).alias("home"))
+    t = calendar(spark, d).groupBy("season", "team").agg(F.count("*").alias("games"), (F.round(F.sum("opp"), 6) / F.count("*")).alias("strength"), F.count(F.when(F.col("site") == 1, 1)).alias("home"))
     w = Window.partitionBy("season", F.col("games") >= least).orderBy(F.desc("strength"), "team")
     return t.withColumn("rank", F.when(F.col("games") >= least, F.row_number().over(w)))
 
