@@ -292,7 +292,7 @@ def layers(games: DataFrame, steps: DataFrame | None, every: bool = False) -> Da
             row[1, l2["seen"]] = l2["x"][:-1]
             row[2, sums.special[SITE_ROW]] = row[3, sums.special[GAMES_ROW]] = 1.0
             s, t, _, _ = game_moments(sums, row[[3, 0, 2]], sums.a0)
-            k = float(least_norm(s, t)[1])
+            k = float(least_norm(s, t)[1]) if l1["n"] else K_START
             row[0] *= k
             packed = lambda a0: [float(v) for part in game_moments(sums, row[:3], a0) for v in np.ravel(part)]
             own, ahead = packed(sums.a0), None

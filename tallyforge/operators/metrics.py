@@ -34,7 +34,7 @@ SCORED = f"""with cum as materialized (select * from power_as_of), {WALK}, sc as
 
 
 def walk(games: DataFrame) -> DataFrame:
-    """Each game predicted by the plain Power as of the bucket before; all buckets in one plan."""
+    """Each game predicted by Power as of the bucket before; all buckets in one plan."""
     p = fitted.power_by_bucket(games)
     g = games.where("bucket_order > 0").withColumn("as_of", F.col("bucket_order") - 1)
     for side, short in (("home", "hr"), ("away", "ar")):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions import algebra as al
 from tallyforge.functions.expr import compress_sql, response_sql
 from tallyforge.functions.ridge_sql import gradients
-from tallyforge.operators import fitted, plays
-from tallyforge.operators.fitted import FOLDS, GRID_EFFICIENCY, GRID_RESULTS, K_START, LEAST_GAMES, MARGIN, SITE, TYPE_WEIGHT, entry, folds, game_design, power_by_bucket, predicted, weighted
+from tallyforge.operators import fitted
+from tallyforge.operators.fitted import FOLDS, GRID_EFFICIENCY, GRID_RESULTS, LEAST_GAMES, MARGIN, SITE, TYPE_WEIGHT, entry, folds, game_design, power_by_bucket, predicted, weighted
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
