@@ -281,7 +281,7 @@ class Linker:
         """(a, b): links that join all that is joined, not each of them; None where no signature is shared."""
         if self.members.isEmpty():
             return None
-        loose = components(self.members.join(hubs(self.members), "sig").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        loose = components(self.members.select(F.col("hub").alias("a"), F.col("node").alias("b")))
         named = loose.read().select(F.col("u").alias("node"), F.col("v").alias("family"))
         named = named.unionByName(named.select(F.col("family").alias("node"), "family").distinct())
         shares = self.members.groupBy("node").agg(F.count("*").alias("shares"))
@@ -398,7 +398,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     # A linked pair shares `need` signatures of either; what shares fewer with all others together has no link.
     enough = sharing.read().groupBy("node").agg(F.count("*").alias("k")).join(by_node, "node").where("k >= need").select("node")
     left = Stored(sharing.read().join(enough, "node", "left_semi"), "left").read()
-    members = Stored(left.join(hubs(left).where("hub < last"), "sig").select("sig", "node"), "members")
+    members = Stored(left.join(hubs(left).where("hub < last"), "sig").select("node", "hub"), "members")
     sharing.drop()
     some = Stored(by_node.join(members.read().select("node").distinct(), "node").select(F.col("least").alias(id_col)), "wanted").read()
     wanted = some.where(F.col(id_col).isNotNull())
