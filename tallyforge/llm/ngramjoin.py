@@ -169,7 +169,7 @@ def fingerprint(elements: np.ndarray) -> int:
 
 
 def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, n, node, need, sigs): a set's signatures, and how many of them a linked set shares at least, come with its first row of each task only, so copies add few."""
+    """(id, h, n, node, need, sigs), h the text's hash: a set's signatures, and how many of them a linked set shares at least, come with its first row of each task only, so copies add few."""
     kind = dict(docs.dtypes)[id_col]
 
     def make():
@@ -177,7 +177,7 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, nodes, sigs, needs = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 s = shingles(x.as_py(), width, words)
                 n.append(len(s))
                 node = fingerprint(s) if len(s) else None
@@ -195,32 +195,35 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent
             flat = np.concatenate([s for s in sigs if s is not None] or [np.zeros(0, np.int64)])
             offsets = np.concatenate(([0], np.cumsum([0 if s is None else len(s) for s in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), lists], ["id", "n", "node", "need", "sigs"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), lists], ["id", "h", "n", "node", "need", "sigs"])
 
         return each
 
-    return map_arrow(docs.select(id_col, text_col), make, f"id {kind}, n long, node long, need int, sigs array<long>")
+    return map_arrow(docs.select(id_col, F.xxhash64(text_col).alias("h"), text_col), make, f"id {kind}, h long, n long, node long, need int, sigs array<long>")
 
 
-def node_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, items binary): the sets behind nodes, one row a document."""
+def node_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, family, blocks, is_hub, items binary): the sets behind rows of (text, node, family, blocks, is_hub), a node once a task."""
 
     def make():
         words, seen = Words(), set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, items = [], []
-            for x in batch.column(1):
+            at, items = [], []
+            for i, (x, node) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
+                if node in seen:
+                    continue
                 s = shingles(x.as_py(), width, words)
-                if len(s) and (node := fingerprint(s)) not in seen:
+                if fingerprint(s) == node:
                     seen.add(node)
-                    nodes.append(node)
+                    at.append(i)
                     items.append(s.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+            kept = batch.select([1, 2, 3, 4]).take(pa.array(at, pa.int64()))
+            return pa.RecordBatch.from_arrays([*kept.columns, pa.array(items, pa.binary())], ["node", "family", "blocks", "is_hub", "items"])
 
         return each
 
-    return map_arrow(docs.select(id_col, text_col), make, "node long, items binary")
+    return map_arrow(docs, make, "node long, family long, blocks int, is_hub boolean, items binary")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
@@ -274,8 +277,9 @@ class Linker:
     only the rest is compared, block by block, with itself and with the core.
     """
 
-    def __init__(self, members: DataFrame, sets: DataFrame, percent: int):
-        self.members, self.sets, self.percent = members, sets, percent
+    def __init__(self, members: DataFrame, by_node: DataFrame, texts: DataFrame, width: int, percent: int):
+        """`members` has (node, hub), `by_node` the size `n` and one row (id, h) behind each node, `texts` (id, h, text)."""
+        self.members, self.by_node, self.texts, self.width, self.percent = members, by_node, texts, width, percent
 
     def resolve(self) -> DataFrame | None:
         """(a, b): links that join all that is joined, not each of them; None where no signature is shared."""
@@ -285,14 +289,15 @@ class Linker:
         named = loose.read().select(F.col("u").alias("node"), F.col("v").alias("family"))
         named = named.unionByName(named.select(F.col("family").alias("node"), "family").distinct())
         shares = self.members.groupBy("node").agg(F.count("*").alias("shares"))
-        nodes = named.join(shares, "node").join(self.sets.select("node", F.octet_length("items").alias("bytes")), "node")
+        nodes = named.join(shares, "node").join(self.by_node.select("node", "id", "h", (F.col("n") * 8).alias("bytes")), "node")
         nodes = Stored(nodes, "families").read()
         deal = nodes.groupBy("family").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("blocks"), F.max(F.struct("shares", "node")).alias("top"))
         deal = Stored(deal.select("family", "blocks", F.col("top.node").alias("hub")), "deal").read()
-        dealt = nodes.join(deal, "family").select("family", "node", "blocks", (F.col("node") == F.col("hub")).alias("is_hub"))
+        dealt = Stored(nodes.join(deal, "family").select("id", "h", "node", "family", "blocks", (F.col("node") == F.col("hub")).alias("is_hub")), "dealt").read()
+        self.sets = self.fetched(dealt)
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        home = dealt.withColumn("own", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-        edges = self.compared(home.select("family", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("label")))
+        home = self.sets.withColumn("own", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+        edges = self.compared(home.select("family", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("label"), "items"))
         large = deal.where("blocks > 1").select("family")
         if large.isEmpty():
             return edges
@@ -300,10 +305,24 @@ class Linker:
         rest = nodes.join(large, "family", "left_semi").join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"), "bytes")
         return edges.unionByName(self.compare_blocks(Stored(rest, "large").read()))
 
+    def fetched(self, dealt: DataFrame) -> DataFrame:
+        """The sets of the nodes, with all that dealing told, so that they are shuffled once, to where they are compared.
+
+        A node is found again by the id and the text's hash of one of its rows.  Only where rows repeat in both can a
+        node come from several tasks, and is made one by a shuffle.
+        """
+        wanted = F.broadcast(dealt) if dealt.count() <= MOST_SENT else dealt
+        t, w = self.texts.alias("t"), wanted.alias("w")
+        found = t.join(w, (F.col("t.h") == F.col("w.h")) & F.col("t.id").eqNullSafe(F.col("w.id")))
+        sets = Stored(node_sets(found.select("t.text", "w.node", "w.family", "w.blocks", "w.is_hub"), self.width), "sets").read()
+        if sets.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+            return sets
+        return Stored(sets.dropDuplicates(["node"]), "sets").read()
+
     def compared(self, keyed: DataFrame) -> DataFrame:
         """The links within each (family, i, j)."""
         percent = self.percent
-        found = keyed.join(self.sets, "node").groupBy("family", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a long, b long")
+        found = keyed.groupBy("family", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a long, b long")
         return Stored(found, "links").read()
 
     def compare_blocks(self, nodes: DataFrame) -> DataFrame:
@@ -317,7 +336,7 @@ class Linker:
         own = F.when(F.col("is_core"), F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.greatest("core_blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks"))).cast("int")
         others = F.when(F.col("is_core"), F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("core_blocks") - 1))
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-        return self.compared(dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"))
+        return self.compared(dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(self.sets.where("blocks > 1").select("node", "items"), "node"))
 
 
 def blocks_of(members, size):
@@ -391,30 +410,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     usual = exploded.join(hot, "sig", "left_anti").withColumns({"x": F.min("node").over(of), "y": F.max("node").over(of)}).where("x < y")
     shared = usual.select("sig", "node").unionByName(exploded.join(hot, "sig", "left_semi")).distinct()
     sharing = Stored(shared, "sharing")
-    rows = Stored(signed.read().select("id", "n", "node", "need"), "rows")
+    rows = Stored(signed.read().select("id", "h", "n", "node", "need"), "rows")
     signed.drop()
     release(docs.sparkSession)
-    by_node = rows.read().where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.max("need").alias("need"))
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))  # a row with an id, where there is one
+    by_node = rows.read().where("node is not null").groupBy("node").agg(one.alias("one"), F.max("need").alias("need"), F.max("n").alias("n"))
+    by_node = Stored(by_node.select("node", "need", "n", "one.id", "one.h"), "nodes").read()
     # A linked pair shares `need` signatures of either; what shares fewer with all others together has no link.
     enough = sharing.read().groupBy("node").agg(F.count("*").alias("k")).join(by_node, "node").where("k >= need").select("node")
     left = Stored(sharing.read().join(enough, "node", "left_semi"), "left").read()
     members = Stored(left.join(hubs(left).where("hub < last"), "sig").select("node", "hub"), "members")
     sharing.drop()
-    some = Stored(by_node.join(members.read().select("node").distinct(), "node").select(F.col("least").alias(id_col)), "wanted").read()
-    wanted = some.where(F.col(id_col).isNotNull())
-    if wanted.count() <= MOST_SENT:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(id_col, text_col)
-    fetched = texts.join(wanted, id_col, "left_semi")
-    if not some.where(F.col(id_col).isNull()).isEmpty():  # sets that only rows without an id have
-        fetched = fetched.unionByName(texts.where(F.col(id_col).isNull()))
-    sets = Stored(node_sets(fetched, id_col, text_col, width).dropDuplicates(["node"]), "sets")
-    edges = Linker(members.read(), sets.read(), percent).resolve()
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    edges = Linker(members.read(), by_node, texts, width, percent).resolve()
     if edges is None:
-        node_ids = by_node.select("node", F.col("node").alias("label"), "least")
+        node_ids = by_node.select("node", F.col("node").alias("label"), F.col("id").alias("least"))
     else:
         labels = components(edges).read().select(F.col("u").alias("node"), F.col("v").alias("label"))
-        node_ids = by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
+        node_ids = by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("id").alias("least"))
     component = node_ids.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = Stored(node_ids.join(component, "label").select("node", "component_id"), "components").read()
     out = rows.read().join(of_node, "node", "left")
