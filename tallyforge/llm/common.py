@@ -39,9 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Lets Spark delete a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind; while they run, lost tasks can still read them."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Stored:
     """A table written once below the shared folder; its readers survive the loss of any executor.
 
+    Its shuffles are gone once it is written, as nothing reads them again.
+
     It lasts as long as the driver's process, which deletes what is left at its end: results that are read lazily may need it.
     """
 
@@ -53,7 +70,8 @@ class Stored:
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path)
+        with tidied(self.spark):
+            writer.parquet(self.path)
         self.schema = df.schema
         self.kept[self.path] = self
 

@@ -412,7 +412,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sharing = Stored(shared, "sharing")
     rows = Stored(signed.read().select("id", "h", "n", "node", "need"), "rows")
     signed.drop()
-    release(docs.sparkSession)
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))  # a row with an id, where there is one
     by_node = rows.read().where("node is not null").groupBy("node").agg(one.alias("one"), F.max("need").alias("need"), F.max("n").alias("n"))
     by_node = Stored(by_node.select("node", "need", "n", "one.id", "one.h"), "nodes").read()
@@ -434,14 +433,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the files of shuffles that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
