@@ -43,7 +43,7 @@ class Ols:
     """Ordinary least squares of y on up to three expressions, as SQL text for both engines.
 
     `sums` are the aggregates to select, by name; `coefficients` the solutions by Cramer's rule over these names, null where
-    the columns aren't independent.
+    the columns aren't independent: the determinant is within 1e-9 of nought, on the scale of the columns' own squares.
     """
 
     def __init__(self, y: str, xs: list[str], weight: str = "1"):
@@ -53,7 +53,8 @@ class Ols:
         self.sums |= {"yy": f"sum(cast({weight} as double) * ({y}) * ({y}))"}
         m = [[f"s{min(i, j)}{max(i, j)}" for j in range(n)] for i in range(n)]
         self.determinant = det(m)
-        self.coefficients = [f"({det([[f't{r}' if c == i else m[r][c] for c in range(n)] for r in range(n)])} / nullif({self.determinant}, 0))" for i in range(n)]
+        sound = f"abs({self.determinant}) > 1e-9 * {' * '.join(m[i][i] for i in range(n))}"
+        self.coefficients = [f"(case when {sound} then {det([[f't{r}' if c == i else m[r][c] for c in range(n)] for r in range(n)])} / {self.determinant} end)" for i in range(n)]
 
     @property
     def select(self) -> str:

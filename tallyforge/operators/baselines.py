@@ -210,14 +210,14 @@ def power_rater(games: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     return R.power_of(games, "L3", steps)
 
 
-def resume_rater(games: DataFrame) -> DataFrame:
+def resume_rater(games: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """The quality at which a team's expected wins are its wins."""
-    return Q.solved(Q.schedule(games, fitted.power(games))).select("season", "team", F.col("resume").alias("rating"))
+    return Q.solved(Q.schedule(games, R.power_of(games, "L3", steps))).select("season", "team", F.col("resume").alias("rating"))
 
 
-def odds_rater(games: DataFrame) -> DataFrame:
+def odds_rater(games: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """How improbable a team's record was, as minus the logarithm of its chance."""
-    p = fitted.power(games)
+    p = R.power_of(games, "L3", steps)
     return Q.odds(Q.with_probability(Q.schedule(games, p), p), ["season", "team"]).select("season", "team", F.col("key").alias("rating"))
 
 
@@ -254,12 +254,12 @@ def adjusted_margin_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 Rater = Callable[..., DataFrame]
-#: Raters that also take the steps of the games (fitted.contest_steps).
-WITH_STEPS = ("l1", "l3")
 RATERS: dict[str, Rater] = {
     "winpct": win_share, "home_team": constant, "colley": colley, "srs": srs, "elo": elo, "random_walker": random_walker,
     "l1": efficiency_rater, "l2": results_rater, "l3": power_rater, "resume": resume_rater, "schedule_odds": odds_rater,
 }
+#: Raters that also take the steps of the games (fitted.contest_steps).
+WITH_STEPS = (efficiency_rater, power_rater, resume_rater, odds_rater)
 #: Other names of raters (fixed values).
 ALIASES = {"win_pct": "winpct", "record": "winpct", "home": "home_team", "simple": "srs", "walker": "random_walker", "results": "l2", "power": "l3", "odds": "schedule_odds", "l4": "resume", "poll": "schedule_odds"}
 #: Orderings that predict through another rater's ratings.
@@ -310,7 +310,7 @@ PROTOCOL = {
 def rater_protocol(spark: SparkSession, d: str) -> DataFrame:
     """Every rater over the same games, those that take steps with them."""
     g, steps = A.played(spark, d), fitted.contest_steps(spark, d)
-    rows = [(f(g, steps) if name in WITH_STEPS else f(g)).select(F.lit(name).alias("rater"), "season", "team", F.round(F.col("rating").cast("double"), 6).alias("rating")) for name, f in RATERS.items()]
+    rows = [(f(g, steps) if f in WITH_STEPS else f(g)).select(F.lit(name).alias("rater"), "season", "team", F.round(F.col("rating").cast("double"), 6).alias("rating")) for name, f in RATERS.items()]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -64,9 +64,10 @@ def measured(rows: DataFrame, *by: str) -> DataFrame:
 MEASURES = ", ".join(f"round(cast({v} as double), 6) {k}" for k, v in METRICS.items())
 
 
-@query("M01_win_chance", SCORED + "select game_id, round(p, 6) p from sc")
+@query("M01_win_chance", SCORED + f"select game_id, round({phi_sql('z')}, 6) p from sc")
 def win_chance(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("game_id", F.round("p", 6).alias("p"))
+    """Rounded once, from the chance itself: what `scored` rounds to nine places may lie on the border of six."""
+    return scored(spark, d).select("game_id", F.round(F.expr(phi_sql("z")), 6).alias("p"))
 
 
 for _name, _keys in (("M02_straight_up", ("su",)), ("M03_errors", ("mae", "rmse")), ("M04_brier", ("brier",)), ("M05_log_loss", ("logloss",)), ("M10_summary", tuple(METRICS))):
@@ -211,7 +212,7 @@ def prediction(spark: SparkSession, d: str) -> DataFrame:
 @query("M18_rating_delta", f"select game_id, round(delta, 6) delta from ({R.CROSS})")
 def rating_delta(spark: SparkSession, d: str) -> DataFrame:
     g = A.contests(spark, d).where("completed")
-    return R.predicted(g, fitted.power(A.played(spark, d))).select("game_id", F.round("delta", 6).alias("delta"))
+    return R.predicted(g, R.season_power(spark, d)).select("game_id", F.round("delta", 6).alias("delta"))
 
 
 @query("M19_winner_loser", "select game_id, case when home_points > away_points then home_team else away_team end winner, case when home_points > away_points then away_team else home_team end loser from contests where completed")

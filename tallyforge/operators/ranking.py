@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import ship
 from tallyforge.operators import fitted
+from tallyforge.operators import ratings as R
 from tallyforge.operators import resume as Q
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
@@ -27,7 +28,7 @@ def order_columns(ordering: str) -> list:
     return [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERINGS[ordering]]
 
 
-ODDS_POWER = Q.SEASON_ODDS.rstrip() + ", res0 as (select *, round(tail, 12) t12, round(mid, 12) m12 from odds join power using (season, team)) "
+ODDS_POWER = Q.SEASON_ODDS.rstrip() + ", res0 as (select *, round(tail, 12) t12, round(mid, 12) m12 from odds join season_power using (season, team)) "
 
 
 def season_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -58,18 +59,18 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return A.sides(A.contests(spark, d)).groupBy("season", "team").agg(F.sum("won").alias("wins"), F.sum("lost").alias("losses"))
 
 
-@query("K06_ratings_table", "select season, team, rating, cast(sum(won) as bigint) wins, cast(sum(lost) as bigint) losses, cast(row_number() over (partition by season order by rating desc, team) as int) place from sides join power using (season, team) group by season, team, rating")
+@query("K06_ratings_table", "select season, team, rating, cast(sum(won) as bigint) wins, cast(sum(lost) as bigint) losses, cast(row_number() over (partition by season order by rating desc, team) as int) place from sides join season_power using (season, team) group by season, team, rating")
 def ratings_table(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
     r = A.sides(g).groupBy("season", "team").agg(F.sum("won").alias("wins"), F.sum("lost").alias("losses"))
-    return fitted.power(g).join(r, ["season", "team"]).withColumn("place", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")))
+    return R.season_power(spark, d, g).join(r, ["season", "team"]).withColumn("place", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")))
 
 
-@query("K07_poll_table", "select season, team, cast(row_number() over (partition by season order by rating desc, team) as int) rank from power where team in (select team from sides_of_all where team_class = 'fbs')")
+@query("K07_poll_table", "select season, team, cast(row_number() over (partition by season order by rating desc, team) as int) rank from season_power where team in (select team from sides_of_all where team_class = 'fbs')")
 def poll_table(spark: SparkSession, d: str) -> DataFrame:
     g = A.contests(spark, d)
     wanted = A.sides(g).where("team_class = 'fbs'").select("team").distinct()
-    p = fitted.power(g.where("completed and home_class = 'fbs' and away_class = 'fbs'")).join(wanted, "team", "left_semi")
+    p = R.season_power(spark, d).join(wanted, "team", "left_semi")
     return p.select("season", "team", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("rating"), "team")).alias("rank"))
 
 
@@ -179,7 +180,7 @@ register("K14_hindsight_surface", "select season, e, team, wins, losses, tail, r
 register("K15_triangle", "select * from retro_grid", lambda g: g)
 register("K16_surface_split", "select season, is_live, is_hindsight, count(*) n from retro_grid group by 1, 2, 3", lambda g: g.groupBy("season", "is_live", "is_hindsight").agg(F.count("*").alias("n")))
 
-MOVES = "(select l.season, l.e, l.team, h.rank - l.rank delta, l.rank live_rank, h.rank hindsight_rank from retro_grid l join retro_grid h on h.season = l.season and h.e = l.e and h.team = l.team where l.is_live and h.is_hindsight)"
+MOVES = "(select *, hindsight_rank - live_rank delta from (select season, e, team, max(case when is_live then rank end) live_rank, max(case when is_hindsight then rank end) hindsight_rank from retro_grid where is_live or is_hindsight group by all))"
 
 
 def moves(g: DataFrame) -> DataFrame:

@@ -173,12 +173,13 @@ def efficiency_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 PREDICTED = f"""select p.*, {MARGIN} margin, {SITE} site, coalesce(h.rating, 0) hr, coalesce(a.rating, 0) ar, coalesce(h.rating, 0) - coalesce(a.rating, 0) delta
-  from played p left join power h on h.season = p.season and h.team = home_team left join power a on a.season = p.season and a.team = away_team"""
+  from played p left join season_power h on h.season = p.season and h.team = home_team left join season_power a on a.season = p.season and a.team = away_team"""
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
+    """Games predicted by Power from all of their season's games and steps."""
     g = A.played(spark, d)
-    return predicted(g, fitted.power(g))
+    return predicted(g, season_power(spark, d, g))
 
 
 def register_ols(name: str, y: str, xs: list[str], labels: list[str], where: str = "true", by: str = "season", doc: str = "") -> None:
@@ -202,10 +203,10 @@ def efficiency_games(spark: SparkSession, d: str) -> DataFrame:
 _K = al.Ols("m", ["1", "dn", "site"])
 
 
-@query("R15_k_scale", f"with s as (select season, count(*) n, {_K.select} from terms_s group by season) select season, n, {', '.join(f'round({c}, 5) {label}' for c, label in zip(_K.coefficients, 'akc', strict=True))} from s")
+@query("R15_k_scale", f"with s as (select season, count(*) n, {_K.select} from (select * replace (round(dn, 9) as dn) from terms_s) group by season) select season, n, {', '.join(f'round({c}, 5) {label}' for c, label in zip(_K.coefficients, 'akc', strict=True))} from s")
 def k_scale(spark: SparkSession, d: str) -> DataFrame:
-    """margin ~ a + k * (difference of net efficiencies) + c * site, from sums."""
-    rows = efficiency_games(spark, d).withColumns({"m": F.col("margin"), "dn": F.col("delta")})
+    """margin ~ a + k * (difference of net efficiencies) + c * site, from sums; null where no efficiency differs by 1e-9."""
+    rows = efficiency_games(spark, d).withColumns({"m": F.col("margin"), "dn": F.round("delta", 9)})
     s = _K.aggregate(rows, ["season"], [F.count("*").alias("n")])
     return s.select("season", "n", *(F.round(F.expr(c), 5).alias(label) for c, label in zip(_K.coefficients, "akc", strict=True)))
 
@@ -328,6 +329,12 @@ def power_of(games: DataFrame, source: str = "L2", steps: DataFrame | None = Non
     return fitted.power(games)
 
 
+def season_power(spark: SparkSession, d: str, games: DataFrame | None = None, source: str = "L3") -> DataFrame:
+    """(season, team, rating): the Power that readers take unless they are told another source."""
+    games = A.played(spark, d) if games is None else games
+    return power_of(games, source, fitted.contest_steps(spark, d) if source == "L3" else None)
+
+
 @query("R30_power_dispatch", "select source, season, team, rating from (select 'L3 without steps' source, season, team, rating from power union all select 'L3', season, team, round(rating, 6) from blend_s)")
 def power_dispatch(spark: SparkSession, d: str) -> DataFrame:
     g = A.played(spark, d)
@@ -350,14 +357,14 @@ def pooled_ols(spark: SparkSession, d: str) -> DataFrame:
 
 BRIDGE = "(cast(home_class = 'fbs' as int) - cast(away_class = 'fbs' as int))"
 _CROSS = al.Ols("margin", ["1", "delta", "bridge"])
-CROSS = f"""select c.*, {MARGIN} margin, {BRIDGE} bridge, coalesce(h.rating, 0) - coalesce(a.rating, 0) delta from contests c left join power h on h.season = c.season and h.team = home_team left join power a on a.season = c.season and a.team = away_team where completed"""
+CROSS = f"""select c.*, {MARGIN} margin, {BRIDGE} bridge, coalesce(h.rating, 0) - coalesce(a.rating, 0) delta from contests c left join season_power h on h.season = c.season and h.team = home_team left join season_power a on a.season = c.season and a.team = away_team where completed"""
 
 
 @query("R33_cross_division", f"with g as ({CROSS}), s as (select season, count(*) n, count(case when bridge <> 0 then 1 end) n_bridge, {_CROSS.select} from g group by season) select season, n, n_bridge, case when n_bridge >= {LEAST_GAMES} then round(-({_CROSS.coefficients[2]}), 6) end gap, case when n_bridge >= {LEAST_GAMES} then 'measured' else 'unmeasured' end status from s")
 def cross_division(spark: SparkSession, d: str) -> DataFrame:
     """What the lower class is worth less, from games across classes; unmeasured with too few of them."""
     g = A.contests(spark, d).where("completed")
-    rows = predicted(g, fitted.power(A.played(spark, d))).withColumn("bridge", F.expr(BRIDGE))
+    rows = predicted(g, season_power(spark, d)).withColumn("bridge", F.expr(BRIDGE))
     s = _CROSS.aggregate(rows, ["season"], [F.count("*").alias("n"), F.count(F.when(F.col("bridge") != 0, 1)).alias("n_bridge")])
     enough = F.col("n_bridge") >= LEAST_GAMES
     return s.select("season", "n", "n_bridge", F.when(enough, F.round(-F.expr(_CROSS.coefficients[2]), 6)).alias("gap"), F.when(enough, "measured").otherwise("unmeasured").alias("status"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.expr import compress_sql, phi_sql, response_sql
 from tallyforge.functions.solve import BOUND, HALVINGS, log_key_sql, pmf, upper_tail, wins_root
-from tallyforge.operators import fitted
+from tallyforge.operators import ratings as R
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
 
@@ -17,8 +17,8 @@ CAP, WIN_BONUS = 32.0, 7.0
 NODES, WEIGHTS = np.polynomial.hermite.hermgauss(20)
 REFERENCE_RANK = 25
 
-SCHEDULE = "select s.*, coalesce(p.rating, 0) opp from sides s left join power p on p.season = s.season and p.team = s.opponent"
-Q_REF = f"""select season, coalesce(max(case when r = {REFERENCE_RANK} then rating end), min(rating)) q_ref from (select season, rating, row_number() over (partition by season order by rating desc, team) r from power) group by season"""
+SCHEDULE = "select s.*, coalesce(p.rating, 0) opp from sides s left join season_power p on p.season = s.season and p.team = s.opponent"
+Q_REF = f"""select season, coalesce(max(case when r = {REFERENCE_RANK} then rating end), min(rating)) q_ref from (select season, rating, row_number() over (partition by season order by rating desc, team) r from season_power) group by season"""
 
 
 def schedule(games: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -33,9 +33,10 @@ def reference_quality(ratings: DataFrame, rank: int = REFERENCE_RANK) -> DataFra
     return r.groupBy("season").agg(F.coalesce(F.max(F.when(F.col("r") == rank, F.col("rating"))), F.min("rating")).alias("q_ref"))
 
 
-def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def inputs(spark: SparkSession, d: str, source: str = "L3") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Games, Power of whole seasons by its source, and the schedules that meet it."""
     g = A.played(spark, d)
-    p = fitted.power(g)
+    p = R.season_power(spark, d, g, source)
     return g, p, schedule(g, p)
 
 
@@ -135,11 +136,12 @@ def scalar_margin(spark: SparkSession, d: str) -> DataFrame:
     return A.contests(spark, d).select("game_id", F.expr("cast(home_points - away_points as double)").alias("m")).select("game_id", F.round(F.expr(quadrature_sql("m")), 5).alias("e"))
 
 
-@query("Q10_hindsight_rating", f"select s.season, team, round(sum(opp), 6) faced, sum(won) wins from ({SCHEDULE}) s where bucket_order <= 20 group by 1, 2", wins="bigint")
-def hindsight_rating(spark: SparkSession, d: str, through: int = 20) -> DataFrame:
-    """The record of a window met with the Power of the whole season."""
-    s = inputs(spark, d)[2].where(F.col("bucket_order") <= through)
-    return s.groupBy("season", "team").agg(F.round(F.sum("opp"), 6).alias("faced"), F.sum("won").alias("wins"))
+@query("Q10_hindsight_rating", f"select season, team, bucket_order through, round(sum(faced) over w, 5) faced, sum(won) over w wins from (select s.season, team, bucket_order, sum(opp) faced, sum(won) won from ({SCHEDULE}) s group by 1, 2, 3) window w as (partition by season, team order by bucket_order)", wins="bigint")
+def hindsight_rating(spark: SparkSession, d: str) -> DataFrame:
+    """The record through each of a team's buckets met with the Power of the whole season."""
+    s = inputs(spark, d)[2].groupBy("season", "team", "bucket_order").agg(F.sum("opp").alias("faced"), F.sum("won").alias("won"))
+    so_far = Window.partitionBy("season", "team").orderBy("bucket_order")
+    return s.select("season", "team", F.col("bucket_order").alias("through"), F.round(F.sum("faced").over(so_far), 5).alias("faced"), F.sum("won").over(so_far).alias("wins"))
 
 
 @query("Q11_team_class", "select team, min(team_class) team_class from sides_of_all group by team")
@@ -148,7 +150,7 @@ def team_class(spark: SparkSession, d: str) -> DataFrame:
     return A.sides(A.contests(spark, d)).groupBy("team").agg(F.min("team_class").alias("team_class"))
 
 
-@query("Q12_reference_quality", f"select season, round(q_ref, 6) q_ref, n pool from ({Q_REF}) join (select season, count(*) n from power group by 1) using (season)")
+@query("Q12_reference_quality", f"select season, round(q_ref, 6) q_ref, n pool from ({Q_REF}) join (select season, count(*) n from season_power group by 1) using (season)")
 def reference_quality_rows(spark: SparkSession, d: str) -> DataFrame:
     p = inputs(spark, d)[1]
     return reference_quality(p).join(p.groupBy("season").agg(F.count("*").alias("pool")), "season").select("season", F.round("q_ref", 6).alias("q_ref"), "pool")
@@ -227,7 +229,7 @@ def scalar_odds(spark: SparkSession, d: str) -> DataFrame:
     return season_odds(spark, d).groupBy("season").agg(F.max(F.round("tail", 6)).alias("most"), F.min(F.round("tail", 6)).alias("least"), F.count("*").alias("teams"))
 
 
-@query("Q21_surprise", SEASON_ODDS + "select season, team, round(wins - expected, 6) surprise, round(-rating, 6) gap from odds join power using (season, team)")
+@query("Q21_surprise", SEASON_ODDS + "select season, team, round(wins - expected, 6) surprise, round(-rating, 6) gap from odds join season_power using (season, team)")
 def surprise(spark: SparkSession, d: str) -> DataFrame:
     """Wins above expectation, and how far the Power lies below nought."""
     t = season_odds(spark, d).join(inputs(spark, d)[1], ["season", "team"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.operators import baselines, buckets, ranking, ratings, resume
+from tallyforge.operators import baselines, buckets, fitted, ranking, ratings, resume
 from tallyforge.operators import metrics as evaluation
 from tallyforge.sources import adapters
 
@@ -33,11 +33,12 @@ class Engine:
     def as_of(self, season: int, season_type: str, week: int, inclusive: bool = True) -> DataFrame:
         return buckets.window(self.games(), season, season_type, week, inclusive)
 
-    def power(self, source: str = "L2") -> DataFrame:
-        return ratings.power_of(self.games(), source, self.steps())
+    def power(self, source: str = "L3") -> DataFrame:
+        return ratings.power_of(self.games(), source, fitted.contest_steps(self.spark, self.path))
 
     def rate(self, name: str) -> DataFrame:
-        return baselines.rater(name)(self.games())
+        rate = baselines.rater(name)
+        return rate(self.games(), fitted.contest_steps(self.spark, self.path)) if rate in baselines.WITH_STEPS else rate(self.games())
 
     def odds(self) -> DataFrame:
         return resume.schedule_odds(self.spark, self.path)
