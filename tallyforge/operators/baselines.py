@@ -143,21 +143,26 @@ def mov_multiplier_rows(spark: SparkSession, d: str) -> DataFrame:
     return g.select("game_id", F.round(F.expr(MULTIPLIER), 6).alias("m"))
 
 
+def elo_game(now: dict[str, float], g) -> None:
+    """Moves both sides' ratings by one game."""
+    for team, kind in ((g.home_team, g.home_class), (g.away_team, g.away_class)):
+        now.setdefault(team, ELO["fbs"] if kind == "fbs" else ELO["other"])
+    home, away = now[g.home_team] + (0.0 if g.neutral_site else ELO["home"]), now[g.away_team]
+    expected = 1 / (1 + 10 ** ((away - home) / 400))
+    result = 1.0 if g.home_points > g.away_points else 0.0 if g.home_points < g.away_points else 0.5
+    winner, loser = (away, home) if result == 0.0 else (home, away)
+    change = ELO["k"] * mov_multiplier(g.home_points - g.away_points, winner, loser) * (result - expected)
+    now[g.home_team] += change
+    now[g.away_team] -= change
+
+
 def elo(games: DataFrame) -> DataFrame:
     """Ratings after a season's games in the order of (start, game): an ordered fold, so one task a season, fed six columns."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         now: dict[str, float] = {}
         for g in pdf.sort_values(["start_date", "game_id"]).itertuples(index=False):
-            for team, kind in ((g.home_team, g.home_class), (g.away_team, g.away_class)):
-                now.setdefault(team, ELO["fbs"] if kind == "fbs" else ELO["other"])
-            home, away = now[g.home_team] + (0.0 if g.neutral_site else ELO["home"]), now[g.away_team]
-            expected = 1 / (1 + 10 ** ((away - home) / 400))
-            result = 1.0 if g.home_points > g.away_points else 0.0 if g.home_points < g.away_points else 0.5
-            winner, loser = (away, home) if result == 0.0 else (home, away)
-            change = ELO["k"] * mov_multiplier(g.home_points - g.away_points, winner, loser) * (result - expected)
-            now[g.home_team] += change
-            now[g.away_team] -= change
+            elo_game(now, g)
         teams = sorted(now)
         return pd.DataFrame({"season": pdf["season"].iloc[0], "team": teams, "rating": [now[t] for t in teams]})
 

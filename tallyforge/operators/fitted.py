@@ -314,7 +314,7 @@ def layers(games: DataFrame, steps: DataFrame | None, every: bool = False) -> Da
     return g.groupBy("season", "block").applyInPandas(one, BLEND_SCHEMA)
 
 
-WALK_SCHEMA = "season int, as_of int, team string, rating double, w1 double, w2 double, home_field double, source string, n_weights long, sigma double, sigma_source string, n_residuals long"
+WALK_SCHEMA = "season int, as_of int, team string, rating double, efficiency double, w1 double, w2 double, home_field double, source string, n_weights long, sigma double, sigma_source string, n_residuals long"
 
 
 def blend(fitted: DataFrame, floor: float = A.SIGMA, least: int = LEAST_GAMES) -> DataFrame:
@@ -339,7 +339,7 @@ def blend(fitted: DataFrame, floor: float = A.SIGMA, least: int = LEAST_GAMES) -
             value = np.sqrt(max(rss, 0.0) / n) if n else 0.0
             source = "config_fallback_thin_window" if n < least else "config_floor" if value < floor else "walk_forward_residuals"
             out.append(pd.DataFrame({
-                "season": part["season"].iloc[0], "as_of": int(as_of), "team": part["team"], "rating": w[0] * part["k"] * part["net"] + w[1] * part["rho"], "w1": w[0], "w2": w[1], "home_field": w[2],
+                "season": part["season"].iloc[0], "as_of": int(as_of), "team": part["team"], "rating": w[0] * part["k"] * part["net"] + w[1] * part["rho"], "efficiency": part["k"] * part["net"], "w1": w[0], "w2": w[1], "home_field": w[2],
                 "source": "out_of_sample" if n >= least else "training_window", "n_weights": n if n >= least else int(round(own[13])), "sigma": value if source == "walk_forward_residuals" else floor, "sigma_source": source, "n_residuals": n,
             }))
             ahead = next((v for v in part["ahead"] if v is not None), None)
@@ -425,7 +425,7 @@ STEP_VIEWS |= {
     "missed_b": "select t.season, p.b as_of, sum(pow(m - w.x[1] * k.x[2] * dn - w.x[2] * dr - w.x[3] * site, 2)) rss, count(*) n from terms_b t join (select season, as_of prev, lead(as_of) over (partition by season order by as_of) b from fb_keys) p on p.season = t.season and p.prev = t.as_of and p.b = t.b join k_b k on k.season = t.season and k.as_of = t.as_of join weight_b w on w.season = t.season and w.as_of = t.as_of group by all",
     "error_b": f"select *, case when seen < {LEAST_GAMES} then 'config_fallback_thin_window' when rms < {A.SIGMA} then 'config_floor' else 'walk_forward_residuals' end sigma_source from (select season, k.as_of, coalesce(sum(n) over w, 0)::bigint seen, coalesce(sqrt(sum(rss) over w / sum(n) over w), 0) rms from fb_keys k left join missed_b m using (season, as_of) window w as (partition by season order by k.as_of))",
     "weights_b": f"select season, as_of, w.x[1] w1, w.x[2] w2, w.x[3] home_field, case when g.seen >= {LEAST_GAMES} then 'out_of_sample' else 'training_window' end as source, g.n::bigint n_weights, case when sigma_source = 'walk_forward_residuals' then rms else {A.SIGMA} end sigma, sigma_source, e.seen n_residuals from weight_b w join weigh_b g using (season, as_of) join error_b e using (season, as_of)",
-    "blend_b": "select season, as_of, team, w1 * k.x[2] * net + w2 * coalesce(rho, 0) rating from effect_b e join k_b k using (season, as_of) join weights_b w using (season, as_of) left join fit_bucket r using (season, as_of, team) where rho is not null or exists (select 1 from contest_steps c where c.season = e.season and c.b <= e.as_of and (c.o = e.i or c.d = e.i))",
+    "blend_b": "select season, as_of, team, w1 * k.x[2] * net + w2 * coalesce(rho, 0) rating, k.x[2] * net efficiency from effect_b e join k_b k using (season, as_of) join weights_b w using (season, as_of) left join fit_bucket r using (season, as_of, team) where rho is not null or exists (select 1 from contest_steps c where c.season = e.season and c.b <= e.as_of and (c.o = e.i or c.d = e.i))",
 }
 FIT_VIEWS |= STEP_VIEWS
 FIT_VIEWS |= {"power": "select season, team, round(rating, 6) rating from fit_season", "season_power": "select season, team, round(rating, 6) rating from blend_s", "power_as_of": "select season, as_of, team, round(rating, 6) rating from fit_bucket"}
