@@ -102,10 +102,11 @@ def ridge_path(a: np.ndarray, b: np.ndarray, penalties: np.ndarray, most: int =
     """The solutions for several diagonals (one a column) at once, by conjugate gradients to twelve digits.
 
     A product with A serves all of them, so a path costs some tens of products instead of a factorisation each.  What
-    has not settled, as singular systems may not, is solved directly.
+    has not settled, as singular systems may not, is solved directly.  `b` may have a column for each of the penalties'.
     """
     d = np.maximum(np.diag(a)[:, None] + penalties, 1e-300)
-    x, r = np.zeros_like(d), np.repeat(b[:, None], d.shape[1], 1)
+    b = np.repeat(b[:, None], d.shape[1], 1) if b.ndim == 1 else b
+    x, r = np.zeros_like(d), b.copy()
     z = r / d
     p, rz = z.copy(), (r * z).sum(0)
     goal = rz * 1e-24
@@ -122,7 +123,7 @@ def ridge_path(a: np.ndarray, b: np.ndarray, penalties: np.ndarray, most: int =
         p = z + np.divide(new, rz, out=np.zeros_like(rz), where=rz > 0) * p
         rz = np.where(alpha > 0, new, rz)
     for k in np.flatnonzero(rz > goal):
-        x[:, k] = ridge(a, b, penalties[:, k])
+        x[:, k] = ridge(a, b[:, k], penalties[:, k])
     return x
 
 

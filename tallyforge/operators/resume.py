@@ -85,18 +85,35 @@ def expected_margin(spark: SparkSession, d: str) -> DataFrame:
     return with_probability(s, p).groupBy("season", "team").agg(F.round(F.sum(e), 5).alias("expected"))
 
 
-def solved(s: DataFrame) -> DataFrame:
-    """(season, team, wins, losses, resume, saturated): the quality whose expected wins are the wins.
+def solved(s: DataFrame, by: tuple[str, ...] = ("season", "team")) -> DataFrame:
+    """(by, wins, losses, resume, saturated): the quality whose expected wins are the wins.
 
     The schedule of a team is a sorted array of a few games, so the sums don't depend on the partitioning; teams without
     losses or wins end at a bound and are marked.
     """
     games = F.sort_array(F.collect_list(F.struct("game_id", F.col("opp").alias("power"), F.col("site").cast("double").alias("site"))))
-    t = s.groupBy("season", "team").agg(games.alias("games"), F.sum("won").cast("double").alias("target"), F.sum("won").alias("wins"), F.sum("lost").alias("losses"))
+    t = s.groupBy(*by).agg(games.alias("games"), F.sum("won").cast("double").alias("target"), F.sum("won").alias("wins"), F.sum("lost").alias("losses"))
     t = t.withColumn("root", wins_root("target", "games", EDGE, SIGMA))
     saturated = F.when(F.col("root") > BOUND - 1e-9, 1).when(F.col("root") < -BOUND + 1e-9, -1).otherwise(0)
     resume = F.when(saturated != 0, saturated * BOUND).otherwise(F.col("root"))
-    return t.select("season", "team", "wins", "losses", F.round(resume, 5).alias("resume"), saturated.alias("saturated"))
+    return t.select(*by, "wins", "losses", F.round(resume, 5).alias("resume"), saturated.alias("saturated"))
+
+
+def margin_of(mean: str, cap: str) -> str:
+    """Expected compressed margin of a normal margin about `mean`, for a cap that is a column; infinity compresses nothing."""
+    terms = " + ".join(f"{float(w / np.sqrt(np.pi))!r} * tanh(({mean} + {float(np.sqrt(2) * SIGMA * x)!r}) / {cap})" for x, w in zip(NODES, WEIGHTS, strict=True))
+    return f"(case when {cap} > 1e300 then {mean} else {cap} * ({terms}) end)"
+
+
+def solved_by_margin(s: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, wins, resume): the quality whose expected responses are the responses, for rows with opp, site and response; `by` has cap and bonus."""
+    games = F.sort_array(F.collect_list(F.struct("game_id", F.col("opp").alias("power"), F.col("site").cast("double").alias("site"))))
+    t = s.groupBy(*by).agg(games.alias("games"), F.round(F.sum("response"), 9).alias("target"), F.sum("won").alias("wins"))
+    each = f"transform(games, g -> (s.lo + s.hi) / 2 - g.power + {EDGE!r} * g.site)"
+    value = f"aggregate({each}, 0D, (acc, d) -> acc + {margin_of('d', 'cap')} + bonus * (2 * {phi_sql(f'(d / {SIGMA!r})')} - 1))"
+    step = f"(s, i) -> case when {value} < target then named_struct('lo', (s.lo + s.hi) / 2, 'hi', s.hi) else named_struct('lo', s.lo, 'hi', (s.lo + s.hi) / 2) end"
+    root = F.expr(f"aggregate(sequence(1, {HALVINGS}), named_struct('lo', -{BOUND}D, 'hi', {BOUND}D), {step}, s -> (s.lo + s.hi) / 2)")
+    return t.select(*by, "wins", F.round(F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), root)), 5).alias("resume"))
 
 
 BISECTION = f"""with recursive sched as materialized ({SCHEDULE}), t as materialized (select season, team, cast(sum(won) as double) target, sum(won) wins, sum(lost) losses from sched group by 1, 2),

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge import ship
+from tallyforge.functions import algebra as al
 from tallyforge.functions import config as C
+from tallyforge.functions.expr import compress_sql, phi_sql
+from tallyforge.functions.ridge_sql import ridge
 from tallyforge.operators import fitted
+from tallyforge.operators import resume as Q
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
+from tallyforge.sources.stored import stored
 
-CAPS, BONUSES, EDGES = (8.0, 16.0, 24.0, 28.0, 40.0, 64.0), (0.0, 3.5, 7.0, 14.0), (0.0, 2.5, 5.0)
+CAPS, BONUSES = (1.0, 18.0, 24.0, 32.0, 48.0, float("inf")), (0.0, 3.0, 7.0, 12.0)
 DIAL = 0.985
 
 
@@ -37,88 +47,227 @@ def lever_clamp(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").select("p_partkey", F.greatest(F.lit(low), F.least(F.lit(high), F.col("p_size") * F.lit(2.5))).alias("c"))
 
 
-CELLS = "cells as (select cap, bonus, edge from (select unnest([8.0::double, 16.0, 24.0, 28.0, 40.0, 64.0]) cap) cross join (select unnest([0.0::double, 3.5, 7.0, 14.0]) bonus) cross join (select unnest([0.0::double, 2.5, 5.0]) edge))"
-RATED = f"{CELLS}, rated as (select cap, bonus, edge, season, team, round(avg(greatest(-cap, least(cap, margin)) + bonus * sign(margin) - edge * site), 6) rating from sides, cells group by all), placed as (select *, row_number() over (partition by cap, bonus, edge, season order by rating desc, team) r from rated)"
-
-
-def cells() -> F.Column:
-    return F.explode(F.array(*(F.struct(F.lit(c).alias("cap"), F.lit(b).alias("bonus"), F.lit(e).alias("edge")) for c in CAPS for b in BONUSES for e in EDGES)))
-
-
-def rated(games: DataFrame) -> DataFrame:
-    """Ratings and ranks of all 72 cells in one pass: sums a margin's value first, so each cell is worked out over few rows."""
-    few = A.sides(games).groupBy("season", "team", "margin", "site").agg(F.count("*").alias("n"))
-    x = few.withColumn("g", cells()).select("*", "g.*")
-    value = F.greatest(-F.col("cap"), F.least("cap", "margin")) + F.col("bonus") * F.sign("margin") - F.col("edge") * F.col("site")
-    r = x.groupBy("cap", "bonus", "edge", "season", "team").agg(F.round(F.sum(value * F.col("n")) / F.sum("n"), 6).alias("rating"))
-    return r.withColumn("r", F.row_number().over(Window.partitionBy("cap", "bonus", "edge", "season").orderBy(F.desc("rating"), "team")))
-
-
-@query("C10_lever_grid", f"with {CELLS} select * from cells")
+def cell_id(cap: float, bonus: float, ordering: str) -> str:
+    return f"c-{'uncapped' if cap == float('inf') else f'{cap:g}'}-bw-{bonus:g}-{ordering}"
+
+
+#: Cap, bonus and ordering of every cell, and the eight that turn one knob of the house's (fixed values).
+ORDERINGS = ("odds", "resume", "resume-margin")
+CELLS = tuple(itertools.product(CAPS, BONUSES))
+HOUSE = cell_id(32.0, 7.0, "odds")
+VARIANTS = {
+    "margin-beta-w-0": cell_id(32.0, 0.0, "odds"), "margin-beta-w-3": cell_id(32.0, 3.0, "odds"), "margin-beta-w-12": cell_id(32.0, 12.0, "odds"), "margin-c-1": cell_id(1.0, 7.0, "odds"), "margin-c-18": cell_id(18.0, 7.0, "odds"),
+    "margin-c-uncapped": cell_id(float("inf"), 7.0, "odds"), "ordering-l4-resume": cell_id(32.0, 7.0, "resume"), "ordering-l4-resume-margin": cell_id(32.0, 7.0, "resume-margin"),
+}
+#: Rows of the responses in a matrix of games: one a cap, and the sign of the margin.
+SIGN_ROW = "~~sign"
+RESPONSES = tuple(f"~~y{k}" for k in range(len(CAPS)))
+CELL_SCHEMA = "season int, cap double, bonus double, team string, rho double, rating double, lambda double"
+
+
+def lever_design(games: DataFrame, caps: tuple[float, ...] = CAPS) -> DataFrame:
+    """The design of fitted.game_design with a response for each cap and one for the bonus, of which any cell's response is a sum."""
+    rows = fitted.game_design(games)
+    margin = F.element_at(F.filter("entries", lambda e: e["i"] == fitted.MARGIN_ROW), 1)["v"]
+    more = [fitted.entry(f"~~y{k}", F.expr(compress_sql("m", c))) for k, c in enumerate(caps)] + [fitted.entry(SIGN_ROW, F.expr("sign(m)"))]
+    return rows.withColumn("m", margin).withColumn("entries", F.concat(F.filter("entries", lambda e: e["i"] != al.RESPONSE), F.array(*more))).drop("m")
+
+
+def fit_cells(sums: fitted.Sums, cells: tuple, caps: tuple[float, ...], grid: tuple[float, ...] = fitted.GRID_RESULTS) -> dict:
+    """Ratings of all cells from one set of sums: (cap, bonus) -> (penalty, coefficients, scale), and the teams seen.
+
+    A cell's response is that of its cap plus its bonus times the sign, so its solution is the same sum of solutions at each
+    penalty; all caps and the sign are solved side by side over the whole path, once a fold.
+    """
+    seen = sums.teams[np.diag(sums.a0)[sums.teams] > 0]
+    use = np.append(seen, sums.special[fitted.SITE_ROW])
+    ys = [sums.special[f"~~y{k}"] for k in range(len(caps))] + [sums.special[SIGN_ROW]]
+    free = np.append(np.ones(len(seen)), 0.0)
+    one, m, site = sums.special[fitted.GAMES_ROW], sums.special[fitted.MARGIN_ROW], sums.special[fitted.SITE_ROW]
+    whole, n = sum(sums.a.values()), int(round(sums.a0[one, one]))
+    penalties = np.tile(free[:, None] * np.array(grid), (1, len(ys)))  # penalties of the first response, then of the next
+
+    def path(a: np.ndarray) -> np.ndarray:
+        b = np.repeat(a[np.ix_(use, ys)], len(grid), 1)
+        return al.ridge_path(a[np.ix_(use, use)], b, penalties).reshape(len(use), len(ys), len(grid))
+
+    folds = [(f, path(whole - f)) for f in sums.a.values()] if len(sums.a) > 1 and n >= 2 * len(sums.a) else []
+    last, out = path(whole), {}
+    for cap, bonus in cells:
+        k = caps.index(cap)
+        errors = np.zeros(len(grid))
+        for f, x in folds:
+            x = x[:, k] + bonus * x[:, -1]
+            y = f[use, ys[k]] + bonus * f[use, ys[-1]]
+            yy = f[ys[k], ys[k]] + 2 * bonus * f[ys[k], ys[-1]] + bonus**2 * f[ys[-1], ys[-1]]
+            errors += yy - 2 * x.T @ y + (x * (f[np.ix_(use, use)] @ x)).sum(0)
+        at = max(i for i, e in enumerate(errors) if e <= errors.min() + 1e-12) if folds else len(grid) - 1
+        x = last[:, k, at] + bonus * last[:, -1, at]
+        t = x[:-1]
+        s00, s01, s11 = t @ sums.a0[np.ix_(seen, seen)] @ t, t @ sums.a0[seen, site], sums.a0[site, site]
+        out[cap, bonus] = (grid[at], x, fitted.two_by_two(s00, s01, s11, t @ sums.a0[seen, m], sums.a0[site, m])[0])
+    return {"teams": [sums.names[k] for k in seen], "cells": out}
+
+
+def cell_ratings(games: DataFrame, cells: tuple = CELLS) -> DataFrame:
+    """CELL_SCHEMA: every season refitted under every cap and bonus, from one set of sums a season."""
+    caps = tuple(sorted({c for c, _ in cells}))
+    special = (fitted.GAMES_ROW, fitted.MARGIN_ROW, fitted.SITE_ROW, *(f"~~y{k}" for k in range(len(caps))), SIGN_ROW)
+    g = al.gram(lever_design(fitted.folds(games), caps), ["season", "fold", "bucket_order"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = fitted.Sums(pdf, special)
+        sums.grow(int(sums.buckets[-1]))
+        f = fit_cells(sums, cells, caps)
+        return pd.concat([
+            pd.DataFrame({"season": pdf["season"].iloc[0], "cap": cap, "bonus": bonus, "team": f["teams"], "rho": x[:-1], "rating": scale * x[:-1], "lambda": lam})
+            for (cap, bonus), (lam, x, scale) in f["cells"].items()
+        ])
+
+    ship(games.sparkSession)
+    return g.groupBy("season").applyInPandas(one, CELL_SCHEMA)
+
+
+def placed(games: DataFrame) -> DataFrame:
+    """(season, cell, cap, bonus, ordering, team, rating, r): the ranks of all 72 cells, each refitted and met with its own schedule odds or resume."""
+    p = stored(cell_ratings(games).select("season", "cap", "bonus", "team", F.round("rating", 6).alias("rating")), "cells")
+    key = ["season", "cap", "bonus"]
+    order = Window.partitionBy(*key).orderBy(F.desc("rating"), "team")
+    q = p.withColumn("r", F.row_number().over(order)).groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("r") == Q.REFERENCE_RANK, F.col("rating"))), F.min("rating")).alias("q_ref"))
+    response = F.when(F.col("cap") > 1e300, F.col("margin").cast("double")).otherwise(F.col("cap") * F.tanh(F.col("margin") / F.col("cap"))) + F.col("bonus") * F.sign("margin")
+    sides = A.sides(games).select("season", "game_id", "team", "opponent", "site", "margin", "won", "lost").join(q, "season")
+    s = sides.join(p.select(*key, F.col("team").alias("opponent"), F.col("rating").alias("opp")), [*key, "opponent"], "left").withColumns({"opp": F.coalesce("opp", F.lit(0.0)), "response": response})
+    s = s.withColumn("z", (F.col("q_ref") - F.col("opp") + Q.EDGE * F.col("site")) / Q.SIGMA).withColumn("p", F.expr(Q.WIN_P))
+    by = (*key, "team")
+    parts = [
+        Q.odds(s, list(by)).select(*by, F.lit("odds").alias("ordering"), F.round("tail", 12).alias("x"), F.round("mid", 12).alias("y")),
+        Q.solved(s, by).select(*by, F.lit("resume").alias("ordering"), (-F.col("resume")).alias("x"), (-F.col("wins")).cast("double").alias("y")),
+        Q.solved_by_margin(s, by).select(*by, F.lit("resume-margin").alias("ordering"), (-F.col("resume")).alias("x"), (-F.col("wins")).cast("double").alias("y")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(p, list(by))
+    r = F.row_number().over(Window.partitionBy(*key, "ordering").orderBy("x", "y", "team"))
+    cell = F.concat(F.lit("c-"), F.when(F.col("cap") > 1e300, "uncapped").otherwise(F.col("cap").cast("int").cast("string")), F.lit("-bw-"), F.col("bonus").cast("int").cast("string"), F.lit("-"), "ordering")
+    return every.select("season", cell.alias("cell"), "cap", "bonus", "ordering", "team", "rating", r.alias("r"))
+
+
+_CAPS = ", ".join("'Infinity'::double" if c == float("inf") else f"{c}::double" for c in CAPS)
+_CELL_KEYS = f"select k.season * 100 + ci * 10 + bi season, k.season real_season, as_of, cap, bonus from fs_keys k, (select cap, bonus, ci, bi from (select unnest([{_CAPS}]) cap, unnest(range(0, {len(CAPS)})) ci) cross join (select unnest([{', '.join(f'{b}::double' for b in BONUSES)}]) bonus, unnest(range(0, {len(BONUSES)})) bi))"
+_OF = "case when cap > 1e300 then {m}::double else cap * tanh({m} / cap) end + bonus * sign({m})"
+GRID_VIEWS = {
+    "lg_cells": _CELL_KEYS,
+    **ridge("lg", "select season, as_of from lg_cells", f"select g.* replace (c.season as season, g.rid * 100 + c.season % 100 as rid, {_OF.format(m='m')} as y) from fit_games g join lg_cells c on c.real_season = g.season", fitted.GAME_ENTRIES.format(p="lg"), fitted.GAME_PREDICTED, 1, fitted.GRID_RESULTS, fitted.FOLDS),
+    "lg_moments": "select season, as_of, sum(dr * dr) s00, sum(dr * site) s01, sum(site * site) s11, sum(dr * m) t0, sum(site * m) t1 from (select *, x[hi] - x[ai] dr from lg_x join lg_rows using (season)) group by all",
+    "lg_power": f"select c.season key, c.real_season season, cap, bonus, team, round(x[i] * ({fitted.TWO_BY_TWO}), 6) rating from lg_x x join lg_moments using (season, as_of) join lg_cells c using (season, as_of) join fit_teams t on t.season = c.real_season",
+    "lg_q": f"select key, season, cap, bonus, coalesce(max(case when r = {Q.REFERENCE_RANK} then rating end), min(rating)) q_ref from (select *, row_number() over (partition by key order by rating desc, team) r from lg_power) group by all",
+    "lg_side": f"select q.key, s.team, game_id, cap, bonus, site, margin, won, lost, coalesce(o.rating, 0) opp, {_OF.format(m='margin')} response, (q_ref - coalesce(o.rating, 0) + {Q.EDGE} * site) / {Q.SIGMA} z from sides s join lg_q q using (season) left join (select key, team, rating from lg_power) o on o.key = q.key and o.team = s.opponent",
+    "lg_steps": f"select key, team, {Q.WIN_P} p, row_number() over (partition by key, team order by game_id) step_no from lg_side",
+    "lg_sum": "select key, team, cap, bonus, sum(won)::double wins, round(sum(response), 9) target, count(*) n from lg_side group by all",
+    "lg_conv": """select key, team, 0::bigint step_no, [1.0::double] acc from lg_sum
+      union all select key, team, o.step_no, list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0) * (1 - p) + case when i > 1 then coalesce(acc[i - 1], 0) else 0 end * p) from lg_conv c join lg_steps o using (key, team) where o.step_no = c.step_no + 1""",
+    "lg_root": f"""select key, team, kind, 0 it, -{Q.BOUND}::double lo, {Q.BOUND}::double hi, case kind when 'resume' then wins else target end goal from lg_sum, (select unnest(['resume', 'resume-margin']) kind)
+      union all select key, team, kind, it + 1, case when w < goal then mid else lo end, case when w < goal then hi else mid end, goal from (
+        select key, team, kind, it, lo, hi, mid, goal, sum(case kind when 'resume' then {phi_sql(f'(d / {Q.SIGMA})')} else {Q.margin_of('d', 'cap')} + bonus * (2 * {phi_sql(f'(d / {Q.SIGMA})')} - 1) end) w
+        from (select r.*, (lo + hi) / 2 mid, (lo + hi) / 2 - opp + {Q.EDGE} * site d, cap, bonus from lg_root r join lg_side using (key, team) where it < {Q.HALVINGS}) group by all)""",
+    "lg_order": f"""select key, team, 'odds' ordering, round(list_sum(acc[wins::int + 1:]), 12) x, round(list_sum(acc[wins::int + 1:]) - 0.5 * acc[wins::int + 1], 12) y from lg_conv join lg_sum using (key, team) where step_no = n
+      union all select key, team, kind, -round(case when (lo + hi) / 2 > {Q.BOUND} - 1e-9 then {Q.BOUND} when (lo + hi) / 2 < -{Q.BOUND} + 1e-9 then -{Q.BOUND} else (lo + hi) / 2 end, 5), -wins from lg_root join lg_sum using (key, team) where it = {Q.HALVINGS}""",
+    "lever_grid": "select season, 'c-' || case when cap > 1e300 then 'uncapped' else cap::int::varchar end || '-bw-' || bonus::int::varchar || '-' || ordering cell, cap, bonus, ordering, team, rating, row_number() over (partition by key, ordering order by x, y, team)::int r from lg_order join lg_power using (key, team)",
+    "lever_pairs": f"select a.season, a.cell, a.team, a.r, h.r h from lever_grid a join lever_grid h on h.season = a.season and h.team = a.team and h.cell = '{HOUSE}'",
+    "lever_agreement": """select c.season, c.cell, c.n, c.moved, round(tau, 6) tau from (select season, cell, count(*) n, count(case when abs(r - h) >= 5 then 1 end) moved from lever_pairs group by all) c
+      left join (select p.season, p.cell, avg(sign(p.r - q.r) * sign(p.h - q.h)) tau from lever_pairs p join lever_pairs q on q.season = p.season and q.cell = p.cell and q.team > p.team group by all) t using (season, cell)""",
+}
+A.VIEWS.update(GRID_VIEWS)
+A.MATERIALIZED.update(GRID_VIEWS)
+NAMED = "case cell " + " ".join(f"when '{v}' then '{k}'" for k, v in VARIANTS.items()) + " end"
+NAMES = f"(select unnest({list(VARIANTS)}) variant, unnest({list(VARIANTS.values())}) cell)"
+
+
+@query("C10_lever_grid", "select cell, count(*) teams, count(distinct season) seasons, min(r) least, max(r) most from lever_grid group by cell", least="int", most="int")
 def lever_grid(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(cells().alias("g")).select("g.*")
+    return placed(A.played(spark, d)).groupBy("cell").agg(F.count("*").alias("teams"), F.countDistinct("season").alias("seasons"), F.min("r").alias("least"), F.max("r").alias("most"))
 
 
-@query("C07_variant_set", f"with {RATED} select season, cap, team, r from placed where bonus = 7 and edge = 2.5 and r <= 25", r="int")
+@query("C07_variant_set", f"select variant, season, team, r from lever_grid join {NAMES} using (cell) where r <= 25", r="int")
 def variant_set(spark: SparkSession, d: str) -> DataFrame:
-    """One knob turned: the first 25 of each season under every cap."""
-    return rated(A.played(spark, d)).where("bonus = 7 and edge = 2.5 and r <= 25").select("season", "cap", "team", "r")
+    """One knob turned: the first 25 of each season under each of the eight variants."""
+    return placed(A.played(spark, d)).withColumn("variant", F.expr(NAMED)).where("variant is not null and r <= 25").select("variant", "season", "team", "r")
 
 
-AGREE = f"with {RATED}, house as (select season, team, r h from placed where cap = 28 and bonus = 7 and edge = 2.5), ag as (select cap, bonus, edge, p.season, count(case when abs(p.r - h) >= 5 then 1 end) moved, round(corr(p.r, h), 6) rho from placed p join house using (season, team) group by all)"
+def inversions(x: np.ndarray) -> int:
+    """Pairs in the wrong order, by merging sorted halves; no pair is looked at by itself."""
+    n, total, width = len(x), 0, 1
+    x = np.array(x)
+    while width < n:
+        for lo in range(0, n - width, 2 * width):
+            left, right = x[lo : lo + width], x[lo + width : lo + 2 * width]
+            total += int((width - np.searchsorted(left, right, "right")).sum())
+            x[lo : lo + 2 * width] = np.sort(x[lo : lo + 2 * width], kind="stable")
+        width *= 2
+    return total
 
 
 def agreement(games: DataFrame) -> DataFrame:
-    p = rated(games)
-    house = p.where("cap = 28 and bonus = 7 and edge = 2.5").select("season", "team", F.col("r").alias("h"))
-    return p.join(house, ["season", "team"]).groupBy("cap", "bonus", "edge", "season").agg(F.count(F.when(F.abs(F.col("r") - F.col("h")) >= 5, 1)).alias("moved"), F.round(F.corr("r", "h"), 6).alias("rho"))
+    """(season, cell, n, moved, tau): each cell's ranks against the house's, over the whole common board."""
+    p = stored(placed(games).select("season", "cell", "team", "r"), "placed")
+    house = p.where(F.col("cell") == HOUSE).select("season", "team", F.col("r").alias("h"))
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        wrong = inversions(pdf.sort_values("h")["r"].to_numpy())
+        tau = 1 - 4 * wrong / (n * (n - 1)) if n > 1 else None
+        return pd.DataFrame({"season": pdf["season"].iloc[:1], "cell": pdf["cell"].iloc[:1], "n": n, "moved": int((np.abs(pdf["r"] - pdf["h"]) >= 5).sum()), "tau": None if tau is None else round(tau, 6)})
+
+    return p.join(house, ["season", "team"]).groupBy("season", "cell").applyInPandas(one, "season int, cell string, n long, moved long, tau double")
 
-@query("C08_agreement", AGREE + " select * from ag")
-def agreement_rows(spark: SparkSession, d: str) -> DataFrame:
-    return agreement(A.played(spark, d))
 
+JUDGED = f"case when tau < {DIAL} then 'dial' else 'convention' end"
 
-TURNED = "cast(cap <> 28 as int) + cast(bonus <> 7 as int) + cast(edge <> 2.5 as int)"
-JUDGED = f"case when {TURNED} <> 1 then null when rho < {DIAL} then 'dial' else 'trim' end"
+
+@query("C08_agreement", f"select variant, season, n, moved, tau, {JUDGED} verdict from lever_agreement join {NAMES} using (cell)")
+def agreement_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Kendall's tau and teams moved by five places or more, of each variant."""
+    return agreement(A.played(spark, d)).withColumn("variant", F.expr(NAMED)).where("variant is not null").select("variant", "season", "n", "moved", "tau", F.expr(JUDGED).alias("verdict"))
 
 
-@query("C11_grid_agreement", AGREE + f" select cap, bonus, edge, season, {JUDGED} verdict from ag")
+@query("C11_grid_agreement", f"select a.cell, season, n, moved, tau, case when variant is not null or a.cell in {tuple(cell_id(c, 7.0, 'odds') for c in (24.0, 48.0))} then {JUDGED} end verdict from lever_agreement a left join {NAMES} v on v.cell = a.cell")
 def grid_agreement(spark: SparkSession, d: str) -> DataFrame:
     """A verdict only where exactly one knob is turned."""
-    return agreement(A.played(spark, d)).select("cap", "bonus", "edge", "season", F.expr(JUDGED).alias("verdict"))
+    a = agreement(A.played(spark, d))
+    turned = (~F.col("cell").startswith("c-32-")).cast("int") + (~F.col("cell").contains("-bw-7-")).cast("int") + (~F.col("cell").endswith("-odds")).cast("int")
+    return a.select("cell", "season", "n", "moved", "tau", F.when(turned == 1, F.expr(JUDGED)).alias("verdict"))
 
 
-@query("C09_variant_document", f"with {RATED} select season, team, r, round(rating, 4) rating from placed where cap = 24 and bonus = 7 and edge = 2.5 and r <= 40", r="int")
+@query("C09_variant_document", f"select variant, season, team, r, round(rating, 4) rating from lever_grid join {NAMES} using (cell) where r <= 40", r="int")
 def variant_document(spark: SparkSession, d: str) -> DataFrame:
-    return rated(A.played(spark, d)).where("cap = 24 and bonus = 7 and edge = 2.5 and r <= 40").select("season", "team", "r", F.round("rating", 4).alias("rating"))
+    return placed(A.played(spark, d)).withColumn("variant", F.expr(NAMED)).where("variant is not null and r <= 40").select("variant", "season", "team", "r", F.round("rating", 4).alias("rating"))
 
 
-@query("C12_equivalence", f"with {CELLS} select cap, bonus, edge, case when cap = 28 and bonus = 7 and edge = 2.5 then 'house' when bonus = 0 and cap = 28 and edge = 2.5 then 'no-bonus' end matches from cells")
+@query("C12_equivalence", f"select cell, case when cell = '{HOUSE}' then 'house' else variant end matches, n from (select cell, count(*) n from lever_grid group by cell) left join {NAMES} using (cell)")
 def equivalence(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.range(1).select(cells().alias("g")).select("g.*")
-    return c.withColumn("matches", F.when(F.expr("cap = 28 and bonus = 7 and edge = 2.5"), "house").when(F.expr("bonus = 0 and cap = 28 and edge = 2.5"), "no-bonus"))
+    """Which cells are the house's or a variant's settings, and how many rows they have."""
+    c = placed(A.played(spark, d)).groupBy("cell").agg(F.count("*").alias("n"))
+    return c.select("cell", F.when(F.col("cell") == HOUSE, "house").otherwise(F.expr(NAMED)).alias("matches"), "n")
 
 
-@query("C13_complete_seasons", f"with {RATED} select season from placed group by season having count(distinct (cap, bonus, edge)) = 72")
+@query("C13_complete_seasons", f"select season from lever_grid group by season having count(distinct cell) = {len(CELLS) * len(ORDERINGS)}")
 def complete_seasons(spark: SparkSession, d: str) -> DataFrame:
     """Seasons that every cell covers."""
-    r = rated(A.played(spark, d)).groupBy("season").agg(F.countDistinct("cap", "bonus", "edge").alias("n"))
-    return r.where(f"n = {len(CAPS) * len(BONUSES) * len(EDGES)}").select("season")
+    r = placed(A.played(spark, d)).groupBy("season").agg(F.countDistinct("cell").alias("n"))
+    return r.where(f"n = {len(CELLS) * len(ORDERINGS)}").select("season")
 
 
-@query("C14_manifest", f"with {RATED} select cap, bonus, edge, count(*) n, count(distinct season) seasons from placed group by all")
+@query("C14_manifest", "select cap_slug, bonus, ordering, n, seasons, leaders from (select case when cap > 1e300 then 'uncapped' else cap::int::varchar end cap_slug, bonus, ordering, count(*) n, count(distinct season) seasons, string_agg(case when r = 1 then team end, ',' order by season) leaders from lever_grid group by cap, bonus, ordering)")
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    return rated(A.played(spark, d)).groupBy("cap", "bonus", "edge").agg(F.count("*").alias("n"), F.countDistinct("season").alias("seasons"))
+    p = placed(A.played(spark, d)).withColumn("cap_slug", F.when(F.col("cap") > 1e300, "uncapped").otherwise(F.col("cap").cast("int").cast("string")))
+    leaders = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") == 1, F.struct("season", "team")))), lambda x: x["team"]), ",")
+    return p.groupBy("cap_slug", "bonus", "ordering").agg(F.count("*").alias("n"), F.countDistinct("season").alias("seasons"), leaders.alias("leaders"))
 
 
-@query("C18_grid_checker", f"with {RATED}, a as (select season, team, r from placed where cap = 64 and bonus = 0 and edge = 0), b as (select season, team, row_number() over (partition by season order by v desc, team) r from (select season, team, round(avg(margin), 6) v from sides group by 1, 2)) select season, team, r, 'grid' only_in from (select * from a except all select * from b) union all select season, team, r, 'direct' from (select * from b except all select * from a)", r="int")
+@query("C18_grid_checker", "with a as (select distinct season, team, round(rating, 4) rating from lever_grid where cap = 32 and bonus = 7), b as (select season, team, round(rating, 4) rating from power) select season, team, rating, 'grid' only_in from (select * from a except all select * from b) union all select season, team, rating, 'direct' from (select * from b except all select * from a)")
 def grid_checker(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a cell that a direct build lacks, and the other way round; none if both agree."""
+    """Ratings of the house's cell that a fit of its own lacks, and the other way round; none if both agree."""
     g = A.played(spark, d)
-    a = rated(g).where("cap = 64 and bonus = 0 and edge = 0").select("season", "team", "r")
-    v = A.sides(g).groupBy("season", "team").agg(F.round(F.avg("margin"), 6).alias("v"))
-    b = v.select("season", "team", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("v"), "team")).alias("r"))
+    a = cell_ratings(g).where("cap = 32 and bonus = 7").select("season", "team", F.round(F.round("rating", 6), 4).alias("rating"))
+    b = fitted.power(g).select("season", "team", F.round("rating", 4).alias("rating"))
     return a.exceptAll(b).withColumn("only_in", F.lit("grid")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("direct")))
 
 
