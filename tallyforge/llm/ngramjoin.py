@@ -25,7 +25,7 @@ from .common import Stored, map_arrow, table
 
 GROWTH = 1.5
 #: Members and bytes of sets in a block of a family, which two of are one task's work.
-BLOCK_MEMBERS, BLOCK_BYTES = 1024, 16_000_000
+BLOCK_MEMBERS, BLOCK_BYTES = 2048, 32_000_000
 #: Most candidate rows that are sent to all tasks to pick their texts; beyond it the texts are shuffled.
 MOST_SENT = 1_000_000
 SEEDS = 4
