@@ -75,10 +75,17 @@ def roots(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Each row as many times as the mix begins it: 0, 1 or 2.  Rows without an id stay once, as the mix can't name them."""
-    taken = mixing.mix(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.max("laps_begun").cast("int").alias("__times")).where("__times > 0")
-    counted = docs.join(taken, "doc_id").withColumn("__nth", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
-    return counted.unionByName(docs.where("doc_id is null"))
+    """Each row once for every slot of the schedule that begins it, 0 to 2 of them, in the order of the slots.
+
+    Rows are named by id and text, so rows that share an id alone are mixed by themselves; of rows alike in both, one stands for
+    all and is repeated by the slots of all.  Rows without an id stay once, behind the others, as the mix can't name them.
+    """
+    named = docs.where("doc_id is not null").withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    slots = mixing.mix(named, id_col="__key").where("laps_begun > 0").groupBy("__key").agg(F.flatten(F.collect_list("lap_slots")).alias("__slots"))
+    one = named if named.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").isEmpty() else named.dropDuplicates(["__key"])
+    taken = one.join(slots, "__key").withColumn("__slot", F.explode("__slots"))
+    bare = docs.where("doc_id is null").withColumn("__slot", F.lit(None).cast("struct<slot: bigint, at: bigint>"))
+    return taken.select(*docs.columns, "__slot").unionByName(bare).orderBy(F.col("__slot").asc_nulls_last()).select(*docs.columns)
 
 
 def tokenized(docs: DataFrame) -> DataFrame:

@@ -71,3 +71,48 @@ def test_odd_rows(spark):
 def test_plan_is_native(spark):
     plan = mixing.mix(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_what_no_slot_takes_is_not_taken(spark, monkeypatch):
+    rows = [(i, "w " * (40 + i % 9), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = {r.doc_id: r.taken for r in mixing.mix(df, block=64).collect()}
+    short = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(df, block=64, slots=40).collect()}
+    other = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(df, block=64, slots=40, step=1_000_003).collect()}
+    assert 0 < sum(t for t, _ in short.values()) <= 40 * 64 < sum(whole.values()) and all(s is None or s < 40 for _, s in short.values())
+    assert {i for i, (t, _) in short.items() if t} != {i for i, (t, _) in other.items() if t}
+    assert all(t <= whole[i] for i, (t, _) in short.items())
+    monkeypatch.setattr(mixing, "ROUNDS", 10**9)
+    with pytest.raises(ValueError, match="blocks"):
+        mixing.mix(df)
+
+
+@pytest.mark.parametrize("sizes", [[1, 1, 1, 5000], [1] * 40 + [9000], [3000, 1000, 10]])
+def test_every_source_is_served_to_its_last_block(spark, sizes):
+    rows = [("s", k, q, float(q), q) for k, q in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "source string, src int, source_size long, target double, quota long")
+    blocks = [-(-q // 10) for q in sizes]
+    got = mixing.schedule(df, mixing.ROUNDS * sum(blocks), 10).collect()
+    assert sorted((r.src, r.nth) for r in got) == [(k, n) for k, b in enumerate(blocks) for n in range(b)]
+    assert len({r.slot for r in got}) == len(got)
+
+
+def test_one_source_holds_nearly_all(spark):
+    rows = [(i, "w " * 50, "hot" if i % 200 else "rare") for i in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=128).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.target, [0])[0] += r.taken
+    assert all(abs(t - n) <= 0.51 for t, (n,) in by.items())
+
+
+def test_stage_keeps_the_order_of_slots(spark):
+    from tallyforge.llm import stages
+
+    docs = spark.createDataFrame([(i, f"w{i} " * 400, "en", "abc"[i % 3], 1) for i in range(60)] + [(7, "another text " * 300, "en", "a", 1), (None, "nobody", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in stages.mixed(docs).collect()]
+    key = docs.where("doc_id is not null").withColumn("k", mixing.F.struct("doc_id", mixing.F.xxhash64("text").alias("h")))
+    slots = {(r.k.doc_id, r.k.h): r.lap_slots or [] for r in mixing.mix(key, id_col="k").collect()}
+    named = {(r.doc_id, r.text): slots[r.doc_id, r.k.h] for r in key.collect()}
+    want = [row for _, row in sorted((s, row) for row, ss in named.items() for s in ss)]
+    assert got == [*want, (None, "nobody")] and len({i for i, _ in got}) > 20
