@@ -32,9 +32,12 @@ FAMILIES = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "bg": "slavic", "sk": "slavic",
 }
 UND = "und"
-#: A text of LIKENESS_BYTES letters or more is foreign to all learned languages where its cosine with every centre is under
-#: LEAST_LIKENESS; shorter texts, whose few n-grams can't be near a centre, in proportion to their length.
-LEAST_LIKENESS, LIKENESS_BYTES = 0.48, 60
+#: A text is foreign to a language where its n-grams are by so many nats on average less likely there than those of the language's
+#: usual text, which is learned from texts that the frequencies haven't seen; under LIKENESS_BYTES of letters by more, as
+#: the mean of few n-grams varies with the root of their number.
+FAR, LIKENESS_BYTES = 1.6, 60
+#: Part of a language's likelihood that its n-grams share by frequency; each n-gram has FLOOR of the even one besides.
+SEEN, FLOOR = 0.9, 0.01
 
 
 def letters(text: str | None) -> bytes:
@@ -84,12 +87,20 @@ class Rows:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
-    def mean(self, rows: np.ndarray) -> np.ndarray:
-        """The direction of the sum of some rows."""
+    def logs(self, rows: np.ndarray) -> np.ndarray:
+        """Logarithms of the likelihoods of n-grams: their mean frequencies in some rows, which are roots of frequencies, above a floor."""
         out = np.zeros(FEATURES)
         for i in rows:
-            out[self.bins[self.starts[i] : self.starts[i + 1]]] += self.values[self.starts[i] : self.starts[i + 1]]
-        return (out / np.sqrt((out * out).sum())).astype(np.float32)
+            out[self.bins[self.starts[i] : self.starts[i + 1]]] += self.values[self.starts[i] : self.starts[i + 1]].astype(float) ** 2
+        return np.log(SEEN * out / max(1, len(rows)) + FLOOR / FEATURES)
+
+    def usual(self, rows: np.ndarray) -> float:
+        """The median of rows' mean logarithms, each half of them judged by the other's frequencies."""
+        seen = []
+        for half, other in ((rows[::2], rows[1::2]), (rows[1::2], rows[::2])):
+            logs = self.logs(other)
+            seen += [float(self.values[a:b].astype(float) ** 2 @ logs[self.bins[a:b]]) for a, b in zip(self.starts[half], self.starts[half + 1], strict=True)]
+        return float(np.median(seen))
 
 
 def linear_svm(x: Rows, rows: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 5) -> np.ndarray:
@@ -124,11 +135,16 @@ class Model:
     family_weights: np.ndarray | None = None  # families x (FEATURES + 1)
     pairs: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
     pair_weights: dict[str, np.ndarray] = field(default_factory=dict)
-    centres: np.ndarray | None = None  # languages x FEATURES
+    logs: np.ndarray | None = None  # languages x FEATURES: logarithms of the n-grams' likelihoods
+    usual: np.ndarray | None = None  # of each language: the mean logarithm of its usual text
+
+    def unlikeness(self, x: np.ndarray) -> np.ndarray:
+        """By how much each row's n-grams are less likely than a usual text's, in the language where that is least; rows are roots of frequencies."""
+        return (self.usual - (x * x) @ self.logs.T).min(1)
 
-    def likeness(self, x: np.ndarray) -> np.ndarray:
-        """The greatest cosine of each row with a learned language's centre."""
-        return (x @ self.centres.T).max(1)
+    def foreign(self, x: np.ndarray, size: np.ndarray, far: float = FAR) -> np.ndarray:
+        """Whether each row, of so many bytes of letters, is in none of the learned languages."""
+        return self.unlikeness(x) > far * np.maximum(1, np.sqrt(LIKENESS_BYTES / size))
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """(language, score) of each row: the score is the logistic of the least margin on the way."""
@@ -173,7 +189,8 @@ def fit(x: Rows, langs: list[str], families: dict[str, str] = FAMILIES) -> Model
     for v in known:
         model.members.setdefault(families.get(v, v), []).append(v)
     model.families = sorted(model.members)
-    model.centres = np.stack([x.mean(np.flatnonzero(lang == v)) for v in known])
+    model.logs = np.stack([x.logs(np.flatnonzero(lang == v)) for v in known]).astype(np.float32)
+    model.usual = np.array([x.usual(np.flatnonzero(lang == v)) for v in known], np.float32)
     family = np.array([families.get(v, v) for v in langs])
     keep = np.flatnonzero(np.isin(lang, known))
     if len(model.families) == 1:

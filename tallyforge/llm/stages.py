@@ -10,12 +10,11 @@ from . import bpe, langid, mixing, ngramjoin
 from .common import Stored, map_arrow, word_count
 
 
-def identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least_score: float = 0.5, least_likeness: float = langid.LEAST_LIKENESS) -> DataFrame:
+def identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least_score: float = 0.5, far: float = langid.FAR) -> DataFrame:
     """The rows, unchanged, whose text is in one of `languages` (None: of all that could be learned).
 
     Rejected are null texts, texts without letters, those predicted to be in another language, those whose winner lost a duel
-    (score under `least_score`), and those foreign to all learned languages (likeness under `least_likeness`, which shrinks
-    with texts of less than LIKENESS_BYTES).  Where no row is labelled nothing can be learned, and only texts without letters go.
+    (score under `least_score`), and those foreign to all learned languages (by `far` nats less likely than their usual texts).  Where no row is labelled nothing can be learned, and only texts without letters go.
     """
     model = langid.train(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -40,9 +39,9 @@ def identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least_
                         keep[i] = True
                     continue
                 x = langid.np.stack(rows)
-                near = m.likeness(x) >= least_likeness * langid.np.minimum(1, langid.np.array(size) / langid.LIKENESS_BYTES)
-                for i, (lang, score), known in zip(where, m.predict(x), near, strict=True):
-                    keep[i] = bool(known) and score >= least_score and (languages is None or lang in languages)
+                foreign = m.foreign(x, langid.np.array(size), far)
+                for i, (lang, score), unknown in zip(where, m.predict(x), foreign, strict=True):
+                    keep[i] = not unknown and score >= least_score and (languages is None or lang in languages)
             return batch.filter(pa.array(keep))
 
         return each

@@ -71,6 +71,18 @@ FOREIGN = {
     "ar": "ذهبت إلى السوق واشتريت الخبز والحليب والجبن من أجل الفطور في الصباح",
     "hu": "Tegnap elmentem a boltba, és vettem kenyeret meg tejet a reggelihez, aztán hazamentem.",
     "pl": "Poszedłem wczoraj do sklepu i kupiłem chleb oraz mleko na śniadanie, a potem wróciłem.",
+    "it": "Ieri siamo andati al mercato e abbiamo comprato pane, latte e formaggio per la colazione dei bambini prima di tornare a casa.",
+    "pt": "Ontem fomos ao mercado e compramos pão, leite e queijo para o café da manhã das crianças antes de voltar para casa.",
+    "nl": "Gisteren gingen we naar de markt en kochten brood, melk en kaas voor het ontbijt van de kinderen voordat we naar huis gingen.",
+    "sv": "Igår gick vi till marknaden och köpte bröd, mjölk och ost till barnens frukost innan vi gick hem igen på kvällen.",
+    "la": "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae appellantur.",
+    "fi": "Eilen kävimme torilla ja ostimme leipää, maitoa ja juustoa lasten aamiaiseksi ennen kuin palasimme kotiin illalla.",
+    "tr": "Dün pazara gittik ve eve dönmeden önce çocukların kahvaltısı için ekmek, süt ve peynir satın aldık.",
+    "ro": "Ieri am mers la piață și am cumpărat pâine, lapte și brânză pentru micul dejun al copiilor înainte de a ne întoarce acasă.",
+    "ca": "Ahir vam anar al mercat i vam comprar pa, llet i formatge per a l'esmorzar dels nens abans de tornar a casa.",
+    "da": "I går gik vi på markedet og købte brød, mælk og ost til børnenes morgenmad, før vi tog hjem igen om aftenen.",
+    "cs": "Včera jsme šli na trh a koupili jsme chléb, mléko a sýr na snídani pro děti, než jsme se vrátili domů.",
+    "id": "Kemarin kami pergi ke pasar dan membeli roti, susu dan keju untuk sarapan anak-anak sebelum pulang ke rumah.",
     "mash": "asdkjh qwlkejh zxmcnb qpwoeiru alskdjf zmxncbv qowieur asdkjfh zxcmnv qwpoeiru",
 }
 
