@@ -200,8 +200,10 @@ def power(games: DataFrame) -> DataFrame:
     return fits(games).select("season", "team", F.round("rating", 6).alias("rating"))
 
 
-def power_by_bucket(games: DataFrame) -> DataFrame:
-    """(season, as_of, team, rating): Power from the games through every bucket, to six places."""
+def power_by_bucket(games: DataFrame, source: str = "L2", steps: DataFrame | None = None) -> DataFrame:
+    """(season, as_of, team, rating): Power from the games through every bucket; results to six places, the blend with steps (L3) to four."""
+    if source == "L3":
+        return blend(layers(games, steps, every=True)).select("season", "as_of", "team", F.round("rating", 4).alias("rating"))
     return fits(games, every=True).select("season", "as_of", "team", F.round("rating", 6).alias("rating"))
 
 
@@ -428,7 +430,7 @@ STEP_VIEWS |= {
     "blend_b": "select season, as_of, team, w1 * k.x[2] * net + w2 * coalesce(rho, 0) rating, k.x[2] * net efficiency from effect_b e join k_b k using (season, as_of) join weights_b w using (season, as_of) left join fit_bucket r using (season, as_of, team) where rho is not null or exists (select 1 from contest_steps c where c.season = e.season and c.b <= e.as_of and (c.o = e.i or c.d = e.i))",
 }
 FIT_VIEWS |= STEP_VIEWS
-FIT_VIEWS |= {"power": "select season, team, round(rating, 6) rating from fit_season", "season_power": "select season, team, round(rating, 6) rating from blend_s", "power_as_of": "select season, as_of, team, round(rating, 6) rating from fit_bucket"}
+FIT_VIEWS |= {"power": "select season, team, round(rating, 6) rating from fit_season", "season_power": "select season, team, round(rating, 6) rating from blend_s", "power_as_of": "select season, as_of, team, round(rating, 6) rating from fit_bucket", "blend_as_of": "select season, as_of, team, round(rating, 4) rating from blend_b"}
 A.VIEWS.update(FIT_VIEWS)
 A.MATERIALIZED.update(FIT_VIEWS)
 

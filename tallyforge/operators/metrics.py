@@ -22,7 +22,6 @@ COUNTED = 20
 LEAST_TRAIN = 20
 TRAIL = 5
 LEAST_CALIBRATION = 40
-GATE = {"su": 0.70, "mae": 12.8, "rmse": 15.8, "calibration": 0.05}
 Z95 = 1.96
 
 # Predictions of every game by the ratings of the bucket before it: predicted margin m, chance p, outcome y.
@@ -132,36 +131,6 @@ def violation_rivals(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(a, b) for a in names for b in names if a != b], "system string, rival string")
 
 
-RIVALS = ("winpct", "colley", "srs")
-
-
-def violation_table(games: DataFrame) -> DataFrame:
-    out = None
-    for name in RIVALS:
-        v = R.predicted(games, B.rater(name)(games)).groupBy("season").agg((F.sum(F.expr(VIOLATED)) / F.count("*")).alias("share")).withColumn("system", F.lit(name))
-        out = v if out is None else out.unionByName(v)
-    return out
-
-
-@query("M12_violation_check", "select distinct season, true decided from played")
-def violation_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the first rater violates no more than any rival; undecided without one."""
-    v = violation_table(A.played(spark, d)).groupBy("season").pivot("system", list(RIVALS)).agg(F.first("share"))
-    verdict = F.col("colley") <= F.least(*(F.col(c) for c in RIVALS if c != "colley")) + 1e-12
-    return v.select("season", verdict.isNotNull().alias("decided"))
-
-
-GATE_SQL = f"case when su >= {GATE['su']} then 1 else 0 end su_ok, case when mae <= {GATE['mae']} then 1 else 0 end mae_ok, case when rmse <= {GATE['rmse']} then 1 else 0 end rmse_ok"
-
-
-@query("M13_gate", SCORED + f", m as (select season, count(*) n, {MEASURES} from sc group by season) select season, {GATE_SQL}, case when n < 100 then null else su >= {GATE['su']} and mae <= {GATE['mae']} and rmse <= {GATE['rmse']} end passed from m")
-def gate(spark: SparkSession, d: str) -> DataFrame:
-    """Thresholds met or not; undecided on fewer than a hundred games."""
-    m = measured(scored(spark, d), "season")
-    passed = F.when(F.col("n") >= 100, F.expr(f"su >= {GATE['su']} and mae <= {GATE['mae']} and rmse <= {GATE['rmse']}"))
-    return m.select("season", *(F.expr(x.strip().rsplit(" ", 1)[0]).alias(x.strip().rsplit(" ", 1)[1]) for x in GATE_SQL.split(", case")[0:1]), *(F.expr("case" + x.rsplit(" ", 1)[0]).alias(x.rsplit(" ", 1)[1]) for x in GATE_SQL.split(", case")[1:]), passed.alias("passed"))
-
-
 CALIBRATE = Ols("actual", ["1", "hr - ar", R.SITE])
 TRAINED = f"""tr as (select season, bucket_order, count(*) n, {CALIBRATE.select} from walk group by 1, 2),
   co as (select b.season, b.bucket_order, sum(t.n) n, {", ".join(f"sum(t.{k}) {k}" for k in CALIBRATE.sums)} from (select distinct season, bucket_order from walk) b join tr t on t.season = b.season and t.bucket_order < b.bucket_order and t.bucket_order >= b.bucket_order - {TRAIL} group by 1, 2),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from tallyforge.operators import ratings as R
 from tallyforge.operators import resume as Q
 from tallyforge.plans.registry import query
 from tallyforge.sources import adapters as A
+from tallyforge.sources.stored import stored
 
 ORDERINGS = {
     "schedule_odds": ("tail", "mid", "team"),
@@ -82,7 +85,7 @@ def attach_intervals(spark: SparkSession, d: str) -> DataFrame:
     return p.join(lo, ["season", "team"], "left").select("season", "team", "rating", "lo")
 
 
-GRID_VIEWS = {
+GRID_VIEWS: dict[str, str] = {
     "grid_q": f"select season, as_of k, coalesce(max(case when r = {Q.REFERENCE_RANK} then rating end), min(rating)) q_ref from (select *, row_number() over (partition by season, as_of order by rating desc, team) r from power_as_of) group by 1, 2",
     "grid_games": f"""select season, k, team, bucket_order b, game_id, {Q.WIN_P} p, won, lost from (select s.*, q.k, (q.q_ref - coalesce(o.rating, 0) + {Q.EDGE} * site) / {Q.SIGMA} z
       from sides s join grid_q q on q.season = s.season and s.bucket_order <= q.k left join power_as_of o on o.season = s.season and o.as_of = q.k and o.team = s.opponent)""",
@@ -93,6 +96,8 @@ GRID_VIEWS = {
     "retro_grid": """select season, e, k, team, wins, losses, round(tail, 6) tail, round(expected, 6) expected, cast(row_number() over (partition by season, e, k order by round(tail, 12), round(mid, 12), team) as int) rank, e = k is_live, k = last is_hindsight
       from grid_odds join (select season, max(as_of) last from fb_keys group by season) using (season)""",
 }
+# The same over the blend: the views' names begin with l3_.
+GRID_VIEWS |= {f"l3_{k}": re.sub(r"\b(grid_\w+|retro_grid)\b", r"l3_\1", v).replace("power_as_of", "blend_as_of") for k, v in GRID_VIEWS.items()}
 A.VIEWS.update(GRID_VIEWS)
 A.MATERIALIZED.update(GRID_VIEWS)
 
@@ -134,13 +139,13 @@ def fold_records(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[pdf["next"].isna() | (pdf["next"] != pdf["bucket_order"])]
 
 
-def grid(games: DataFrame) -> DataFrame:
-    """R(N, K) of every season: the record through bucket N against Power through bucket K, for all N <= K, in one plan.
+def grid(games: DataFrame, power: DataFrame | None = None) -> DataFrame:
+    """R(N, K) of every season, by `power` as of every bucket (fitted.power_by_bucket; None: results alone): the record through bucket N against Power through bucket K, for all N <= K, in one plan.
 
     Games meet each K that they lie before; the odds of a team under one K are folded once and read off after each bucket, so a K costs one
     convolution a game however many N it has.  A team stands in a cell from its first game on.
     """
-    power = fitted.power_by_bucket(games).withColumnRenamed("as_of", "k")
+    power = stored(fitted.power_by_bucket(games) if power is None else power, "power").withColumnRenamed("as_of", "k")
     q = Window.partitionBy("season", "k").orderBy(F.desc("rating"), "team")
     ref = power.withColumn("r", F.row_number().over(q)).groupBy("season", "k").agg(F.coalesce(F.max(F.when(F.col("r") == Q.REFERENCE_RANK, F.col("rating"))), F.min("rating")).alias("q_ref"))
     buckets = F.broadcast(games.groupBy("season").agg(F.array_sort(F.collect_set("bucket_order")).alias("all")))  # a short list a season
@@ -211,6 +216,17 @@ register(
 register("K20_grid_of_seasons", "select season, count(*) n, count(distinct e) polls from retro_grid group by season", lambda g: g.groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("e").alias("polls")))
 
 
+def blended_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The grid by the blend as of every bucket."""
+    g = A.played(spark, d)
+    return grid(g, fitted.power_by_bucket(g, "L3", fitted.contest_steps(spark, d)))
+
+
+query("K15_triangle_blend", "select * from l3_retro_grid")(blended_grid)
+query("K13_live_surface_blend", "select season, e, team, wins, losses, tail, rank from l3_retro_grid where is_live")(lambda spark, d: blended_grid(spark, d).where("is_live").select("season", "e", "team", "wins", "losses", "tail", "rank"))
+query("K14_hindsight_surface_blend", "select season, e, team, wins, losses, tail, rank from l3_retro_grid where is_hindsight")(lambda spark, d: blended_grid(spark, d).where("is_hindsight").select("season", "e", "team", "wins", "losses", "tail", "rank"))
+
+
 @query("K12_power_by_bucket", "select * from power_as_of")
 def power_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     return fitted.power_by_bucket(A.played(spark, d))

@@ -43,8 +43,9 @@ class Engine:
     def odds(self) -> DataFrame:
         return resume.schedule_odds(self.spark, self.path)
 
-    def grid(self) -> DataFrame:
-        return ranking.grid(self.games())
+    def grid(self, source: str = "L3") -> DataFrame:
+        g = self.games()
+        return ranking.grid(g, fitted.power_by_bucket(g, source, fitted.contest_steps(self.spark, self.path)))
 
     def backtest(self) -> DataFrame:
         return evaluation.measured(evaluation.scored(self.spark, self.path), "season")
