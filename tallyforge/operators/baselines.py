@@ -17,7 +17,7 @@ from tallyforge.functions.ridge_sql import dense, gradients
 from tallyforge.operators import fitted
 from tallyforge.operators import ratings as R
 from tallyforge.operators import resume as Q
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
 
 COLLEY_PRIOR = 2.0
@@ -294,12 +294,12 @@ def load_challenger(path: str) -> Rater | dict:
     return module.rate
 
 
-@query("A08_rater_registry")
+@rule("A08_rater_registry")
 def rater_registry(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, PREDICTS_BY.get(k, k)) for k in RATERS], "rater string, predicts_by string")
 
 
-@query("A09_alias_resolution")
+@rule("A09_alias_resolution")
 def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(ALIASES.items()), "alias string, rater string")
 

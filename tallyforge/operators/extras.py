@@ -24,7 +24,7 @@ from tallyforge.operators import projection as J
 from tallyforge.operators import ranking as K
 from tallyforge.operators import serving as V
 from tallyforge.operators import fitted
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
 from tallyforge.sources import sinks as S
 from tallyforge.sources.archive import colours
@@ -61,7 +61,7 @@ def in_folder(spark: SparkSession, use: Callable[[str], list[tuple]], schema: st
         shutil.rmtree(root, ignore_errors=True)
 
 
-@query("S14_lock_states")
+@rule("S14_lock_states")
 def lock_states(spark: SparkSession, d: str) -> DataFrame:
     """What a sync finds of each locked file: missing, size, digest or ok."""
 
@@ -81,7 +81,7 @@ def csv_source(spark: SparkSession, d: str) -> DataFrame:
     return colours(spark, path).groupBy("team").agg(F.count("*").alias("n"), F.count("colour").alias("known"))
 
 
-@query("K02_ordering_validation")
+@rule("K02_ordering_validation")
 def ordering_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(o, raises(lambda o=o: K.order_columns(o))) for o in (*K.ORDERINGS, "fame")], "ordering string, error string")
 
@@ -94,14 +94,14 @@ def pinned(pins: list[dict], season: int, poll: int) -> dict | None:
     return next((p for p in pins if (p["season"], p["poll"]) == (season, poll)), None)
 
 
-@query("K26_pinned_pair")
+@rule("K26_pinned_pair")
 def pinned_pair(spark: SparkSession, d: str) -> DataFrame:
     pins = [{"season": 1997, "poll": 3, "leader": "T000001", "foil": "T000002", "why": "same record"}]
     got = [(1997, k, (p := pinned(pins, 1997, k)) and p["leader"], p and p["foil"]) for k in (2, 3)]
     return rows(spark, got, "season int, poll int, leader string, foil string")
 
 
-@query("A10_prediction_redirect")
+@rule("A10_prediction_redirect")
 def prediction_redirect(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(k, B.PREDICTS_BY.get(k, k)) for k in B.RATERS], "rater string, predicts_by string")
 
@@ -138,33 +138,33 @@ def closing_line(games: DataFrame) -> DataFrame:
     raise NotImplementedError("there is no archive of closing lines or committee ranks")
 
 
-@query("J29_holdout_guard")
+@rule("J29_holdout_guard")
 def holdout(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(s, raises(lambda s=s: J.holdout_guard(s))) for s in (1999, 2000, 2001)], "season int, error string")
 
 
-@query("C02_config_hash")
+@rule("C02_config_hash")
 def config_hash(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [("defaults", C.file_hash(json.dumps(C.DEFAULTS, sort_keys=True).encode()))], "name string, hash string")
 
 
-@query("C04_evidence_guard")
+@rule("C04_evidence_guard")
 def evidence_guard(spark: SparkSession, d: str) -> DataFrame:
     tries = {"cap": {"margin": {"c": 24.0}}, "seed": {"bootstrap": {"seed": 1}}, "sigma": {"resume": {"sigma": 9.0}}}
     return rows(spark, [(k, raises(C.Recipe(k, "try", v).resolve)) for k, v in tries.items()], "recipe string, error string")
 
 
-@query("C05_resolved_hash")
+@rule("C05_resolved_hash")
 def resolved_hash(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(r.slug, C.resolved_hash(r.resolve())) for r in C.RECIPES], "slug string, hash string")
 
 
-@query("C06_recipe_roster")
+@rule("C06_recipe_roster")
 def recipe_roster(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(i, r.stance, r.slug) for i, r in enumerate(C.roster())], "place int, stance string, slug string")
 
 
-@query("C16_lever_validate")
+@rule("C16_lever_validate")
 def lever_validate(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(k, raises(lambda k=k, v=v: C.clamp(k, v))) for k, v in (("margin.c", 3.0), ("margin.d", 3.0), ("poll.ordering", "fame"))], "lever string, error string")
 
@@ -199,17 +199,17 @@ def written(root: str) -> None:
             f.write(body)
 
 
-@query("O08_inventory")
+@rule("O08_inventory")
 def inventory(spark: SparkSession, d: str) -> DataFrame:
     return in_folder(spark, lambda r: [written(r), [(x["name"], x["bytes"], x["sha256"]) for x in S.inventory(r)]][1], "name string, bytes long, sha256 string")
 
 
-@query("O09_upsert_sql")
+@rule("O09_upsert_sql")
 def upserts(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(t, S.upsert_sql(t, [*k, "payload"]), t in S.IMMUTABLE) for t, k in S.SERVING.items()], "name string, statement string, immutable boolean")
 
 
-@query("O10_load_without_address")
+@rule("O10_load_without_address")
 def load_without_address(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [(t, S.load_jdbc(spark.range(1).toDF("k"), t, None)) for t in S.SERVING], "name string, loaded boolean")
 
@@ -229,12 +229,12 @@ def index_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("season", F.size("rows").cast("long").alias("teams"))
 
 
-@query("O13_release")
+@rule("O13_release")
 def release(spark: SparkSession, d: str) -> DataFrame:
     return in_folder(spark, lambda r: [written(r), [(x["asset"], x["bytes"]) for x in S.release(r)]][1], "asset string, bytes long")
 
 
-@query("O14_release_verify")
+@rule("O14_release_verify")
 def release_verify(spark: SparkSession, d: str) -> DataFrame:
     def use(root: str) -> list[tuple]:
         written(root)
@@ -246,7 +246,7 @@ def release_verify(spark: SparkSession, d: str) -> DataFrame:
     return in_folder(spark, use, "name string")
 
 
-@query("O18_mark_luminance")
+@rule("O18_mark_luminance")
 def mark_luminance(spark: SparkSession, d: str) -> DataFrame:
     """Mean luminance of images held in a binary column."""
 
@@ -276,7 +276,7 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
     return top.select("season", svg("season", "lines").alias("svg"))
 
 
-@query("O21_preflight")
+@rule("O21_preflight")
 def preflight(spark: SparkSession, d: str) -> DataFrame:
     """Which tables a run needs are there, and what is a stub."""
     have = [(t, bool(A.table(spark, d, t).columns)) for t in ("orders", "lineitem", "supplier", "nation", "events")]

@@ -14,7 +14,7 @@ from tallyforge.functions.expr import phi_sql
 from tallyforge.operators import baselines as B
 from tallyforge.operators import ratings as R
 from tallyforge.operators import fitted
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
 
 BINS = 10
@@ -124,7 +124,7 @@ def rank_churn(spark: SparkSession, d: str) -> DataFrame:
     return r.join(before, ["season", "as_of", "team"]).groupBy("season", "as_of").agg(F.round(F.avg(F.abs(F.col("r") - F.col("was"))), 6).alias("churn"), F.count("*").alias("n"))
 
 
-@query("M11_violation_rivals")
+@rule("M11_violation_rivals")
 def violation_rivals(spark: SparkSession, d: str) -> DataFrame:
     """Whom each rater's violations are held against: all scored ones but itself and the constant."""
     names = [n for n in B.RATERS if n != "home_team"]

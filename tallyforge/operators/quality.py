@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import fitted
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
 
 #: Parts of column names that no model may read, and prefixes that make a name ours (fixed values).
@@ -129,7 +129,7 @@ def banned(columns: list[str]) -> list[str]:
     return [c for c in columns if not c.lower().startswith(OURS) and any(b in c.lower() for b in BANNED)]
 
 
-@query("D12_banned_columns")
+@rule("D12_banned_columns")
 def banned_columns(spark: SparkSession, d: str) -> DataFrame:
     names = [*A.table(spark, d, "lineitem").columns, *A.table(spark, d, "events").columns, "home_EPA", "our_epa", "wp_before_play", "play_value_epa"]
     return spark.createDataFrame([(n, n in banned(names)) for n in names], "name string, banned boolean")
@@ -143,7 +143,7 @@ def temporal_guard(columns: list[str], declared: set[str]) -> dict[str, list[str
     return {"future": [c for c in columns if FUTURE.search(c)], "undeclared": [c for c in columns if c not in declared]}
 
 
-@query("D13_temporal_guard")
+@rule("D13_temporal_guard")
 def temporal_guard_rows(spark: SparkSession, d: str) -> DataFrame:
     got = temporal_guard([*A.table(spark, d, "orders").columns, "final_score", "next_opponent"], set(A.table(spark, d, "orders").columns))
     return spark.createDataFrame([(k, ",".join(v)) for k, v in got.items()], "kind string, names string")

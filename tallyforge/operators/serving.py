@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators import metrics as M
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
 from tallyforge.sources import sinks as S
 from tallyforge.sources.archive import Archive, latest_colours
 
 
-@query("O04_serving_bundle")
+@rule("O04_serving_bundle")
 def serving_bundle(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, ",".join(k), S.upsert_sql(t, [*k, "payload"])) for t, k in S.SERVING.items()], "name string, key string, upsert string")
 
@@ -96,7 +96,7 @@ def publish_guard(spark: SparkSession, d: str) -> DataFrame:
 ROSTER = (("committee", "ranks only"), ("closing_line", "no archive"), ("writers_poll", "ranks only"), ("coaches_poll", "ranks only"), ("published_ratings", "terms of use"))
 
 
-@query("O22_external_roster")
+@rule("O22_external_roster")
 def external_roster(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, w, False) for n, w in ROSTER], "system string, why string, scorable boolean")
 
@@ -114,17 +114,17 @@ def in_archive(spark: SparkSession, use) -> DataFrame:
         shutil.rmtree(root, ignore_errors=True)
 
 
-@query("S09_archive_writer")
+@rule("S09_archive_writer")
 def archive_writer(spark: SparkSession, d: str) -> DataFrame:
     return in_archive(spark, lambda a: a.manifest(spark).select("endpoint", "params", "bytes", "sha256"))
 
 
-@query("S10_manifest_verification")
+@rule("S10_manifest_verification")
 def manifest_verification(spark: SparkSession, d: str) -> DataFrame:
     return in_archive(spark, lambda a: a.states(spark).groupBy("state").count())
 
 
-@query("S12_archived_bodies")
+@rule("S12_archived_bodies")
 def archived_bodies(spark: SparkSession, d: str) -> DataFrame:
     return in_archive(spark, lambda a: a.bodies(spark, "games", "season int, n int"))
 

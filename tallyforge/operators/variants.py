@@ -16,7 +16,7 @@ from tallyforge.functions.expr import compress_sql, phi_sql
 from tallyforge.functions.ridge_sql import ridge
 from tallyforge.operators import fitted
 from tallyforge.operators import resume as Q
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
 from tallyforge.sources.stored import stored
 
@@ -24,19 +24,19 @@ CAPS, BONUSES = (1.0, 18.0, 24.0, 32.0, 48.0, float("inf")), (0.0, 3.0, 7.0, 12.
 DIAL = 0.985
 
 
-@query("C01_overlay")
+@rule("C01_overlay")
 def overlay_rows(spark: SparkSession, d: str) -> DataFrame:
     tree = C.flat(C.overlay(C.DEFAULTS, {"margin": {"c": 24.0}}))
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(tree.items())], "name string, value string")
 
 
-@query("C03_recipes")
+@rule("C03_recipes")
 def recipes(spark: SparkSession, d: str) -> DataFrame:
     """All recipes by (stance, slug), with their resolved hash and layer."""
     return spark.createDataFrame([(i, r.stance, r.slug, C.resolved_hash(r.resolve()), r.resolve()["poll"]["layer"]) for i, r in enumerate(C.roster())], "place int, stance string, slug string, hash string, layer string")
 
 
-@query("C17_levers")
+@rule("C17_levers")
 def levers(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, str(v[0]), str(v[-1])) for k, v in C.LEVERS.items()], "lever string, low string, high string")
 

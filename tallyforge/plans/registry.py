@@ -11,6 +11,8 @@ from tallyforge.sources.adapters import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Registries and rules that read no table: tested like queries, but none.
+RULES: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None = None, **types: str) -> Callable[[Query], Query]:
@@ -30,3 +32,11 @@ def query(name: str, sql: str | None = None, **types: str) -> Callable[[Query],
         return f
 
     return keep
+
+
+def rule(name: str) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        RULES[name] = f
+        return f
+
+    return keep

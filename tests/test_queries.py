@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 from tallyforge.plans.catalog import ORACLE_SQL, QUERIES
+from tallyforge.plans.registry import RULES
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
@@ -54,3 +55,8 @@ def test_matches_sql(spark, sf, duck, name):
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).columns
     QUERIES[name](spark, sf).count()
+
+
+@pytest.mark.parametrize("name", sorted(RULES))
+def test_rules_run(spark, sf, name):
+    assert name not in QUERIES and RULES[name](spark, sf).count() >= 0
