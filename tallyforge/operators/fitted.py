@@ -58,13 +58,13 @@ def folds(rows: DataFrame, k: int = FOLDS, group: str = "game_id", by: str = "se
     return rows.withColumn("fold", ((F.dense_rank().over(Window.partitionBy(by).orderBy(group)) - 1) % k).cast("int"))
 
 
-def game_design(games: DataFrame, gamma: float = 1.0, cap: float = 32.0, bonus: float = 7.0) -> DataFrame:
-    """(season, bucket_order, row_id, w, entries): +1 home, -1 away, the site, no intercept; beside them a one, the margin and the response."""
+def game_design(games: DataFrame, gamma: float = 1.0, cap: float = 32.0, bonus: float = 7.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(season, bucket_order, row_id, w, entries, keep): +1 home, -1 away, the site, no intercept; beside them a one, the margin and the response."""
     g = weighted(games, gamma)
     entries = F.array(
         entry(F.col("home_team"), F.lit(1.0)), entry(F.col("away_team"), F.lit(-1.0)), entry(SITE_ROW, F.expr(SITE)), entry(GAMES_ROW, F.lit(1.0)), entry(MARGIN_ROW, F.expr(MARGIN)), entry(al.RESPONSE, F.expr(response_sql(MARGIN, cap, bonus))),
     )
-    return g.select("season", "bucket_order", F.col("game_id").alias("row_id"), "w", *([F.col("fold")] if "fold" in games.columns else []), entries.alias("entries"))
+    return g.select("season", "bucket_order", F.col("game_id").alias("row_id"), "w", *keep, *([F.col("fold")] if "fold" in games.columns else []), entries.alias("entries"))
 
 
 FIT_SCHEMA = "season int, as_of int, team string, rho double, rating double, se double, lambda double, n_folds int, n_games long, edf double, sigma2 double, home_field double, scale double, points_edge double, residual double"
@@ -207,30 +207,33 @@ def power_by_bucket(games: DataFrame, source: str = "L2", steps: DataFrame | Non
     return fits(games, every=True).select("season", "as_of", "team", F.round("rating", 6).alias("rating"))
 
 
-def contest_steps(spark: SparkSession, d: str) -> DataFrame:
+def contest_steps(spark: SparkSession, d: str, rules: tuple[str, ...] = ()) -> DataFrame:
     """Snaps of the counted kinds with their values, on the games that they belong to: offense, defense, site 1, -1 or 0, bucket, weight.
 
     What a step is worth comes from the expected points of all steps.  Steps of no completed game between top-class teams go.
+    With `rules` of decided games there are also the game's start and w_<rule>, the weight times the step's own under each.
     """
     steps = A.steps(spark, d)
-    valued = plays.play_values(steps, plays.expected_points(steps)).where(F.col("play_type").isin(*STEP_KINDS))
+    shown = plays.repaired(plays.board(steps)) if rules else steps
+    valued = plays.play_values(shown, plays.expected_points(steps)).where(F.col("play_type").isin(*STEP_KINDS))
     orders = A.table(spark, d, "orders").agg(F.max("o_orderkey").alias("most"))
     keyed = valued.join(F.broadcast(orders)).withColumn("contest", 1 + (F.col("game_id") * 7919 + F.col("segment") * 104729) % F.col("most"))
-    games = weighted(folds(A.played(spark, d))).select(F.col("game_id").alias("contest"), "season", "bucket_order", "home_team", "away_team", "neutral_site", "w", "fold")
+    games = weighted(folds(A.played(spark, d))).select(F.col("game_id").alias("contest"), "season", "bucket_order", "start_date", "home_team", "away_team", "neutral_site", "w", "fold")
     j = keyed.join(games, "contest")
     home = F.col("offense_is_home")
     return j.select(
         "season", "bucket_order", "fold", "w", "contest", F.concat_ws(":", "game_id", "play_index").alias("row_id"), F.when(home, F.col("home_team")).otherwise(F.col("away_team")).alias("offense"),
         F.when(home, F.col("away_team")).otherwise(F.col("home_team")).alias("defense"), F.when(F.col("neutral_site"), 0).when(home, 1).otherwise(-1).alias("site"), "play_value",
+        *((F.col("w") * F.expr(plays.step_weight_sql(r))).alias(f"w_{r}") for r in rules), *(["start_date"] if rules else []),
     )
 
 
-def step_design(steps: DataFrame) -> DataFrame:
+def step_design(steps: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Four entries a step: offence, defence, site, intercept; the value as a fifth."""
     entries = F.array(
         entry(F.concat(F.lit("o:"), "offense"), F.lit(1.0)), entry(F.concat(F.lit("d:"), "defense"), F.lit(1.0)), entry(STEP_SITE, F.col("site")), entry(STEP_ONE, F.lit(1.0)), entry(STEP_VALUE, F.col("play_value")),
     )
-    return steps.select("season", "bucket_order", "fold", "row_id", "w", entries.alias("entries"))
+    return steps.select("season", "bucket_order", "fold", "row_id", "w", *keep, entries.alias("entries"))
 
 
 def fit_steps(sums: Sums, grid: tuple[float, ...] = GRID_EFFICIENCY) -> dict:

@@ -204,31 +204,6 @@ def split_label(spark: SparkSession, d: str) -> DataFrame:
     return A.played(spark, d).groupBy(F.expr(SPLIT).alias("split")).agg(F.count("*").alias("n"), F.countDistinct("season").alias("seasons"))
 
 
-@query("M23_challenge", SCORED + ", v as (select 'incumbent' s, * from sc union all select 'variant', season, bucket_order, game_id, home_team, away_team, neutral_site, actual, hr, ar, predicted * 0.9, z, y, p from sc) select season, round(avg(case when s = 'variant' then abs(predicted - actual) end) - avg(case when s = 'incumbent' then abs(predicted - actual) end), 6) delta_mae, avg(case when s = 'variant' then abs(predicted - actual) end) < avg(case when s = 'incumbent' then abs(predicted - actual) end) better from v group by season")
-def challenge(spark: SparkSession, d: str, factor: float = 0.9) -> DataFrame:
-    """A variant's error against the incumbent's on the same games."""
-    s = scored(spark, d)
-    a, b = F.avg(F.abs(F.col("predicted") * factor - F.col("actual"))), F.avg(F.abs(F.col("predicted") - F.col("actual")))
-    return s.groupBy("season").agg(F.round(a - b, 6).alias("delta_mae"), (a < b).alias("better"))
-
-
-GRID_C, GRID_W = (8.0, 16.0, 24.0, 32.0), (0.0, 3.5, 7.0)
-
-
-@query("M26_grid_search", SCORED + ", gr as (select c, w from (select unnest([8.0::double, 16.0, 24.0, 32.0]) c), (select unnest([0.0::double, 3.5, 7.0]) w)) select c, w, round(avg(abs(c * tanh(predicted / c) + w * sign(predicted) - actual)), 6) mae from sc, gr group by 1, 2")
-def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every cell of a parameter grid over the same predictions: the grid is an array beside each game, not another pass."""
-    cells = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c in GRID_C for w in GRID_W))
-    x = scored(spark, d).select("predicted", "actual", F.explode(cells).alias("g")).select("*", "g.*")
-    return x.groupBy("c", "w").agg(F.round(F.avg(F.abs(F.expr("c * tanh(predicted / c) + w * sign(predicted) - actual"))), 6).alias("mae"))
-
-
-@query("M27_margin_grid", SCORED + ", gr as (select c from (select unnest([8.0::double, 16.0, 24.0, 32.0]) c)) select c, season, round(sqrt(avg(pow(c * tanh(predicted / c) - actual, 2))), 6) rmse from sc, gr group by 1, 2")
-def margin_grid(spark: SparkSession, d: str) -> DataFrame:
-    x = scored(spark, d).select("season", "predicted", "actual", F.explode(F.array(*map(F.lit, GRID_C))).alias("c"))
-    return x.groupBy("c", "season").agg(F.round(F.sqrt(F.avg(F.expr("pow(c * tanh(predicted / c) - actual, 2)"))), 6).alias("rmse"))
-
-
 TWO_RANKS = "two as (select p.season, p.team, p.rating x, w.v y from power p join (select season, team, round((sum(won) + 0.5 * sum(tied)) / count(*), 6) v from sides group by 1, 2) w using (season, team))"
 
 
@@ -366,18 +341,6 @@ def bridge_inventory(spark: SparkSession, d: str) -> DataFrame:
     return A.contests(spark, d).groupBy("season").agg(F.count("*").alias("games"), F.count(F.when(cross, 1)).alias("bridges"), F.count(F.when(cross & F.col("neutral_site"), 1)).alias("neutral"))
 
 
-GAMMAS = (1.0, 0.97, 0.9)
-AGE = "floor((epoch(max(start_date) over (partition by season)) - epoch(start_date)) / 604800)"
-
-
-@query("M38_recency_sweep", f"with g as (select season, team, margin, {AGE} age from sides), gm as (select unnest([1.0::double, 0.97, 0.9]) gamma) select gamma, season, team, round(sum(pow(gamma, age) * margin) / sum(pow(gamma, age)), 6) rating from g, gm group by 1, 2, 3")
-def recency_sweep(spark: SparkSession, d: str) -> DataFrame:
-    s = A.sides(A.played(spark, d))
-    age = F.floor((F.max(F.unix_timestamp("start_date")).over(Window.partitionBy("season")) - F.unix_timestamp("start_date")) / 604800)
-    x = s.withColumn("age", age).withColumn("gamma", F.explode(F.array(*map(F.lit, GAMMAS)))).withColumn("w", F.pow("gamma", "age"))
-    return x.groupBy("gamma", "season", "team").agg(F.round(F.sum(F.col("w") * F.col("margin")) / F.sum("w"), 6).alias("rating"))
-
-
 @query("M39_universe_sensitivity", "select u, season, count(*) n, round(avg(home_points - away_points), 6) edge from (select 'all' u, * from contests union all select 'model', * from contests where home_class in ('fbs', 'fcs') or away_class in ('fbs', 'fcs') union all select 'fbs_vs_fbs', * from contests where home_class = 'fbs' and away_class = 'fbs') where completed group by 1, 2")
 def universe_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     from tallyforge.operators.buckets import UNIVERSES

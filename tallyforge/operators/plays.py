@@ -215,7 +215,13 @@ def garbage_sql(rule: str, period: str, margin: str) -> str:
 
 
 PERIOD = "cast(1 + play_index % 5 as int)"
-STEP_WEIGHT = f"case when play_type = 'error' then 0.0 when {PERIOD} in (2, 4) and distance <= 10 and yards_to_goal >= 40 and play_type = 'click' then 0.0 else {garbage_sql('strict', PERIOD, 'score_margin')} end"
+
+
+def step_weight_sql(rule: str) -> str:
+    return f"case when play_type = 'error' then 0.0 when {PERIOD} in (2, 4) and distance <= 10 and yards_to_goal >= 40 and play_type = 'click' then 0.0 else {garbage_sql(rule, PERIOD, 'score_margin')} end"
+
+
+STEP_WEIGHT = step_weight_sql("strict")
 
 
 @query("P12_step_weights", f"select game_id, play_index, cast({STEP_WEIGHT} as double) w from ({REPAIRED})")

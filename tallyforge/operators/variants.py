@@ -65,9 +65,9 @@ RESPONSES = tuple(f"~~y{k}" for k in range(len(CAPS)))
 CELL_SCHEMA = "season int, cap double, bonus double, team string, rho double, rating double, lambda double"
 
 
-def lever_design(games: DataFrame, caps: tuple[float, ...] = CAPS) -> DataFrame:
+def lever_design(games: DataFrame, caps: tuple[float, ...] = CAPS, keep: tuple[str, ...] = ()) -> DataFrame:
     """The design of fitted.game_design with a response for each cap and one for the bonus, of which any cell's response is a sum."""
-    rows = fitted.game_design(games)
+    rows = fitted.game_design(games, keep=keep)
     margin = F.element_at(F.filter("entries", lambda e: e["i"] == fitted.MARGIN_ROW), 1)["v"]
     more = [fitted.entry(f"~~y{k}", F.expr(compress_sql("m", c))) for k, c in enumerate(caps)] + [fitted.entry(SIGN_ROW, F.expr("sign(m)"))]
     return rows.withColumn("m", margin).withColumn("entries", F.concat(F.filter("entries", lambda e: e["i"] != al.RESPONSE), F.array(*more))).drop("m")
@@ -91,16 +91,20 @@ def fit_cells(sums: fitted.Sums, cells: tuple, caps: tuple[float, ...], grid: tu
         b = np.repeat(a[np.ix_(use, ys)], len(grid), 1)
         return al.ridge_path(a[np.ix_(use, use)], b, penalties).reshape(len(use), len(ys), len(grid))
 
-    folds = [(f, path(whole - f)) for f in sums.a.values()] if len(sums.a) > 1 and n >= 2 * len(sums.a) else []
+    folds = []
+    for f in sums.a.values() if len(sums.a) > 1 and n >= 2 * len(sums.a) else []:
+        x = path(whole - f)
+        told = (f[np.ix_(use, use)] @ x.reshape(len(use), -1)).reshape(x.shape)  # of all responses, whose sums the cells' are
+        folds.append((f, x, told))
     last, out = path(whole), {}
     for cap, bonus in cells:
         k = caps.index(cap)
         errors = np.zeros(len(grid))
-        for f, x in folds:
-            x = x[:, k] + bonus * x[:, -1]
+        for f, of_all, told in folds:
+            x = of_all[:, k] + bonus * of_all[:, -1]
             y = f[use, ys[k]] + bonus * f[use, ys[-1]]
             yy = f[ys[k], ys[k]] + 2 * bonus * f[ys[k], ys[-1]] + bonus**2 * f[ys[-1], ys[-1]]
-            errors += yy - 2 * x.T @ y + (x * (f[np.ix_(use, use)] @ x)).sum(0)
+            errors += yy - 2 * x.T @ y + (x * (told[:, k] + bonus * told[:, -1])).sum(0)
         at = max(i for i, e in enumerate(errors) if e <= errors.min() + 1e-12) if folds else len(grid) - 1
         x = last[:, k, at] + bonus * last[:, -1, at]
         t = x[:-1]
