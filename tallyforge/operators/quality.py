@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import fitted
 from tallyforge.plans.registry import query, rule
 from tallyforge.sources import adapters as A
+from tallyforge.sources import digest
 
 #: Parts of column names that no model may read, and prefixes that make a name ours (fixed values).
 BANNED = ("epa", "wpa", "wp_before", "elo", "spread", "odds_line", "rank_ap", "recruit")
@@ -110,18 +111,16 @@ def week_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_digest(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """(digest, rows): of the columns in the given order, the same however rows are partitioned.
+    """(digest, rows): the root of the tree of row digests in the given order, whatever the partitioning; rows of equal keys are ordered by their digests."""
+    return digest.root(digest.placed(rows, order, F.sha2(digest.row_text([*order, *columns]), 256)))
 
-    Each row's digest, with its place, is summed, so order counts and no task holds more than its rows.
-    """
-    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in [*order, *columns]))
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.sum(part).cast("string").alias("digest"), F.count("*").alias("rows"))
 
+DIGESTED, DIGESTED_BY = ["season", "week", "home_team", "away_team", "home_points", "away_points"], ["game_id"]
 
-@query("D11_frame_digest")
+
+@query("D11_frame_digest", digest.root_sql("contests", DIGESTED, DIGESTED_BY))
 def frame_digest_rows(spark: SparkSession, d: str) -> DataFrame:
-    return frame_digest(A.contests(spark, d), ["season", "week", "home_team", "away_team", "home_points", "away_points"], ["game_id"])
+    return frame_digest(A.contests(spark, d), DIGESTED, DIGESTED_BY)
 
 
 def banned(columns: list[str]) -> list[str]:

@@ -8,9 +8,13 @@ import math
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge import ship
+from tallyforge.sources import digest
+
 #: Serving tables and their keys (fixed values).
 SERVING: dict[str, tuple[str, ...]] = {
     "teams": ("team_id",), "seasons": ("season",), "weeks": ("season", "season_type", "week"), "games": ("game_id",), "runs": ("run_id",), "ratings": ("run_id", "team_id", "layer"),
@@ -36,11 +40,31 @@ def canonical_number(x: float | int | None) -> str:
     return str(x) if isinstance(x, int) else f"{x:.10g}"
 
 
-def canonical_csv(df: DataFrame, sort: list[str]) -> bytes:
-    """The bytes that a table is hashed by; for tables of a poll's size, as it comes to the driver."""
-    rows = df.orderBy(*sort).collect()
-    text = lambda v: canonical_number(v) if isinstance(v, int | float) and not isinstance(v, bool) else "" if v is None else str(v)
-    return "".join(",".join(line) + "\n" for line in ([df.columns] + [[text(v) for v in r] for r in rows])).encode()
+def canonical_lines(df: DataFrame, sort: list[str]) -> DataFrame:
+    """(place, value): the lines of a table's canonical text, the header being line 0; it is written, sorted and digested where it lies.
+
+    Numbers are formatted by canonical_number; a null is empty; rows of equal keys are ordered by their lines.
+    """
+
+    @F.pandas_udf("string")
+    def number(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: canonical_number(float(v)) if v is not None else "")
+
+    def text(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.coalesce(number(c.cast("double")) if kind in ("double", "float") else c.cast("string"), F.lit(""))
+
+    ship(df.sparkSession)
+    body = digest.placed(df, sort, F.concat_ws(",", *(text(*t) for t in df.dtypes)))
+    head = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(",".join(df.columns)).alias("value"))
+    return head.unionByName(body.withColumn("place", F.col("place") + 1))
+
+
+def write_canonical(df: DataFrame, path: str, sort: list[str]) -> DataFrame:
+    """Writes the canonical text as part files whose names sort as their lines do; gives (digest, rows) of its lines, the header counted."""
+    lines = canonical_lines(df, sort)
+    lines.orderBy("place").select("value").write.mode("overwrite").text(path)
+    return digest.root(lines.select("place", F.sha2("value", 256).alias("value")))
 
 
 def run_id(parts: dict[str, str]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -301,7 +302,10 @@ def test_archive_is_append_only(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, 0.1 + 0.2, None), (1, float("inf"), "x")], "k int, v double, s string")
-    assert sinks.canonical_csv(df, ["k"]) == b"k,v,s\n1,,x\n2,0.3,\n"
+    root = sinks.write_canonical(df, str(tmp_path / "csv"), ["k"]).first()
+    text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
+    assert text == "k,v,s\n1,,x\n2,0.3,\n" and root["rows"] == 3
+    assert root["digest"] == hashlib.sha256("".join(hashlib.sha256(line.encode()).hexdigest() for line in text.splitlines()).encode()).hexdigest()
     assert "DO NOTHING" in sinks.upsert_sql("published_polls", ["season", "poll", "team_id", "rank"])
     assert sinks.upsert_sql("teams", ["team_id", "name"]).endswith("DO UPDATE SET name = EXCLUDED.name")
     sinks.write_all(df, str(tmp_path), "t", ["k"])
@@ -327,6 +331,29 @@ def test_digest_ignores_partitions(spark):
     assert a != quality.frame_digest(g.withColumn("home_team", F.lower("home_team")), ["home_team"], ["game_id"]).first()
 
 
+def test_digest_is_a_tree_of_ordered_rows(spark, monkeypatch):
+    from tallyforge.sources import digest
+
+    monkeypatch.setattr(digest, "FAN", 3)
+
+    def plain(values):
+        level = [hashlib.sha256("".join(f"{len(str(v).encode())}:{v}" if v is not None else "n" for v in r).encode()).hexdigest() for r in values]
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(level[i : i + 3]).encode()).hexdigest() for i in range(0, len(level), 3)]
+        return level[0] if level else hashlib.sha256(b"").hexdigest()
+
+    def root(values):
+        return quality.frame_digest(spark.createDataFrame(values, "k int, a string, b int").repartition(4), ["a", "b"], ["k"]).first()["digest"]
+
+    for n in (0, 1, 2, 3, 4, 10, 29):
+        assert root([(i, f"é{i}", None if i % 3 else i) for i in range(n)]) == plain([(i, f"é{i}", None if i % 3 else i) for i in range(n)])
+    base = [(1, "x", 5), (2, "y", 7), (3, "z", 9)]
+    swapped, cancelling, shifted = [(1, "y", 7), (2, "x", 5), (3, "z", 9)], [(1, "x", 6), (2, "y", 6), (3, "z", 9)], [(1, "x5", None), (2, "y", 7), (3, "z", 9)]
+    assert len({root(v) for v in (base, swapped, cancelling, shifted)}) == 4
+    twice = [(1, "x", 5), (1, "w", 5), (1, None, 5)]
+    assert root(twice) == root(twice[::-1])
+
+
 def test_empty_tables(spark):
     g = games(spark, ROBIN).limit(0)
     for build in (fitted.power, baselines.win_share, baselines.colley, baselines.elo, fitted.fits, fitted.power_by_bucket, ranking.grid):
