@@ -120,15 +120,15 @@ def portal_flow(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "S18_nested_explode",
-    "select school, string_agg(name || ':' || games, ',' order by name, games) coaches from (select distinct o_orderpriority school, o_orderstatus name, cast(month(o_orderdate) as int) games from orders where year(o_orderdate) = 1997) group by school",
+    "select school, year, string_agg(name || ':' || games, ',' order by name, games) coaches from (select distinct o_orderpriority school, cast(year(o_orderdate) as int) as year, o_orderstatus name, cast(month(o_orderdate) as int) games from orders) group by school, year",
 )
 def nested_explode(spark: SparkSession, d: str) -> DataFrame:
-    """Structs in an array exploded, filtered and folded into a sorted list a school."""
+    """Structs in an array exploded and folded into a sorted list a school and year."""
     o = A.table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
     nested = o.groupBy("o_orderstatus").agg(F.collect_set(F.struct(F.col("o_orderpriority").alias("school"), F.col("y").alias("year"), F.col("m").alias("games"))).alias("seasons"))
-    flat = nested.select(F.col("o_orderstatus").alias("name"), F.explode("seasons").alias("s")).where("s.year = 1997")
-    lists = flat.groupBy("s.school").agg(F.sort_array(F.collect_set(F.struct("name", F.col("s.games").alias("games")))).alias("l"))
-    return lists.select("school", F.array_join(F.transform("l", lambda x: F.concat(x["name"], F.lit(":"), x["games"].cast("string"))), ",").alias("coaches"))
+    flat = nested.select(F.col("o_orderstatus").alias("name"), F.explode("seasons").alias("s"))
+    lists = flat.groupBy("s.school", "s.year").agg(F.sort_array(F.collect_set(F.struct("name", F.col("s.games").alias("games")))).alias("l"))
+    return lists.select("school", "year", F.array_join(F.transform("l", lambda x: F.concat(x["name"], F.lit(":"), x["games"].cast("string"))), ",").alias("coaches"))
 
 
 COACHES = "select o_custkey school, cast(year(o_orderdate) as int) yr, 'C' || (o_orderkey % 4) name, count(*) games from orders group by 1, 2, 3"
@@ -224,9 +224,9 @@ def bucket_table(spark: SparkSession, d: str) -> DataFrame:
     return b.select("season", "season_type", "week", "bucket_order", "n_games", "span_days", F.unix_timestamp("first_kickoff").alias("first_at"), F.unix_timestamp("last_kickoff").alias("last_at"))
 
 
-@query("W02_season_buckets", "select season_type, week, bucket_order, n_games from buckets where season = 1997")
+@query("W02_season_buckets", "select season, season_type, week, bucket_order, n_games from buckets")
 def season_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return A.bucket_table(A.raw_contests(spark, d).where("season = 1997")).select("season_type", "week", "bucket_order", "n_games")
+    return A.bucket_table(A.raw_contests(spark, d)).select("season", "season_type", "week", "bucket_order", "n_games")
 
 
 def window(games: DataFrame, season: int, season_type: str, week: int, inclusive: bool = True) -> DataFrame:
@@ -238,17 +238,25 @@ def window(games: DataFrame, season: int, season_type: str, week: int, inclusive
     return season_games.where(F.col("bucket_order") <= cut[0] if inclusive else F.col("bucket_order") < cut[0])
 
 
-CUT = "(select bucket_order from buckets where season = 1997 and season_type = 'postseason' and week = 1)"
+CUT = "(select season, bucket_order cut from buckets where season_type = 'postseason' and week = 1)"
 
 
-@query("W03_prefix_window", f"select game_id, bucket_order from contests where season = 1997 and bucket_order <= {CUT}")
+def cuts(games: DataFrame, season_type: str = "postseason", week: int = 1) -> DataFrame:
+    """(season, cut): the order of that bucket in each season that has it; one row a season."""
+    return games.where((F.col("season_type") == season_type) & (F.col("week") == week)).groupBy("season").agg(F.min("bucket_order").alias("cut"))
+
+
+@query("W03_prefix_window", f"select season, game_id, bucket_order from contests join {CUT} using (season) where bucket_order <= cut")
 def prefix_window(spark: SparkSession, d: str) -> DataFrame:
-    return window(A.contests(spark, d), 1997, "postseason", 1).select("game_id", "bucket_order")
+    """Every season's contests up to its first bucket after the regular season."""
+    g = A.contests(spark, d)
+    return g.join(F.broadcast(cuts(g)), "season").where("bucket_order <= cut").select("season", "game_id", "bucket_order")
 
 
-@query("W04_single_bucket", "select game_id from contests where season = 1997 and season_type = 'postseason' and week = 1")
+@query("W04_single_bucket", "select season, game_id from contests where season_type = 'postseason' and week = 1")
 def single_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return A.contests(spark, d).where("season = 1997 and season_type = 'postseason' and week = 1").select("game_id")
+    """The same bucket of every season."""
+    return A.contests(spark, d).where("season_type = 'postseason' and week = 1").select("season", "game_id")
 
 
 @query("W05_strictly_before", "select b.season, b.bucket_order as_of, count(c.game_id) n, coalesce(sum(c.home_points), 0) points from buckets b left join contests c on c.season = b.season and c.bucket_order < b.bucket_order group by 1, 2", points="bigint")
@@ -326,11 +334,11 @@ def week_range(spark: SparkSession, d: str) -> DataFrame:
     return g.where(F.col("week").between(5, 14) & F.col("home_class").isin("fbs") & F.col("away_class").isin("fbs", "fcs")).select("game_id")
 
 
-@query("W12_after_bucket", f"select game_id from contests where season = 1997 and bucket_order > {CUT}")
+@query("W12_after_bucket", f"select season, game_id from contests join {CUT} using (season) where bucket_order > cut")
 def after_bucket(spark: SparkSession, d: str) -> DataFrame:
-    g = A.contests(spark, d).where("season = 1997")
-    cut = g.where("season_type = 'postseason' and week = 1").agg(F.min("bucket_order").alias("cut"))
-    return g.join(F.broadcast(cut), F.col("bucket_order") > F.col("cut")).select("game_id")
+    """Every season's contests after its first bucket of the postseason."""
+    g = A.contests(spark, d)
+    return g.join(F.broadcast(cuts(g)), "season").where("bucket_order > cut").select("season", "game_id")
 
 
 @query("W13_pre_postseason", "select season, min(bucket_order) - 1 bucket_order from contests where game_type in ('cfp', 'bowl_non_cfp') group by season")
