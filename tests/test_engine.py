@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import algebra, config, solve
 from tallyforge.functions.expr import phi
-from tallyforge.operators import baselines, bootstrap, buckets, fitted, graph, metrics, plays, quality, ranking, ratings, resume
+from tallyforge.operators import baselines, bootstrap, buckets, fitted, graph, metrics, plays, projection, quality, ranking, ratings, resume
 from tallyforge.sources import adapters, sinks
 from tallyforge.sources.archive import Archive, ArchiveError
 
@@ -369,3 +369,8 @@ def test_stream_restates_touched_seasons(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).toPandas()
     assert sorted(got["team"]) == ["A", "B", "C", "D"]
+
+
+def test_bridge_frame_reads_the_power_that_predicts(spark, sf):
+    got = {r.game_id: r.delta for r in projection.bridge_frame(spark, sf).collect()}
+    assert got and got == {r.game_id: r.delta for r in metrics.rating_delta(spark, sf).collect()}
