@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 import random
 
+import duckdb
 import numpy as np
 
-from tallyforge.operators import fitted, variants
+from tallyforge.operators import fitted, resume, variants
 from tests.test_walkforward import season
 
 
@@ -34,3 +35,16 @@ def test_inversions_by_all_pairs():
     for n in (0, 1, 2, 3, 7, 64, 101):
         x = rng.sample(range(1000), n)
         assert variants.inversions(np.array(x)) == sum(a > b for a, b in itertools.combinations(x, 2))
+
+
+def borders(places: int) -> list[float]:
+    """Numbers whose decimals end in a 5 behind those that are kept, as ratings of six places do."""
+    return [(k * 10 + 5) / 10 ** (places + 1) for k in range(-3000, 3000, 7)]
+
+
+def test_hindsight_rating_rounds_borders_as_its_sql(spark, monkeypatch):
+    rows = [(1990, f"t{i}", 3, 7, x, 1) for i, x in enumerate(borders(5))]
+    s = spark.createDataFrame(rows, "season int, team string, bucket_order int, game_id long, opp double, won int")
+    monkeypatch.setattr(resume, "inputs", lambda spark, d: (None, None, s))
+    got = {r.team: r.faced for r in resume.hindsight_rating(spark, "").collect()}
+    assert got == {r[1]: duckdb.execute("select round(?::double, 5)", [r[4]]).fetchone()[0] for r in rows}
