@@ -28,6 +28,10 @@ GROWTH = 1.5
 BLOCK_MEMBERS, BLOCK_BYTES = 2048, 32_000_000
 #: Most candidate rows that are sent to all tasks to pick their texts; beyond it the texts are shuffled.
 MOST_SENT = 1_000_000
+#: Signatures of at most PAIRED nodes of a large family are taken apart into pairs.
+PAIRED = 64
+#: 64-bit words of a set's sketch.
+SKETCH = 16
 SEEDS = 4
 #: One set in SAMPLE is looked at for hot signatures, which HOT_IN_SAMPLE of these share; the MOST_HOT hottest are sent to all tasks.
 SAMPLE, HOT_IN_SAMPLE, MOST_HOT = 64, 16, 100_000
@@ -202,28 +206,37 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     return map_arrow(docs.select(id_col, F.xxhash64(text_col).alias("h"), text_col), make, f"id {kind}, h long, n long, node long, need int, sigs array<long>")
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements in each of 64 * SKETCH parts of their domain: two sets differ in at least as many elements as their sketches in bits."""
+    part = (elements >> np.uint64(32)) * np.uint64(64 * SKETCH) >> np.uint64(32)
+    odd = np.bincount(part.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def node_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, family, blocks, is_hub, items binary): the sets behind rows of (text, node, family, blocks, is_hub), a node once a task."""
+    """(node, items binary, sketch): the sets behind rows of (text, node), a node once a task."""
 
     def make():
         words, seen = Words(), set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at, items = [], []
-            for i, (x, node) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
+            nodes, items, sketches = [], [], [np.zeros(0, np.int64)]
+            for x, node in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if node in seen:
                     continue
                 s = shingles(x.as_py(), width, words)
                 if fingerprint(s) == node:
                     seen.add(node)
-                    at.append(i)
+                    nodes.append(node)
                     items.append(s.tobytes())
-            kept = batch.select([1, 2, 3, 4]).take(pa.array(at, pa.int64()))
-            return pa.RecordBatch.from_arrays([*kept.columns, pa.array(items, pa.binary())], ["node", "family", "blocks", "is_hub", "items"])
+                    sketches.append(sketch(s))
+            offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * SKETCH)
+            bits = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sketches)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary()), bits], ["node", "items", "sketch"])
 
         return each
 
-    return map_arrow(docs, make, "node long, family long, blocks int, is_hub boolean, items binary")
+    return map_arrow(docs, make, "node long, items binary, sketch array<long>")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
@@ -270,16 +283,18 @@ def hubs(members: DataFrame) -> DataFrame:
 class Linker:
     """Finds the links among nodes that share signatures.
 
-    Nodes that share signatures, directly or by others, are a family.  A family is dealt into blocks, and the nodes
+    Nodes that share signatures, directly or by others, are a family.  Passages that many texts quote chain texts that
+    aren't alike, more of them the larger the table, so large families are first taken apart into those that pairs
+    of nodes that may be linked form: see refined.  A family is dealt into blocks, and the nodes
     of a block are compared in one task by a product of incidence matrices, so no pair becomes a row.  A family of
     one block is done with that.  In larger ones each block also gets the family's hub, the node that shares most
     signatures, so near copies of one text become one group of linked nodes, the core, which is then left alone:
     only the rest is compared, block by block, with itself and with the core.
     """
 
-    def __init__(self, members: DataFrame, by_node: DataFrame, texts: DataFrame, width: int, percent: int):
-        """`members` has (node, hub), `by_node` the size `n` and one row (id, h) behind each node, `texts` (id, h, text)."""
-        self.members, self.by_node, self.texts, self.width, self.percent = members, by_node, texts, width, percent
+    def __init__(self, members: DataFrame, shared: DataFrame, by_node: DataFrame, texts: DataFrame, width: int, percent: int):
+        """`members` has (node, hub), `shared` (sig, node), `by_node` the size `n`, the `need` and one row (id, h) behind each node, `texts` (id, h, text)."""
+        self.members, self.shared, self.by_node, self.texts, self.width, self.percent = members, shared, by_node, texts, width, percent
 
     def resolve(self) -> DataFrame | None:
         """(a, b): links that join all that is joined, not each of them; None where no signature is shared."""
@@ -289,14 +304,19 @@ class Linker:
         named = loose.read().select(F.col("u").alias("node"), F.col("v").alias("family"))
         named = named.unionByName(named.select(F.col("family").alias("node"), "family").distinct())
         shares = self.members.groupBy("node").agg(F.count("*").alias("shares"))
-        nodes = named.join(shares, "node").join(self.by_node.select("node", "id", "h", (F.col("n") * 8).alias("bytes")), "node")
+        nodes = named.join(shares, "node").join(self.by_node.select("node", "id", "h", "n", "need", (F.col("n") * 8).alias("bytes")), "node")
         nodes = Stored(nodes, "families").read()
+        self.sets = self.fetched(nodes.select("id", "h", "node"))
+        many = nodes.groupBy("family").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("blocks")).where("blocks > 1").select("family")
+        if not many.isEmpty():
+            large = Stored(nodes.join(many, "family", "left_semi"), "many").read()
+            families = self.refined(large).withColumnRenamed("label", "family")
+            nodes = Stored(nodes.join(many, "family", "left_anti").unionByName(large.drop("family").join(families, "node")), "families").read()
         deal = nodes.groupBy("family").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("blocks"), F.max(F.struct("shares", "node")).alias("top"))
         deal = Stored(deal.select("family", "blocks", F.col("top.node").alias("hub")), "deal").read()
-        dealt = Stored(nodes.join(deal, "family").select("id", "h", "node", "family", "blocks", (F.col("node") == F.col("hub")).alias("is_hub")), "dealt").read()
-        self.sets = self.fetched(dealt)
+        dealt = nodes.join(deal, "family").select("node", "family", "blocks", (F.col("node") == F.col("hub")).alias("is_hub"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        home = self.sets.withColumn("own", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+        home = dealt.join(self.sets.select("node", "items"), "node").withColumn("own", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
         edges = self.compared(home.select("family", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("label"), "items"))
         large = deal.where("blocks > 1").select("family")
         if large.isEmpty():
@@ -305,16 +325,42 @@ class Linker:
         rest = nodes.join(large, "family", "left_semi").join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"), "bytes")
         return edges.unionByName(self.compare_blocks(Stored(rest, "large").read()))
 
-    def fetched(self, dealt: DataFrame) -> DataFrame:
-        """The sets of the nodes, with all that dealing told, so that they are shuffled once, to where they are compared.
+    def refined(self, nodes: DataFrame) -> DataFrame:
+        """(node, label): the families that pairs which may be linked form among nodes of large families.
+
+        Signatures of few nodes are taken apart into pairs, and a pair's are counted.  Signatures of many (hot) aren't: a
+        pair shares at most as many of them as either node has.  So a linked pair is among the counted ones, with as
+        many as both need, or it shares hot ones alone, as many as both need, and all nodes that have so many stay together.
+        A counted pair also has sizes and sketches that a linked one may have.
+        """
+        rows = self.shared.join(nodes.select("node"), "node", "left_semi")
+        often = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
+        rows = Stored(rows.join(often, "sig"), "rows_of_large").read()
+        hot = rows.where(F.col("k") > PAIRED).select("sig", "node")
+        had = hot.groupBy("node").agg(F.count("*").alias("hot"))
+        info = nodes.select("node", "n", "need").join(had, "node", "left").select("node", "n", "need", F.coalesce("hot", F.lit(0)).alias("hot"))
+        info = Stored(info.join(self.sets.select("node", "sketch"), "node"), "info").read()
+        lists = rows.where(F.col("k") <= PAIRED).groupBy("sig").agg(F.array_sort(F.collect_list("node")).alias("all"))
+        pairs = lists.select("all", F.explode("all").alias("a")).select("a", F.explode(F.expr("filter(all, x -> x > a)")).alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
+        for end in ("a", "b"):
+            pairs = pairs.join(info.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "need", "hot", "sketch"))), end)
+        apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        may = f"common + least(hot_a, hot_b) >= greatest(need_a, need_b) and 100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b) and {100 + self.percent} * {apart} <= {100 - self.percent} * (n_a + n_b)"
+        hot = hot.join(info.where("hot >= need").select("node"), "node", "left_semi")
+        stars = hot.join(hot.groupBy("sig").agg(F.min("node").alias("hub")), "sig").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        labels = components(pairs.where(may).select("a", "b").unionByName(stars)).read().select(F.col("u").alias("node"), F.col("v").alias("label"))
+        return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+
+    def fetched(self, wanted: DataFrame) -> DataFrame:
+        """(node, items, sketch) of rows (id, h, node).
 
         A node is found again by the id and the text's hash of one of its rows.  Only where rows repeat in both can a
         node come from several tasks, and is made one by a shuffle.
         """
-        wanted = F.broadcast(dealt) if dealt.count() <= MOST_SENT else dealt
-        t, w = self.texts.alias("t"), wanted.alias("w")
+        t, w = self.texts.alias("t"), (F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted).alias("w")
         found = t.join(w, (F.col("t.h") == F.col("w.h")) & F.col("t.id").eqNullSafe(F.col("w.id")))
-        sets = Stored(node_sets(found.select("t.text", "w.node", "w.family", "w.blocks", "w.is_hub"), self.width), "sets").read()
+        sets = Stored(node_sets(found.select("t.text", "w.node"), self.width), "sets").read()
         if sets.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
             return sets
         return Stored(sets.dropDuplicates(["node"]), "sets").read()
@@ -336,7 +382,7 @@ class Linker:
         own = F.when(F.col("is_core"), F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.greatest("core_blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks"))).cast("int")
         others = F.when(F.col("is_core"), F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("core_blocks") - 1))
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-        return self.compared(dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(self.sets.where("blocks > 1").select("node", "items"), "node"))
+        return self.compared(dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(self.sets.select("node", "items"), "node"))
 
 
 def blocks_of(members, size):
@@ -421,7 +467,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     members = Stored(left.join(hubs(left).where("hub < last"), "sig").select("node", "hub"), "members")
     sharing.drop()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    edges = Linker(members.read(), by_node, texts, width, percent).resolve()
+    edges = Linker(members.read(), left, by_node, texts, width, percent).resolve()
     if edges is None:
         node_ids = by_node.select("node", F.col("node").alias("label"), F.col("id").alias("least"))
     else:

@@ -136,3 +136,41 @@ def test_components_that_dont_settle_are_an_error(spark):
     path = spark.range(40).selectExpr("id a", "id + 1 b")
     with pytest.raises(RuntimeError, match="settle"):
         nj.components(path, most_rounds=1)
+
+
+def test_quoted_passages_dont_keep_unlike_texts_in_one_family(spark, monkeypatch):
+    """All quote one passage and so share signatures, but only the three copies of each are alike."""
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(pool, k=90)
+    texts = []
+    for _ in range(30):
+        own = rng.choices(pool, k=60)
+        texts += [own[:30] + passage + own[30:] + extra for extra in ([], ["x"], ["y", "z"])]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(nj, "MOST_SENT", 0)  # and the texts are shuffled
+    monkeypatch.setattr(nj.Linker, "compare_blocks", lambda self, nodes: pytest.fail("nodes are compared with all of their family"))
+    got = {r.doc_id: r.component_id for r in nj.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 3 for i in got} and len(got) == 90
+
+
+@pytest.mark.parametrize("paired", [1, 4, 64])
+def test_large_families_by_brute_force(spark, monkeypatch, paired):
+    """Taken apart by pairs alone, by frequent signatures alone, and by both."""
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", 12)
+    monkeypatch.setattr(nj, "PAIRED", paired)
+    rows = corpus(paired)
+    want, _ = brute(rows, 4, 85)
+    got = {r.doc_id: r.component_id for r in nj.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: want[i] for i, (d, _) in enumerate(rows)}
+
+
+def test_sketches_of_linked_sets_differ_in_few_bits():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 200, 5000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        t = np.unique(np.concatenate([s[n // 10 :], rng.integers(0, 2**63, n // 10).astype(np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (nj.sketch(s) ^ nj.sketch(t)).view(np.uint64))
+        assert len(nj.sketch(s)) == nj.SKETCH and bits <= len(np.setxor1d(s, t))
+        assert n != 200 or sum(int(x).bit_count() for x in (nj.sketch(s) ^ nj.sketch(~s)).view(np.uint64)) > 150
