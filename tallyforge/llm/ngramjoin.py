@@ -27,7 +27,7 @@ GROWTH = 1.5
 #: Members and bytes of sets in a block of a family, which two of are one task's work.
 BLOCK_MEMBERS, BLOCK_BYTES = 2048, 32_000_000
 #: Most candidate rows that are sent to all tasks to pick their texts; beyond it the texts are shuffled.
-MOST_SENT = 1_000_000
+MOST_SENT = 250_000
 #: Signatures of at most PAIRED nodes of a large family are taken apart into pairs.
 PAIRED = 64
 #: 64-bit words of a set's sketch.

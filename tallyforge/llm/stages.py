@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from . import bpe, langid, mixing, ngramjoin
 from .common import Stored, map_arrow, word_count
 
+#: Most keys of rows to leave out that are sent to all tasks; beyond it the rows are shuffled.
+MOST_IDS_SENT = 1_000_000
+
 
 def identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least_score: float = 0.5, far: float = langid.FAR) -> DataFrame:
     """The rows, unchanged, whose text is in one of `languages` (None: of all that could be learned).
@@ -68,7 +71,7 @@ def roots(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
     """The rows whose key is the least of their group."""
     found = ngramjoin.groups(docs, id_col=key, width=width, percent=percent)
     go = Stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "go").read()
-    if go.count() <= ngramjoin.MOST_SENT:
+    if go.count() <= MOST_IDS_SENT:
         go = F.broadcast(go)
     return docs.join(go, key, "left_anti").select(*docs.columns)
 
