@@ -240,10 +240,28 @@ def node_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> Stored:
-    """(node, label): the least node of each node's component, for nodes with edges.
+    """(u, v): v is the least node of u's component, for nodes with edges but the least ones themselves.
 
-    Alternates large and small stars, which takes a logarithm of rounds.  Least neighbours are partial sums, and the
-    joins that bring them back have one row a node on one side, so a node with very many edges is split over tasks.
+    Near copies name several hubs each, so first every node moves into its least neighbour, if that is less than
+    itself, and edges follow, by one end and then by the other.  Most then have both ends in one node and go, with
+    the nodes that have moved; the rounds see the rest only.
+    """
+    first = Stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    moves = Stored(first.read().groupBy("u").agg(F.min("v").alias("to")), "moves").read()
+    ends = first.read().join(moves, "u").select(F.col("to").alias("a"), "v").distinct()
+    ends = ends.join(moves.select(F.col("u").alias("v"), F.col("to").alias("v_to")), "v", "left").select("a", F.coalesce("v_to", "v").alias("b"))
+    rest = stars(ends, most_rounds).read()
+    first.drop()
+    after = rest.select(F.col("u").alias("to"), F.col("v").alias("least"))
+    moved = moves.join(after, "to", "left").select("u", F.coalesce("least", "to").alias("v"))
+    return Stored(moved.unionByName(rest.join(moves, "u", "left_anti")), "labels")
+
+
+def stars(edges: DataFrame, most_rounds: int) -> Stored:
+    """What components returns, by alternate large and small stars, which take a logarithm of rounds.
+
+    Least neighbours are partial sums, and the joins that bring them back have one row a node on one side, so a node
+    with very many edges is split over tasks.
     """
     current = Stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     state = None

@@ -121,6 +121,25 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 100 for i in range(101, 141)) and all(got[k] == 7 for k in range(200, 230)) and got[2] == 1
 
 
+def test_rounds_see_few_edges_of_a_large_group(spark, monkeypatch):
+    """All of 600 nodes have edges to six of twelve hubs, and the hubs make a path whose order isn't that of their ids."""
+    seen = []
+
+    class Counted(nj.Stored):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name == "stars":
+                seen.append(self.read().count())
+
+    monkeypatch.setattr(nj, "Stored", Counted)
+    rng = random.Random(3)
+    hubs = rng.sample(range(100, 200), 12)
+    edges = [(k, h) for k in range(1000, 1600) for h in rng.sample(hubs, 6)] + list(zip(hubs, hubs[1:], strict=False)) + [(9, 5), (7, 9), (7, 8)]
+    got = {r.u: r.v for r in nj.components(spark.createDataFrame(edges, "a long, b long")).read().collect()}
+    assert got == {k: min(hubs) for k in [*hubs, *range(1000, 1600)] if k != min(hubs)} | {k: 5 for k in (7, 8, 9)}
+    assert sum(seen) < 600  # 3,614 edges
+
+
 def test_a_link_runs_through_a_row_without_an_id(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join(words[3:] + ["a", "b", "c"]), " ".join(words[6:] + ["a", "b", "c", "d", "e", "f"])]
