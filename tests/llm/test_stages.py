@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from tallyforge.llm import stages
+from tallyforge.llm import ngramjoin, stages
+from tests.llm.test_ngramjoin import brute
 
 SCHEMA = "doc_id long, text string, source string"
 ONE, TWO, THREE = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
@@ -28,6 +31,28 @@ def test_repeated_rows_and_rows_without_an_id(spark):
     assert sorted((r[1] == "", r[1] in (TWO, near)) for r in got if r[0] is None) == [(False, True), (True, False), (True, False)]
 
 
+def test_a_large_group_of_near_copies_has_few_edges_in_the_rounds(spark, monkeypatch):
+    edges, rounds = [], []
+
+    class Counted(ngramjoin.Stored):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name in ("members", "stars"):
+                (edges if name == "members" else rounds).append(self.read().distinct().count())
+
+    monkeypatch.setattr(ngramjoin, "Stored", Counted)
+    rng = random.Random(1)
+    base, rows = ONE.split(), []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(60)] = rng.choice(TWO.split())
+        rows.append((i, " ".join(words), "x"))
+    want, _ = brute([r[:2] for r in rows], 5, 80)
+    assert kept(spark, rows) == sorted((r for r in rows if want[r[0]] == r[0]), key=str)
+    assert sum(rounds) < sum(edges) / 2
+
+
 def test_run_reads_what_each_stage_wrote(spark, tmp_path, monkeypatch):
     spark.range(5).write.parquet(str(tmp_path / "documents.parquet"))
     plans: list[str] = []
