@@ -68,7 +68,7 @@ def test_sums_of_cells_are_those_of_meetings():
 
 
 #: Readers whose fits are made of rows of games and steps; before, of cells of dense matrices.
-READERS = ["Q16_mid_p", "Q20_scalar_odds", "R36_contrast"]
+READERS = ["Q16_mid_p", "Q20_scalar_odds", "R36_contrast", "R17_efficiency_to_points"]
 
 
 @pytest.mark.parametrize("name", READERS)
