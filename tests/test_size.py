@@ -68,7 +68,7 @@ def test_sums_of_cells_are_those_of_meetings():
 
 
 #: Readers whose fits are made of rows of games and steps; before, of cells of dense matrices.
-READERS = ["Q16_mid_p", "Q20_scalar_odds", "R36_contrast", "R17_efficiency_to_points", "R30_power_dispatch", "R24_season_accumulator", "J09_bridge_frame", "K07_poll_table", "M46_leave_one_out", "J07_promotion_frame", "J08_adjusted", "J10_ceiling_holder", "K01_headline_orderings", "K28_layer_rows"]
+READERS = ["Q16_mid_p", "Q20_scalar_odds", "R36_contrast", "R17_efficiency_to_points", "R30_power_dispatch", "R24_season_accumulator", "J09_bridge_frame", "K07_poll_table", "M46_leave_one_out", "J07_promotion_frame", "J08_adjusted", "J10_ceiling_holder", "K01_headline_orderings", "K28_layer_rows", "K06_ratings_table"]
 
 
 @pytest.mark.parametrize("name", READERS)
