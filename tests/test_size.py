@@ -94,7 +94,7 @@ def test_records_side_by_side_are_those_of_one_team_at_a_time(spark, cap, bonus)
 
 
 #: Readers of the lever grid: no root of a cell is halved one team at a time.
-GRIDS = ["C07_variant_set", "C08_agreement", "C10_lever_grid"]
+GRIDS = ["C07_variant_set", "C08_agreement", "C10_lever_grid", "C14_manifest"]
 
 
 @pytest.mark.parametrize("name", GRIDS)
