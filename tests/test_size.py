@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import algebra
-from tallyforge.operators import fitted, resume, variants
+from tallyforge.operators import bootstrap, fitted, resume, variants
 from tallyforge.plans.catalog import QUERIES
 from tallyforge.sources import adapters
 from tests.test_walkforward import season
@@ -101,3 +101,12 @@ GRIDS = ["C07_variant_set", "C08_agreement", "C10_lever_grid", "C14_manifest"]
 def test_grid_halves_no_team_by_itself(spark, sf, monkeypatch, name):
     monkeypatch.setattr(variants, "stored", lambda df, name: df)
     assert "aggregate(sequence" not in QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+
+
+def test_draws_of_many_teams_fit_in_a_task(monkeypatch):
+    monkeypatch.setattr(bootstrap, "DRAWS_A_TASK", 4)
+    rows = wide()
+    job = pd.DataFrame({"game_id": np.arange(len(rows)), "home_team": rows["p"], "away_team": rows["q"], "site": rows["site"], "w": 1.0, "mu": rows["m"] / 4})
+    factor = pd.DataFrame({"season": [1990], "scale": [0.5], "edge": [1.0], "lambda": [8.0]})
+    got, most = held(bootstrap.simulate, job, factor, 0, 4, bootstrap.ORDERINGS)
+    assert len(got) == 4 * TEAMS * 3 and most < 150  # the inverse alone is 288 MB
